@@ -151,7 +151,7 @@ def judge(pages: DataFrame, listed: Sequence[str] = LISTED, rules: Sequence[tupl
     host, path = url_parts(F.col(url))
     parts = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     spark = pages.sparkSession
-    keys = spark.createDataFrame([(k,) for k in listed], "key string")
+    keys = spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in listed]).cast("array<string>")).alias("key"))
     cascade = Cascade.build(keys, host_universe(parts))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     is_listed = F.exists(suffixes(F.col("host")), cascade.holds)
