@@ -1,4 +1,424 @@
 """Registered queries, and DuckDB SQL for those that SQL can express."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corpusloom.functions import generation as G
+from corpusloom.functions import paths, vectors
+from corpusloom.functions import text as X
+from corpusloom.functions.hashing import content_hash, content_hash_sql
+from corpusloom.operators import catalog, chunking, ingest_status, knn, store
+from corpusloom.operators.retrieval import retrieve
+from corpusloom.operators.tables import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+_HOME = "/home/reader"
+
+
+def _query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Pieces of SQL that several oracles share. DuckDB's expressions, over the driver's views.
+_SP = r"[ \t\n\x0B\f\r]"
+_WORDS = f"list_filter(regexp_split_to_array(text, '{_SP}+'), lambda x: x <> '')"
+
+
+def _chunk_sql(size: int, step: int) -> str:
+    return f"""
+w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+e AS (SELECT doc_id, ws, len(ws) AS n, unnest(CASE WHEN len(ws) = 0 THEN [] ELSE range(0, 1 + greatest(0, ceil((len(ws) - {size}) / {step}.0)::BIGINT)) END) AS i FROM w),
+c AS (SELECT doc_id, i::INT AS chunk_idx, array_to_string(ws[i * {step} + 1 : i * {step} + {size}], ' ') AS content, least({size}, n - i * {step})::INT AS word_count FROM e)"""
+
+
+_CHUNKS = _chunk_sql(250, 210)
+_PATH_SQL = "source || '/' || doc_id || '.' || lang"
+
+
+def _path() -> F.Column:
+    return F.concat_ws("", F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), F.col("lang"))
+
+
+@_query(f"WITH {_CHUNKS} SELECT * FROM c")
+def doc_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk(table(spark, d, "documents"))
+
+
+@_query(f"WITH {_chunk_sql(8, 6)} SELECT * FROM c")
+def doc_chunks_small(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk(table(spark, d, "documents"), 8, 2)
+
+
+@_query(f"SELECT doc_id, len({_WORDS})::INT AS word_count FROM documents")
+def word_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", X.word_count(F.col("text")).alias("word_count"))
+
+
+@_query(f"WITH {_CHUNKS} SELECT doc_id, count(*) AS n_chunks, sum(word_count)::BIGINT AS words, max(word_count) AS longest FROM c GROUP BY doc_id")
+def chunk_word_counts(spark: SparkSession, d: str) -> DataFrame:
+    pieces = table(spark, d, "documents").select("doc_id", X.chunks(F.col("text")).alias("c")).filter(F.size("c") > 0)
+    count = F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + x["word_count"])
+    return pieces.select("doc_id", F.size("c").cast("long").alias("n_chunks"), count.alias("words"), F.array_max(F.transform("c", lambda x: x["word_count"])).alias("longest"))
+
+
+_FNV = """
+SELECT doc_id, CASE WHEN octet_length(encode(text)) = 0 THEN 'cbf29ce484222325' ELSE
+  format('{:016x}', list_reduce(list_prepend(14695981039346656037::UHUGEINT,
+    list_transform(range(1, 1 + octet_length(encode(text))), lambda i: ('0x' || hex(array_slice(encode(text), i, i)))::INT::UHUGEINT)),
+    lambda a, x: (xor(a, x) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT) END AS content_hash
+FROM documents"""
+
+
+@_query(_FNV)
+def content_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", content_hash(F.col("text")).alias("content_hash"))
+
+
+@_query(_FNV)
+def content_hashes_native(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("b")).select("doc_id", content_hash_sql("b").alias("content_hash"))
+
+
+def _incoming(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return docs.select(_path().alias("path"), F.md5("text").alias("content_hash"), X.not_blank(F.col("text")).alias("has_text"))
+
+
+def _known(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents are known; those of low quality by an older hash."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    return docs.select(_path().alias("path"), F.when(F.col("quality") == 0, F.md5(F.concat(F.lit("old"), "text"))).otherwise(F.md5("text")).alias("content_hash"))
+
+
+_STATUS = f"""
+i AS (SELECT {_PATH_SQL} AS path, md5(text) AS content_hash, regexp_matches(text, '[^ \\t\\n\\x0B\\f\\r]') AS has_text FROM documents),
+k AS (SELECT {_PATH_SQL} AS path, CASE WHEN quality = 0 THEN md5('old' || text) ELSE md5(text) END AS content_hash FROM documents JOIN labels USING (doc_id)),
+f AS (
+  SELECT i.*, k.content_hash AS known_hash,
+    CASE WHEN k.content_hash = i.content_hash THEN 'unchanged'
+         WHEN k.path IS NULL AND i.content_hash IN (SELECT content_hash FROM k) THEN 'duplicate'
+         WHEN NOT has_text THEN 'failed' WHEN k.path IS NULL THEN 'fresh' ELSE 'modified' END AS first
+  FROM i LEFT JOIN k ON i.path = k.path),
+s AS (
+  SELECT path, content_hash, known_hash,
+    CASE WHEN first IN ('fresh', 'modified') AND path <> min(path) FILTER (first IN ('fresh', 'modified')) OVER (PARTITION BY content_hash) THEN 'duplicate' ELSE first END AS status
+  FROM f)"""
+
+
+@_query(f"WITH {_STATUS} SELECT * FROM s")
+def ingest_statuses(spark: SparkSession, d: str) -> DataFrame:
+    return ingest_status.classify(_incoming(spark, d), _known(spark, d))
+
+
+@_query(f"""WITH {_STATUS} SELECT count(*) FILTER (status IN ('fresh', 'modified')) AS docs, count(*) FILTER (status IN ('unchanged', 'duplicate')) AS skipped,
+  count(*) FILTER (status = 'failed') AS failed FROM s""")
+def ingest_counters(spark: SparkSession, d: str) -> DataFrame:
+    return ingest_status.counters(ingest_status.classify(_incoming(spark, d), _known(spark, d)))
+
+
+_HTML_SQL = r"""
+WITH t AS (
+  SELECT page_id, regexp_extract_all(replace(html, chr(1), ' '),
+    '(?is)<script.*?(?:</script>|\z)|<style.*?(?:</style>|\z)|<!--(?:-?>|.*?(?:-->|\z))|<[^>]*(?:>|\z)|&(?:nbsp|amp|lt|gt|quot|apos|#39);|&|[^<&]+') AS ts FROM pages),
+j AS (
+  SELECT page_id, array_to_string(list_transform(ts, lambda t: CASE
+    WHEN regexp_matches(t, '(?is)^(?:<script|<style|<!--)') THEN ''
+    WHEN regexp_matches(t, '(?is)^(?:<p|<br|<div|<h[1-6]|<li|<tr|</p>|</div>|</li>|<blockquote)') THEN chr(1)
+    WHEN starts_with(t, '<') THEN ''
+    WHEN t = '&nbsp;' THEN ' ' WHEN t = '&amp;' THEN '&' WHEN t = '&lt;' THEN '<' WHEN t = '&gt;' THEN '>' WHEN t = '&quot;' THEN '"'
+    WHEN t IN ('&apos;', '&#39;') THEN '''' ELSE t END), '') AS x FROM t)
+SELECT page_id, regexp_replace(regexp_replace(x, '(^|\n)\x01+', '\1', 'g'), '\x01+', chr(10), 'g') AS text FROM j"""
+
+
+@_query(_HTML_SQL)
+def html_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", X.html_text(F.col("html")).alias("text"))
+
+
+@_query(r"SELECT doc_id, regexp_replace(text || chr(7) || chr(9) || chr(31) || chr(127), '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g') AS text FROM documents")
+def sanitize_controls(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", X.sanitize_controls(F.concat("text", F.lit("\x07\t\x1f\x7f"))).alias("text"))
+
+
+@_query(r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS e FROM embeddings),
+n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v),
+u AS (SELECT vec_id, n, list_transform(e, lambda x: (x / n)::FLOAT) AS u FROM n)
+SELECT vec_id, len(u)::INT AS dimension, round(n, 5) AS length, round(list_sum(list_transform(u, lambda x: x::DOUBLE * x)), 5) AS unit,
+  round(u[1]::DOUBLE, 5) AS first, round(u[len(u)]::DOUBLE, 5) AS last FROM u""")
+def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
+    scaled = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 3).alias("e"))
+    u = scaled.select("vec_id", F.round(vectors.norm(F.col("e")), 5).alias("length"), vectors.l2_normalize(F.col("e").cast("array<double>")).alias("u"))
+    return u.select(
+        "vec_id", F.size("u").alias("dimension"), "length", F.round(vectors.dot(F.col("u"), F.col("u")), 5).alias("unit"),
+        F.round(F.element_at("u", 1).cast("double"), 5).alias("first"), F.round(F.element_at("u", -1).cast("double"), 5).alias("last"),
+    )
+
+
+_KNN = """
+q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, vec_id, 1 - list_cosine_distance(q.e, embedding::DOUBLE[]) AS similarity FROM q, embeddings),
+h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, vec_id) AS rank FROM s),
+t AS (SELECT query_id, rank::INT AS rank, vec_id, similarity FROM h WHERE rank <= 4)"""
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return knn.search(e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e)
+
+
+@_query(f"WITH {_KNN} SELECT query_id, rank, vec_id, round(similarity, 6) AS similarity FROM t")
+def knn_top4(spark: SparkSession, d: str) -> DataFrame:
+    return _hits(spark, d).select("query_id", "rank", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@_query(f"WITH {_KNN} SELECT query_id, round(max(similarity), 6) AS top, count(*) AS hits, max(similarity) >= 0.65 AS passes FROM t WHERE rank > 1 GROUP BY query_id")
+def knn_gate(spark: SparkSession, d: str) -> DataFrame:
+    return knn.gate(_hits(spark, d).filter("rank > 1")).withColumn("top", F.round("top", 6))
+
+
+@_query(f"""WITH {_KNN} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT AS ref, vec_id,
+  printf('%.1f%%', similarity * 100) AS shown FROM t WHERE similarity >= 0.65""")
+def knn_references(spark: SparkSession, d: str) -> DataFrame:
+    return knn.references(_hits(spark, d)).select("query_id", "ref", "vec_id", G.percent(F.col("similarity")).alias("shown"))
+
+
+@_query(f"""
+WITH {_CHUNKS},
+b AS (SELECT doc_id, chunk_idx, ('0x' || substr(md5(lower(u)), 1, 8))::BIGINT % 1024 AS b, count(*) AS tf
+      FROM (SELECT doc_id, chunk_idx, unnest(string_split(content, ' ')) AS u FROM c) GROUP BY ALL),
+cn AS (SELECT doc_id, chunk_idx, sqrt(sum(tf * tf)) AS n FROM b GROUP BY ALL),
+qb AS (SELECT item_id, ('0x' || substr(md5(lower(u)), 1, 8))::BIGINT % 1024 AS b, count(*) AS tf
+       FROM (SELECT item_id, unnest({_WORDS}) AS u FROM benchmark) GROUP BY ALL),
+qn AS (SELECT item_id, sqrt(sum(tf * tf)) AS n FROM qb GROUP BY ALL),
+d AS (SELECT item_id, doc_id, chunk_idx, sum(qb.tf * b.tf) AS dot FROM qb JOIN b USING (b) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, chunk_idx, dot / (qn.n * cn.n) AS similarity FROM d JOIN cn USING (doc_id, chunk_idx) JOIN qn USING (item_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(similarity, 9) DESC, doc_id, chunk_idx) AS rank FROM s)
+SELECT item_id, rank::INT AS rank, doc_id, chunk_idx, round(similarity, 6) AS similarity, max(round(similarity, 9)) OVER (PARTITION BY item_id) >= 0.65 AS passes
+FROM r WHERE rank <= 4""")
+def retrieve_flagship(spark: SparkSession, d: str) -> DataFrame:
+    found = retrieve(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+def _catalog(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents")
+    return docs.select(F.col("doc_id").alias("id"), _path().alias("path"), F.md5("text").alias("content_hash")), chunking.chunk(docs)
+
+
+_LISTED = f"""
+l AS (SELECT doc_id AS id, {_PATH_SQL} AS path, md5(text) AS content_hash, coalesce(n, 0) AS chunk_count
+      FROM documents LEFT JOIN (SELECT doc_id AS of_doc, count(*) AS n FROM c GROUP BY doc_id) ON doc_id = of_doc)"""
+
+
+@_query(f"WITH {_CHUNKS}, {_LISTED} SELECT * FROM l")
+def list_documents(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.list_documents(*_catalog(spark, d))
+
+
+@_query(f"WITH {_CHUNKS}, {_LISTED} SELECT * FROM l WHERE lower(path) LIKE '%src1_/%.en%'")
+def list_documents_like(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.list_documents(*_catalog(spark, d), "SRC1_/%.EN")
+
+
+@_query(f"WITH {_CHUNKS} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM c) AS chunks")
+def doc_stats(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.stats(*_catalog(spark, d))
+
+
+@_query(f"""WITH {_CHUNKS} SELECT chunk_idx, word_count, content FROM c
+  WHERE doc_id = (SELECT min(doc_id) FROM documents WHERE lower({_PATH_SQL}) LIKE '%src8/%')""")
+def chunks_of_doc(spark: SparkSession, d: str) -> DataFrame:
+    docs, pieces = _catalog(spark, d)
+    return catalog.document_chunks(pieces, catalog.resolve(docs, "SRC8/"))
+
+
+@_query(f"SELECT doc_id AS id, {_PATH_SQL} AS path, rn, ceil(rn / 15.0)::INT AS page FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS rn FROM documents)")
+def docs_page(spark: SparkSession, d: str) -> DataFrame:
+    docs, _ = _catalog(spark, d)
+    return catalog.paged(docs.select("id", "path"), "id").select("id", "path", "rn", "page")
+
+
+_FLAT = f"regexp_replace(regexp_replace(text, '^{_SP}+', ''), '{_SP}+', ' ', 'g')"
+
+
+@_query(f"SELECT doc_id, rtrim(substr({_FLAT}, 1, 84)) || CASE WHEN length({_FLAT}) > 84 THEN '...' ELSE '' END AS snippet FROM documents")
+def snippets(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", X.snippet(F.col("text")).alias("snippet"))
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@_query(f"""
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rn FROM conversations)
+SELECT conv_id, {_sql_text(G.PROMPT_HEAD)} || string_agg('[' || rn || '] ' || role || chr(10) || text || chr(10) || chr(10), '' ORDER BY rn)
+  || 'Question: ' || conv_id || {_sql_text(G.PROMPT_END)} AS prompt
+FROM n GROUP BY conv_id""")
+def prompt_assembly(spark: SparkSession, d: str) -> DataFrame:
+    hits = F.collect_list(F.struct(F.col("turn").alias("rank"), F.col("role").alias("path"), F.col("text").alias("content")))
+    grouped = table(spark, d, "conversations").groupBy("conv_id").agg(hits.alias("hits"))
+    return grouped.select("conv_id", G.prompt(F.col("hits"), F.col("conv_id").cast("string")).alias("prompt"))
+
+
+@_query("""SELECT conv_id, turn, line FROM (
+  SELECT *, lag(line) OVER (PARTITION BY conv_id ORDER BY turn) AS last FROM (SELECT conv_id, turn, left(text, 1) AS line FROM conversations))
+  WHERE last IS NULL OR last <> line""")
+def history_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 1).alias("line"))
+    return ingest_status.drop_repeats(lines, "conv_id", "turn", "line")
+
+
+_LOGPROB = """
+p AS (SELECT vec_id, label, embedding[label + 1]::DOUBLE - list_max(embedding)::DOUBLE
+        - ln(list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE)))) AS lp FROM embeddings)"""
+
+
+@_query(f"WITH {_LOGPROB} SELECT vec_id, round(lp, 6) AS logprob FROM p")
+def token_logprob(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", F.round(G.token_logprob(F.col("embedding"), F.col("label")), 6).alias("logprob"))
+
+
+@_query(f"WITH {_LOGPROB} SELECT label, round(greatest(0, least(1, exp(avg(lp)))), 6) AS confidence, count(*) AS tokens, (greatest(0, least(1, exp(avg(lp)))) * 100)::DOUBLE::INT AS shown_near FROM p GROUP BY label")
+def sequence_confidence(spark: SparkSession, d: str) -> DataFrame:
+    tokens = table(spark, d, "embeddings").select("label", G.token_logprob(F.col("embedding"), F.col("label")).alias("lp"))
+    sure = tokens.groupBy("label").agg(F.avg("lp").alias("mean"), F.count("*").alias("tokens")).withColumn("c", G.confidence(F.col("mean")))
+    return sure.select("label", F.round("c", 6).alias("confidence"), "tokens", F.round(F.col("c") * 100).cast("int").alias("shown_near"))
+
+
+@_query("""
+WITH l AS (SELECT vec_id, unnest(embedding)::DOUBLE AS z, unnest(range(len(embedding)))::INT AS token FROM embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY z DESC, token) AS rank FROM l),
+e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY vec_id)) AS e FROM r WHERE rank <= 40),
+p AS (SELECT *, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM e),
+c AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)
+SELECT vec_id, token, rank::INT AS rank, round(p, 6) AS p FROM c WHERE rank = 1 OR before < 0.9""")
+def topk_topp(spark: SparkSession, d: str) -> DataFrame:
+    logits = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("token", "logit"))
+    return G.truncated_distribution(logits, "vec_id").withColumn("p", F.round("p", 6))
+
+
+_SURE_SQL = "((conv_id * 37 + turn * 11) % 100) / 100.0"
+_ANSWER_SQL = "CASE WHEN turn = 0 THEN text || ' [INSUFFICIENT_DATA]' WHEN length(text) % 7 = 0 THEN '' ELSE text END"
+
+
+@_query(f"""
+WITH a AS (SELECT conv_id, turn, ({_SURE_SQL})::DOUBLE AS c, {_ANSWER_SQL} AS a FROM conversations),
+r AS (SELECT *, CASE WHEN contains(a, '[INSUFFICIENT_DATA]') THEN {_sql_text(G.REASON_INSUFFICIENT)} WHEN a = '' THEN {_sql_text(G.REASON_EMPTY)}
+  WHEN c < 0.5 THEN printf('Stage 2 Refusal: Mean token confidence %.2f < threshold %.2f', c, 0.5::DOUBLE) END AS reason FROM a)
+SELECT conv_id, turn, reason IS NOT NULL AS refused, reason, CASE WHEN reason IS NULL THEN a ELSE {_sql_text(G.NO_ANSWER)} END AS text FROM r""")
+def stage2_gate(spark: SparkSession, d: str) -> DataFrame:
+    answer = F.when(F.col("turn") == 0, F.concat("text", F.lit(" " + G.INSUFFICIENT))).when(F.length("text") % 7 == 0, F.lit("")).otherwise(F.col("text"))
+    told = table(spark, d, "conversations").select("conv_id", "turn", answer.alias("a"), (((F.col("conv_id") * 37 + F.col("turn") * 11) % 100) / 100.0).alias("c"))
+    no, reason, text = G.stage2(F.col("a"), F.col("c"))
+    return told.select("conv_id", "turn", no.alias("refused"), reason.alias("reason"), text.alias("text"))
+
+
+_STOP_TAIL = "CASE turn % 4 WHEN 0 THEN '<|im_end|> more' WHEN 1 THEN chr(10) || 'User: x' || chr(10) || '---' WHEN 2 THEN '' ELSE chr(10) || '---<|im_start|>' END"
+
+
+def _tailed() -> F.Column:
+    turn = F.col("turn") % 4
+    tail = F.when(turn == 0, "<|im_end|> more").when(turn == 1, "\nUser: x\n---").when(turn == 2, "").otherwise("\n---<|im_start|>")
+    return F.concat("text", tail)
+
+
+@_query(f"""
+WITH t AS (SELECT conv_id, turn, role, text || {_STOP_TAIL} AS t FROM conversations),
+s AS (SELECT *, list_min(list_filter(list_transform(['<|im_end|>', '<|im_start|>', chr(10) || 'Question:', chr(10) || 'User:', chr(10) || 'Human:', chr(10) || '---'],
+  lambda x: strpos(t, x)), lambda x: x > 0)) AS pos FROM t)
+SELECT conv_id, turn, role, CASE WHEN pos IS NULL THEN t ELSE substr(t, 1, pos - 1) END AS text FROM s""")
+def stop_cut(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", X.stop_cut(_tailed()).alias("text"))
+
+
+@_query(f"""
+WITH t AS (SELECT conv_id, turn, role, CASE WHEN turn % 2 = 0 THEN '<think>' || left(text, 20) || '</think>' || chr(10) || ' ' || text || chr(9) ELSE text || '  ' END AS t FROM conversations)
+SELECT conv_id, turn, role, regexp_replace(CASE WHEN strpos(t, '</think>') > 0 THEN regexp_replace(substr(t, strpos(t, '</think>') + 8), '^{_SP}+', '') ELSE t END, '{_SP}+$', '') AS text FROM t""")
+def think_strip(spark: SparkSession, d: str) -> DataFrame:
+    thought = F.concat(F.lit("<think>"), F.substring("text", 1, 20), F.lit("</think>\n "), "text", F.lit("\t"))
+    raw = F.when(F.col("turn") % 2 == 0, thought).otherwise(F.concat("text", F.lit("  ")))
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", X.think_strip(raw).alias("text"))
+
+
+@_query(f"""
+WITH k AS (SELECT row_number() OVER (ORDER BY {_PATH_SQL}) AS id, {_PATH_SQL} AS path, md5(text) AS content_hash FROM documents JOIN labels USING (doc_id)),
+n AS (SELECT {_PATH_SQL} AS path, CASE WHEN lang = 'en' THEN md5('new' || text) END AS content_hash FROM documents)
+SELECT coalesce(k.id, (SELECT max(id) FROM k) + row_number() OVER (PARTITION BY k.id IS NULL ORDER BY n.path)) AS id, n.path, coalesce(n.content_hash, k.content_hash) AS content_hash
+FROM n LEFT JOIN k USING (path)""")
+def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    known = docs.join(table(spark, d, "labels"), "doc_id").select(
+        F.row_number().over(Window.orderBy(_path())).cast("long").alias("id"), _path().alias("path"), F.md5("text").alias("content_hash"), F.current_timestamp().alias("created_at")
+    )
+    new = docs.select(_path().alias("path"), F.when(F.col("lang") == "en", F.md5(F.concat(F.lit("new"), "text"))).alias("content_hash"))
+    return store.upsert_documents(known, new).select("id", "path", "content_hash")
+
+
+@_query(f"WITH {_CHUNKS} SELECT * FROM c WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def delete_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return store.delete_chunks(chunking.chunk(table(spark, d, "documents")), table(spark, d, "labels").filter("quality = 0"))
+
+
+@_query(f"""
+WITH RECURSIVE {_chunk_sql(250, 210)},
+f AS (
+  SELECT doc_id, chunk_idx, 0 AS batch, 1 AS slots, word_count AS used FROM c WHERE chunk_idx = 0
+  UNION ALL
+  SELECT c.doc_id, c.chunk_idx, f.batch + (f.slots >= 16 OR f.used + c.word_count > 2048)::INT,
+    CASE WHEN f.slots >= 16 OR f.used + c.word_count > 2048 THEN 1 ELSE f.slots + 1 END,
+    CASE WHEN f.slots >= 16 OR f.used + c.word_count > 2048 THEN c.word_count ELSE f.used + c.word_count END
+  FROM f JOIN c ON c.doc_id = f.doc_id AND c.chunk_idx = f.chunk_idx + 1)
+SELECT doc_id, chunk_idx, batch FROM f""")
+def batch_packing(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.batches(chunking.chunk(table(spark, d, "documents")), "doc_id", "chunk_idx", "word_count")
+
+
+@_query(f"""
+WITH p AS (SELECT page_id, CASE WHEN url LIKE '%.%' THEN lower(regexp_extract(url, '([^.]*)$', 1)) ELSE '' END AS ext FROM pages)
+SELECT page_id, ext, CASE WHEN ext IN ({", ".join(map(_sql_text, paths.SUPPORTED))}) THEN 'supported' WHEN ext IN ({", ".join(map(_sql_text, paths.IGNORED))}) THEN 'ignored' ELSE 'other' END AS kind FROM p""")
+def path_extension_class(spark: SparkSession, d: str) -> DataFrame:
+    url = F.col("url")
+    return table(spark, d, "pages").select("page_id", paths.extension_of(url).alias("ext"), paths.extension_class(url).alias("kind"))
+
+
+@_query(f"""
+WITH p AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN '  "~/' || url || ' " ' WHEN 1 THEN chr(9) || '''' || replace(url, '/', '\\ ') || '''' ELSE '~' END AS raw FROM pages),
+a AS (SELECT page_id, raw, regexp_replace(raw, '^{_SP}+|{_SP}+\\z', '', 'g') AS t FROM p),
+b AS (SELECT page_id, raw, regexp_replace(CASE WHEN length(t) >= 2 AND left(t, 1) = right(t, 1) AND left(t, 1) IN ('"', '''') THEN substr(t, 2, length(t) - 2) ELSE t END, '^{_SP}+|{_SP}+\\z', '', 'g') AS t FROM a),
+c AS (SELECT page_id, regexp_replace(t, '\\\\([ \\\\"''])', '\\1', 'g') AS t FROM b),
+d AS (SELECT page_id, CASE WHEN t = '~' OR starts_with(t, '~/') THEN '{_HOME}' || substr(t, 2) ELSE t END AS path FROM c)
+SELECT page_id, path, regexp_replace(CASE WHEN starts_with(path, '{_HOME}') THEN '~' || substr(path, {len(_HOME) + 1}) ELSE path END, '/+', '/', 'g') AS shown,
+  regexp_extract(path, '([^/]*)$', 1) AS name FROM d""")
+def path_clean(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("page_id") % 3
+    raw = (
+        F.when(kind == 0, F.concat(F.lit('  "~/'), "url", F.lit(' " ')))
+        .when(kind == 1, F.concat(F.lit("\t'"), F.replace(F.col("url"), F.lit("/"), F.lit("\\ ")), F.lit("'")))
+        .otherwise(F.lit("~"))
+    )
+    cleaned = table(spark, d, "pages").select("page_id", paths.clean_path_of(raw, _HOME).alias("path"))
+    return cleaned.select("page_id", "path", paths.shown_path(F.col("path"), _HOME).alias("shown"), paths.base_name(F.col("path")).alias("name"))
+
+
+@_query("""
+WITH g AS (SELECT p_brand, min(p_name) AS a, max(p_name) AS b, count(*) AS candidates FROM part GROUP BY p_brand)
+SELECT p_brand, candidates, substr(a, 1, coalesce(list_min(list_filter(range(1, 1 + least(length(a), length(b))), lambda i: substr(a, i, 1) <> substr(b, i, 1))) - 1, least(length(a), length(b)))::BIGINT) AS prefix FROM g""")
+def complete_prefix(spark: SparkSession, d: str) -> DataFrame:
+    grouped = table(spark, d, "part").groupBy("p_brand").agg(F.min("p_name").alias("a"), F.max("p_name").alias("b"), F.count("*").alias("candidates"))
+    return grouped.select("p_brand", "candidates", X.common_prefix(F.col("a"), F.col("b")).alias("prefix"))
