@@ -42,7 +42,7 @@ def token_logprob(logits: Column, chosen: Column) -> Column:
 
 def confidence(mean_logprob: Column) -> Column:
     """exp of the mean, within 0 and 1; 0 without tokens."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.exp(mean_logprob))), F.lit(0.0))
+    return F.when(mean_logprob.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.exp(mean_logprob))))
 
 
 def truncated_distribution(logits: DataFrame, key: str = "key", token: str = "token", logit: str = "logit", top_k: int = TOP_K, top_p: float = TOP_P) -> DataFrame:
