@@ -13,7 +13,8 @@ MAX_TRAINING_ROWS = 20_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = MAX_TRAINING_ROWS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(text, label) of at most `rows` labelled ids, as a written table; held-out folds never enter.
+    """(text, label) of at most `rows` labelled ids, as a written table; held-out folds never enter, and equal texts with
+    equal labels enter once, so that copies prove no more than one.
 
     Rows with a null id or label are left out; of several labels of an id the larger counts. Ids are taken by the order of
     a hash, so the choice is the same for any partitioning. The ids are few by that bound, hence the broadcast.
@@ -21,7 +22,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     wanted = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).dropna().filter(~held_out(F.col("id")))
     ids = wanted.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.md5(F.col("id").cast("string")), "id").limit(rows)
     sample = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(ids), "id")
-    return written(sample.select("text", "label"), f"sample-{label}")
+    return written(sample.select("text", "label").distinct(), f"sample-{label}")
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-2, steps: int = 40) -> np.ndarray:

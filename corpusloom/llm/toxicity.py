@@ -4,7 +4,7 @@ Every word has a log-odds score, toxic against clean, under Dirichlet priors who
 A word's evidence is read at two levels, the word and its first letters, and the level with the stronger evidence speaks;
 weak evidence counts nothing, and each word costs a small drift, so that a clean text's expected score is negative. A linear
 scan then finds all maximal scoring segments of a text. By extreme-value theory the best segment of n random words exceeds S
-with probability 1 - exp(-n exp(-lambda S)), where lambda solves E[exp(lambda s)] = 1 over the corpus; segments that pass a
+with probability 1 - exp(-n exp(-lambda S)), where lambda solves E[exp(lambda s)] = 1 over clean words; segments that pass a
 significance level are toxic passages, and a document's score is a logistic calibration of the strongest segment's
 extreme-value statistic and of the sum of its significant ones.
 
@@ -31,10 +31,10 @@ from corpusloom.llm.labelled import MAX_TRAINING_ROWS, labelled_sample, logistic
 WORD_BITS, STEM_BITS = 18, 16
 WORDS, STEMS = 1 << WORD_BITS, 1 << STEM_BITS
 STEM_LETTERS = 4
-#: Pseudo-words that the prior is worth.
-PRIOR = 20_000.0
+#: Pseudo-words that the prior is worth, as a share of the labelled ones.
+PRIOR_SHARE = 0.01
 #: Root of the deviance below which a word's evidence counts nothing.
-EVIDENCE_CUT = 3.5
+EVIDENCE_CUT = 4.5
 DRIFT = 0.05
 SIGNIFICANCE = 0.01
 _CACHE = 400_000
@@ -94,11 +94,12 @@ def word_counts(texts: DataFrame, once: bool = False) -> np.ndarray:
     return out
 
 
-def dirichlet_log_odds(toxic: np.ndarray, clean: np.ndarray, background: np.ndarray, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
-    """(log odds, evidence) of each bucket, with `prior` pseudo-words dealt out as the background is.
+def dirichlet_log_odds(toxic: np.ndarray, clean: np.ndarray, background: np.ndarray, prior_share: float = PRIOR_SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log odds, evidence, share among clean words) of each bucket, with pseudo-words dealt out as the background is.
 
     Evidence is the signed root of the deviance of the two counts from equal rates, which also holds for small counts.
     """
+    prior = max(1.0, prior_share * (toxic.sum() + clean.sum()))
     alpha = prior * (background + 0.5) / (background.sum() + 0.5 * len(background))
     a, b = toxic + alpha, clean + alpha
     odds = np.log(a / (a.sum() - a)) - np.log(b / (b.sum() - b))
@@ -106,7 +107,7 @@ def dirichlet_log_odds(toxic: np.ndarray, clean: np.ndarray, background: np.ndar
     both = toxic + clean
     term = lambda n, part: n * np.log(np.maximum(n, 1e-12) / np.maximum(both * part, 1e-12))
     deviance = 2 * (term(toxic, share) + term(clean, 1 - share))
-    return odds, np.sign(odds) * np.sqrt(np.maximum(deviance, 0))
+    return odds, np.sign(odds) * np.sqrt(np.maximum(deviance, 0)), b / b.sum()
 
 
 def karlin_lambda(scores: np.ndarray, share: np.ndarray) -> float:
@@ -168,7 +169,9 @@ class ToxicityModel:
     def word_scores(self, codes: list[int]) -> np.ndarray:
         c = np.array(codes, np.int64)
         w, s = c & (WORDS - 1), c >> WORD_BITS
-        return np.where(np.abs(self.word_z[w]) >= np.abs(self.stem_z[s]), self.word_score[w], self.stem_score[s]) - DRIFT
+        scores = np.where(np.abs(self.word_z[w]) >= np.abs(self.stem_z[s]), self.word_score[w], self.stem_score[s])
+        scores[1:][c[1:] == c[:-1]] = 0  # a word said again at once adds nothing
+        return scores - DRIFT
 
     def strength(self, score: float, words: int) -> float:
         """Minus the logarithm of the number of segments as strong that so many random words would have."""
@@ -209,15 +212,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = MAX_TRAINING_ROWS) -> To
     sample = labelled_sample(docs, labels, "toxic", rows)
     background = word_counts(docs.select("text", F.lit(0).alias("kind")))[0]
     clean, toxic = word_counts(sample.select("text", (F.col("label") == 1).cast("int").alias("kind")), once=True)
-    parts = []
+    parts, shares = [], []
     for part in (slice(0, WORDS), slice(WORDS, None)):
-        odds, z = dirichlet_log_odds(toxic[part], clean[part], background[part])
+        odds, z, share = dirichlet_log_odds(toxic[part], clean[part], background[part])
+        shares.append(share)
         parts += [odds * np.maximum(0, 1 - (EVIDENCE_CUT / np.maximum(np.abs(z), 1e-9)) ** 2), z]
     model = ToxicityModel(*(x.astype(np.float32) for x in parts))
-    share = background[:WORDS] / max(1.0, background[:WORDS].sum())
     scores = np.asarray(model.word_score, float) - DRIFT
-    if (scores > 0).any() and (share * scores).sum() < 0:
-        model.lam = min(1.0, karlin_lambda(scores, share)) if share[scores > 0].any() else 1.0
+    if (scores > 0).any() and (shares[0] * scores).sum() < 0:
+        model.lam = min(1.0, karlin_lambda(scores, shares[0]))
     held = sample.sparkSession.sparkContext.broadcast(model)
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
