@@ -93,6 +93,42 @@ WITH n AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text,
 k AS (SELECT doc_id, x, first_value(doc_id) OVER (PARTITION BY x ORDER BY length(t) DESC, doc_id NULLS LAST) AS keep_id,
              count(*) OVER (PARTITION BY x) AS group_size FROM n)
 SELECT doc_id, keep_id, group_size::BIGINT AS group_size, doc_id = keep_id AS kept, sha256(x) AS text_sha256 FROM k""",
+    "op4_merkle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id NULLS FIRST, coalesce(text, '')) AS rn, count(*) OVER () AS n FROM documents),
+x AS (SELECT a.rn, a.doc_id, a.t, b.t AS nx FROM d a JOIN d b ON b.rn = a.rn % a.n + 1),
+l AS (
+  SELECT rn, 1 AS kind, t FROM x UNION ALL
+  SELECT rn, 2, substr(t, 1, length(t) - length(t) // 4) || substr(nx, 1, length(t) // 4) FROM x UNION ALL
+  SELECT rn, 3, nx FROM x),
+p AS (
+  SELECT rn, kind, t, list_transform(string_split(t, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda q: {
+    'h': sha256(q),
+    'b': list_transform(list_concat(regexp_extract_all(substr(q, 1, 32), '(?s).{1,8}'), regexp_extract_all(substr(q, 33), '(?s).{1,32}')), lambda b: substr(md5(b), 1, 6))})) AS ss
+  FROM l),
+s AS (SELECT rn, kind, t, ss, list_transform(ss, lambda s: sha256(array_to_string(list_transform(s, lambda q: q.h), ''))) AS hs FROM p),
+f AS (
+  SELECT rn, kind, t, substr(sha256(array_to_string(hs, '')), 1, 32) AS root,
+    list_distinct(flatten(list_transform(ss, lambda s: flatten(list_transform(s, lambda q: q.b))))) AS bs,
+    array_to_string(list_transform(range(1, 1 + len(ss)), lambda i: substr(hs[i], 1, 8) || '(' ||
+      array_to_string(list_transform(ss[i], lambda q: substr(q.h, 1, 8) || '.' || array_to_string(q.b, '')), ';') || ')'), '') AS body
+  FROM s)
+SELECT x.doc_id, length(a.t)::BIGINT AS n_chars, sha256(e.t) AS edited_sha256, a.root || ':' || a.body AS fingerprint, e.root || ':' || e.body AS edited_fingerprint,
+  CASE WHEN a.root = e.root THEN 1.0::DOUBLE ELSE len(list_intersect(a.bs, e.bs))::DOUBLE / greatest(len(a.bs), len(e.bs), 1) END AS near_edited,
+  CASE WHEN a.root = n.root THEN 1.0::DOUBLE ELSE len(list_intersect(a.bs, n.bs))::DOUBLE / greatest(len(a.bs), len(n.bs), 1) END AS near_next
+FROM x JOIN f a ON a.rn = x.rn AND a.kind = 1 JOIN f e ON e.rn = x.rn AND e.kind = 2 JOIN f n ON n.rn = x.rn AND n.kind = 3""",
+    "op5_suffix_dedup": """
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST) AS rn, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT rn, i, array_slice(b, i, i + 99) AS s FROM (SELECT rn, b, unnest(range(1, octet_length(b) - 98)) AS i FROM d WHERE octet_length(b) >= 100)),
+r AS (SELECT rn, i, row_number() OVER (PARTITION BY s ORDER BY rn, i) AS k FROM w),
+g AS (SELECT rn, i, CASE WHEN i - lag(i) OVER (PARTITION BY rn ORDER BY i) <= 100 THEN 0 ELSE 1 END AS fresh FROM r WHERE k > 1),
+h AS (SELECT rn, i, sum(fresh) OVER (PARTITION BY rn ORDER BY i) AS run FROM g),
+p AS (SELECT rn, run, min(i) AS a, max(i) + 99 AS z FROM h GROUP BY rn, run),
+l AS (SELECT rn, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, sum(z - a + 1)::BIGINT AS n_removed, count(*) AS n_spans FROM p GROUP BY rn)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  CASE WHEN n_spans IS NULL THEN sha256(b) ELSE sha256(unhex(array_to_string(list_transform(range(1, n_spans + 2), lambda k:
+    CASE WHEN (CASE WHEN k = 1 THEN 1 ELSE z[k - 1] + 1 END) <= (CASE WHEN k > n_spans THEN octet_length(b) ELSE a[k] - 1 END)
+      THEN hex(array_slice(b, CASE WHEN k = 1 THEN 1 ELSE z[k - 1] + 1 END, CASE WHEN k > n_spans THEN octet_length(b) ELSE a[k] - 1 END)) ELSE '' END), ''))) END AS kept_sha256
+FROM d LEFT JOIN l USING (rn)""",
     "op9_url_filter": rf"""
 WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (
