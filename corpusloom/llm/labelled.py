@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm.common import held_out, written
 
 #: Labelled rows that a classifier is fitted on at most; its choice depends on ids alone.
 MAX_TRAINING_ROWS = 20_000
+_AT_ONCE = 512
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = MAX_TRAINING_ROWS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -41,5 +46,19 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None,
     return w
 
 
+def with_scores(docs: DataFrame, name: str, text: str, scores: Callable[[list[str | None]], np.ndarray]) -> DataFrame:
+    """`docs` with a column of scores of its texts, in one pass and without a shuffle. Whole rows go through Arrow, so the
+    JVM keeps none of them waiting for an answer; texts become Python strings a few at a time."""
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place)
+            found = [scores(texts.slice(at, _AT_ONCE).to_pylist()) for at in range(0, batch.num_rows, _AT_ONCE)]
+            yield batch.append_column(name, pa.array(np.concatenate([np.zeros(0), *found]), pa.float64()))
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
 def sigmoid(x: np.ndarray | float) -> np.ndarray | float:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))

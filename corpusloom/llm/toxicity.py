@@ -23,10 +23,11 @@ from functools import cached_property
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.labelled import MAX_TRAINING_ROWS, labelled_sample, logistic_fit, sigmoid
+from corpusloom.llm.labelled import with_scores as score_texts
 
 WORD_BITS, STEM_BITS = 18, 16
 WORDS, STEMS = 1 << WORD_BITS, 1 << STEM_BITS
@@ -239,18 +240,6 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = MAX_TRAINING_ROWS) -> To
     return model
 
 
-def scorer(docs: DataFrame, model: ToxicityModel):
-    """A column function from text to score; nulls count as empty texts."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def toxicity(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            yield pd.Series([held.value.score(t) for t in part], dtype="float64")
-
-    return toxicity
-
-
 def toxic_passages(docs: DataFrame, model: ToxicityModel, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, start, end, score, p), a row for every significant passage of every text."""
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -265,5 +254,5 @@ def toxic_passages(docs: DataFrame, model: ToxicityModel, text: str = "text", do
 
 def with_scores(docs: DataFrame, model: ToxicityModel, name: str = "score", text: str = "text") -> DataFrame:
     """`docs` with the column `name`, 0 to 1; every row stays, in one pass and without a shuffle."""
-    score: Column = scorer(docs, model)(F.col(text))
-    return docs.withColumn(name, score)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return score_texts(docs, name, text, lambda texts: np.array([held.value.score(t) for t in texts]))
