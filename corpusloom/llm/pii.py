@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -183,8 +184,6 @@ def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with the text column redacted; every row and column stays."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def clean(part: pd.Series) -> pd.Series:
         return part.map(lambda t: redact(t) if t else t)

@@ -74,5 +74,13 @@ def test_local_search_empties_bins():
 
 
 def test_exchanges_find_what_moves_cannot():
-    """One-for-one and two-for-one steps: best fit leaves three bins, two are enough."""
-    assert len(P.local_search([[0, 1], [2, 3], [4]], [6, 3, 5, 3, 3], 10)) == 2
+    """The last bin's 4 fits nowhere; exchanged for a 2, both other bins fill up."""
+    assert len(P.local_search([[0, 1], [2, 3], [4]], [6, 2, 5, 3, 4], 10)) == 2
+
+
+def test_two_for_one():
+    """Neither 3 nor 2 is of use alone; both for the 4 fill the first bin, and the 4 has room in the second."""
+    bins, size = [[0, 1], [2], [3, 4]], np.array([5, 4, 6, 3, 2])
+    fill = np.array([9, 6, 5])
+    assert P._step(bins, size, fill, 2, np.array([0]), 10)
+    assert sorted(map(sorted, bins)) == [[0, 3, 4], [1], [2]] and fill.tolist() == [10, 6, 4]
