@@ -8,13 +8,16 @@ group's waste is under a sequence once its bins reach the lower bound, so more g
 
 from __future__ import annotations
 
+import json
+import re
+import sys
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +27,12 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces in a group that is packed on its own, on average.
 GROUP_PIECES = 16_384
-#: The pre-tokenizer's pattern, fixed by the vocabulary.
-PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Characters on whose classes every library agrees; a text with others goes to the tokenizer whole.
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7E\xA1-ɏ]*")
-_CACHE = 300_000
+#: The pre-tokenizer's pattern, fixed by the vocabulary, as it reads for plain texts.
+PRETOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Characters on whose classes all libraries agree, so without fractions and raised digits; a text with others goes to the
+#: tokenizer whole.
+_PLAIN = re.compile("[\t\n\r\x20-\x7E\xA1-\xB1\xB4-\xB8\xBA\xBB\xBF-\u024F]*")
+_CACHE = 400_000
 
 
 def default_tokenizer() -> str:
@@ -37,19 +41,54 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> dict[str, int]:
+    """The letters that a byte-level vocabulary writes bytes as: visible ones stand for themselves, the others for the
+    code points from 256 on, in order."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+def _merger(path: str) -> Callable[[bytes], list[int]] | None:
+    """A quicker way to the same ids for one pretoken, by ranks; None where a vocabulary's ids aren't in the order of its
+    merges, for then ranks don't decide."""
+    try:
+        import tiktoken
+    except ImportError:
+        return None
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    vocabulary, merges = found["model"]["vocab"], found["model"]["merges"]
+    added = {t["content"] for t in found["added_tokens"]}
+    joined = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in merges]
+    if any(vocabulary.get(m) != 256 + k for k, m in enumerate(joined)):
+        return None
+    letters = _byte_letters()
+    ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token not in added}
+    core = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+    return getattr(core, "encode_single_piece", None)
+
+
 class _Pretokens(dict):
     """Pretoken to its ids as little-endian bytes; forgets everything when full."""
 
-    def __init__(self, tokenizer) -> None:
-        self.tokenizer = tokenizer
+    def __init__(self, merge: Callable[[bytes], list[int]]) -> None:
+        self.merge = merge
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= _CACHE:
             self.clear()
-        ids = self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self[word] = _ids(self.merge(word.encode()))
         return ids
 
 
+def _ids(ids: list[int]) -> bytes:
+    made = array("I", ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
+
+
 class Encoder:
     """Token ids as bytes. A byte-level BPE works on each pretoken alone, so those of plain texts are looked up."""
 
@@ -58,12 +97,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known = _Pretokens(self.tokenizer)
+        self.known = _Pretokens(_merger(path) or (lambda word: self.tokenizer.encode(word.decode(), add_special_tokens=False).ids))
 
     def __call__(self, text: str) -> bytes:
         if _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
             return b"".join(map(self.known.__getitem__, PRETOKENS.findall(text)))
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
 @lru_cache(maxsize=2)
