@@ -1,4 +1,4 @@
-"""Command line: ingest, query, docs, chunks, stats, config, reset."""
+"""Command line: ingest, query, chat, docs, chunks, stats, config, reset."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ import argparse
 import sys
 
 from corpusloom import config as settings
+from corpusloom.config import user_file
 from corpusloom.functions import text as X
+from corpusloom.functions.paths import clean_path
 from corpusloom.operators import catalog
 from corpusloom.operators.store import Index
 
@@ -17,6 +19,7 @@ def _parser() -> argparse.ArgumentParser:
     verbs = top.add_subparsers(dest="verb", required=True)
     verbs.add_parser("ingest", help="index a file or folder").add_argument("path")
     verbs.add_parser("query", help="answer a question").add_argument("question")
+    verbs.add_parser("chat", help="questions and /commands, one a line")
     verbs.add_parser("docs", help="list documents").add_argument("pattern", nargs="?")
     chunks = verbs.add_parser("chunks", help="list a document's chunks")
     chunks.add_argument("document", help="id, or part of the path")
@@ -27,17 +30,57 @@ def _parser() -> argparse.ArgumentParser:
     return top
 
 
+def _chat(spark, config, lines) -> None:
+    """Lines with a slash are the verbs of this program; any other line is a question."""
+    from corpusloom.operators.complete import COMMANDS, History
+
+    history = History(str(user_file().with_name("history")))
+    for line in map(str.strip, lines):
+        history.add(line)
+        word, _, rest = line.partition(" ")
+        if word in ("/exit", "/quit", "/q"):
+            return
+        if word in ("/help", "/?"):
+            print(*COMMANDS, sep="\n")
+        elif word == "/reload":
+            config = settings.load()
+        elif word in ("/docs", "/chunks", "/ingest", "/stats", "/config", "/reset"):
+            try:
+                args = _parser().parse_args([word[1:], *([clean_path(rest)] if rest and word != "/reset" else rest.split())])
+            except SystemExit:
+                continue
+            try:
+                _run(spark, config, args)
+            except (OSError, ValueError) as e:
+                print(e, file=sys.stderr)
+        elif line.startswith("/"):
+            print(f"unknown command {word}", file=sys.stderr)
+        elif line:
+            _run(spark, config, argparse.Namespace(verb="query", question=line))
+
+
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     config = settings.load(args.config)
     if args.verb == "config":
         settings.show(config)
         return 0
-    from corpusloom.plans.ask import ask, cited, hits_for
-    from corpusloom.plans.ingest import ingest
     from corpusloom.session import local_session
 
     spark = local_session("*")
+    if args.verb == "chat":
+        _chat(spark, config, sys.stdin)
+        return 0
+    return _run(spark, config, args)
+
+
+def _run(spark, config, args) -> int:
+    from corpusloom.plans.ask import ask, cited, hits_for
+    from corpusloom.plans.ingest import ingest
+
+    if args.verb == "config":
+        settings.show(config)
+        return 0
     index = Index(spark, config.index_path, config.embed_dimension)
     if args.verb == "ingest":
         done = ingest(spark, args.path, config)

@@ -70,3 +70,8 @@ def content_hash_sql(data: str) -> Column:
             'hi', (s.hi * {PRIME & 0xFFFF}L + (s.lo ^ x) * 256L + shiftright((s.lo ^ x) * {PRIME & 0xFFFF}L, 32)) & 4294967295L,
             'lo', ((s.lo ^ x) * {PRIME & 0xFFFF}L) & 4294967295L),
           s -> lower(concat(lpad(hex(s.hi), 8, '0'), lpad(hex(s.lo), 8, '0')))) END""")
+
+
+def hash_bucket(hexed: Column, buckets: int = 65_536) -> Column:
+    """The bucket of a hash in hex digits, for a power of two of buckets up to 2^60: its low bits."""
+    return F.conv(F.right(hexed, F.lit(15)), 16, 10).cast("long") % buckets

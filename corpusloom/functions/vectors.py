@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _TINY = 1e-12
@@ -25,3 +25,8 @@ def l2_normalize(v: Column) -> Column:
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 minus the cosine; null where a vector has no length."""
     return 1 - dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
+
+
+def mean_pool(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, place, mean): the mean of each component over a key's vectors, by partial aggregation."""
+    return rows.select(key, F.posexplode(vector).alias("place", "x")).groupBy(key, "place").agg(F.avg(F.col("x").cast("double")).alias("mean"))

@@ -45,6 +45,27 @@ def resolve(documents: DataFrame, wanted: str) -> int | None:
     return first[0]
 
 
+def owners(documents: DataFrame) -> DataFrame:
+    """(content_hash, id, copies): the lowest id of each hash; documents without a hash own none."""
+    return documents.filter("content_hash <> ''").groupBy("content_hash").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+
+
+def find_by_path(documents: DataFrame, path: str) -> int | None:
+    row = documents.filter(F.col("path") == path).select("id").first()
+    return row[0] if row else None
+
+
+def find_by_hash(documents: DataFrame, content_hash: str) -> int | None:
+    """The lowest id with this hash."""
+    return documents.filter(F.col("content_hash") == content_hash).agg(F.min("id")).first()[0]
+
+
+def hash_of(documents: DataFrame, path: str) -> str | None:
+    """The hash of a path; None where the path is unknown or has no hash."""
+    row = documents.filter(F.col("path") == path).select(F.nullif("content_hash", F.lit(""))).first()
+    return row[0] if row else None
+
+
 def paged(listed: DataFrame, key: str, size: int = PAGE) -> DataFrame:
     """Adds row numbers by the key and the page each falls on."""
     return numbered(listed, key).withColumn("page", F.ceil(F.col("rn") / size).cast("int"))

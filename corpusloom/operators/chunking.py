@@ -27,3 +27,8 @@ def batches(counts: DataFrame, key: str, order: str, tokens: str, slots: int = 1
           ELSE named_struct('batch', s.batch, 'slots', s.slots + 1, 'used', s.used + {n}, 'out', concat(s.out, array(named_struct('o', x.o, 'batch', s.batch))))
         END, s -> s.out)""")
     return counts.groupBy(key).agg(folded.alias("b")).select(key, F.explode("b").alias("b")).select(key, F.col("b.o").alias(order), F.col("b.batch").alias("batch"))
+
+
+def slices(chunks: DataFrame, size: int = 16) -> DataFrame:
+    """Adds the slice of `size` consecutive chunks that each chunk falls in."""
+    return chunks.withColumn("slice", F.floor(F.col("chunk_idx") / size).cast("int"))

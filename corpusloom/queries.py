@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions import generation as G
 from corpusloom.functions import paths, vectors
 from corpusloom.functions import text as X
-from corpusloom.functions.hashing import content_hash, content_hash_sql
-from corpusloom.operators import catalog, chunking, ingest_status, knn, store
+from corpusloom.functions.hashing import content_hash, content_hash_sql, hash_bucket
+from corpusloom.operators import catalog, chunking, complete, ingest_status, knn, store
 from corpusloom.operators.retrieval import retrieve
 from corpusloom.operators.tables import table
 
@@ -422,3 +422,37 @@ SELECT p_brand, candidates, substr(a, 1, coalesce(list_min(list_filter(range(1,
 def complete_prefix(spark: SparkSession, d: str) -> DataFrame:
     grouped = table(spark, d, "part").groupBy("p_brand").agg(F.min("p_name").alias("a"), F.max("p_name").alias("b"), F.count("*").alias("candidates"))
     return grouped.select("p_brand", "candidates", X.common_prefix(F.col("a"), F.col("b")).alias("prefix"))
+
+
+@_query("""
+WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding)))::INT AS place FROM embeddings)
+SELECT label, place, round(avg(x), 6) AS mean FROM e GROUP BY ALL""")
+def mean_pooling(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.mean_pool(table(spark, d, "embeddings"), "label", "embedding").withColumn("mean", F.round("mean", 6))
+
+
+@_query(f"WITH {_CHUNKS} SELECT doc_id, (chunk_idx // 16)::INT AS slice, count(*) AS chunks, min(chunk_idx) AS first FROM c GROUP BY ALL")
+def chunk_slices(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.slices(chunking.chunk(table(spark, d, "documents"))).groupBy("doc_id", "slice").agg(
+        F.count("*").alias("chunks"), F.min("chunk_idx").alias("first")
+    )
+
+
+@_query("SELECT md5(text) AS content_hash, min(doc_id) AS id, count(*) AS copies FROM documents GROUP BY ALL")
+def hash_owners(spark: SparkSession, d: str) -> DataFrame:
+    docs, _ = _catalog(spark, d)
+    return catalog.owners(docs)
+
+
+@_query(f"WITH h AS ({_FNV}) SELECT doc_id, ('0x' || right(content_hash, 4))::BIGINT AS bucket FROM h")
+def hash_buckets(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", hash_bucket(content_hash(F.col("text"))).alias("bucket"))
+
+
+@_query("""
+WITH c AS (SELECT DISTINCT p_brand AS prefix, p_name AS name, p_name LIKE '%ring' AS is_dir FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY is_dir DESC, name) AS rank FROM c)
+SELECT prefix, name, is_dir, rank::INT AS rank FROM r WHERE rank <= 16""")
+def complete_candidates(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "part").select(F.col("p_brand").alias("prefix"), F.col("p_name").alias("name"), F.col("p_name").endswith("ring").alias("is_dir")).distinct()
+    return complete.ranked(names, "prefix")

@@ -12,7 +12,7 @@ from corpusloom import config as settings
 from corpusloom.config import Config
 from corpusloom.functions import generation as G
 from corpusloom.log import close_log, open_log
-from corpusloom.operators import catalog
+from corpusloom.operators import catalog, complete
 from corpusloom.operators.store import Index, delete_chunks
 from corpusloom.plans.ask import answers, ask, cited, hits_for
 from corpusloom.plans.ingest import ingest
@@ -174,3 +174,36 @@ def test_landing_zone(spark, tmp_path):
     index = Index(spark, c.index_path, 16)
     assert tuple(catalog.stats(index.documents(), index.chunks()).first()) == (2, 1)
     assert ingest_rows(index, rows, c).docs == 0
+
+
+def test_completion_and_history(tmp_path):
+    assert "/quit" not in complete.commands("/") and complete.commands("/q") == ["/quit"] and len(complete.commands("")) == 12
+    for name in ("b.txt", "a.txt", ".hid"):
+        (tmp_path / name).write_text("x")
+    (tmp_path / "zdir").mkdir()
+    assert [p.removeprefix(str(tmp_path)) for p, _ in complete.paths(f"{tmp_path}/")] == ["/zdir/", "/a.txt ", "/b.txt "]
+    assert complete.paths(f"{tmp_path}/.h")[0][1] is False and complete.paths("/none/x") == []
+    history = complete.History(str(tmp_path / "h" / "lines"))
+    for line in ("/help", "/stats", "/stats", "What?", ""):
+        history.add(line)
+    assert complete.History(str(tmp_path / "h" / "lines")).lines == ["/help", "/stats", "What?"]
+
+
+def test_lookups(spark):
+    docs = spark.createDataFrame([(3, "b", "h"), (2, "a", "h"), (4, "c", None), (5, "d", "")], "id long, path string, content_hash string")
+    assert catalog.find_by_path(docs, "b") == 3 and catalog.find_by_path(docs, "z") is None
+    assert catalog.find_by_hash(docs, "h") == 2 and catalog.find_by_hash(docs, "q") is None
+    assert [catalog.hash_of(docs, p) for p in "bcdz"] == ["h", None, None, None]
+
+
+def test_command_line(spark, library, capsys, monkeypatch):
+    from corpusloom import cli
+
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(library / "cfg"))
+    c = Config(index_path=f"file://{library}/kb2", similarity_threshold=0.3, confidence_threshold=0.1)
+    lines = ["/help", "/nope", f"/ingest '{library}/in'", "/stats", "/docs A.TXT", "/chunks b.txt", "/reset", "Where do apples grow", "/exit", "/docs"]
+    cli._chat(spark, c, lines)
+    out = capsys.readouterr()
+    assert "3 documents, 3 chunks stored" in out.out and "documents: 3" in out.out and "a.txt" in out.out and "Bananas are" in out.out
+    assert "Apples grow on trees" in out.out and "unknown command /nope" in out.err and "force" in out.err
+    assert (library / "cfg" / "corpusloom" / "history").exists()
