@@ -24,16 +24,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import OWN, partitions, with_row_ids, written
 
 MATCH = 100
-GRAM = 32
+#: Longer grams are sampled more densely, but fewer are shared by chance and each edge has fewer strings.
+GRAM = 56
 REACH = MATCH - GRAM
 #: Bytes of text that are hashed at a time; longer documents are read in pieces that overlap.
 CHUNK = 1 << 20
+#: Bytes of text whose samples are reduced together before they are shuffled.
+REDUCED = 12 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _LAST = np.iinfo(np.int64).max
 _U = np.uint64
@@ -304,6 +308,17 @@ def _sent(parts: int, entries: dict[str, np.ndarray], spread: np.ndarray, rest:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["part", "kind", "body"])
 
 
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut where their texts pass REDUCED bytes, to bound what one step holds."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + REDUCED, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def _batch_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
     """(ids, rows, texts, order): the rows of a batch by id, null ids last, then row."""
     ids = batch.column("doc_id").fill_null(_LAST).to_numpy()
@@ -316,7 +331,7 @@ def _batch_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[byt
 def _index_samples(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = 0
-        for batch in batches:
+        for batch in _portions(batches):
             ids, rows, texts, _ = _batch_rows(batch)
             found = [_samples(c) for c in _chunks(texts)]
             if not found:
@@ -381,7 +396,7 @@ def _settle_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _index_strings(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = 0
-        for batch in batches:
+        for batch in _portions(batches):
             ids, rows, texts, order = _batch_rows(batch)
             places = batch.column("places").to_pylist()
             wanted = [np.unique(np.array(places[i], np.int64)) for i in order]
@@ -419,7 +434,7 @@ def _settle_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """(row, doc_id, text) to (row, a, b): byte spans that repeat earlier text; they may touch and overlap."""
     n = partitions(rows.sparkSession)
-    parts = n * max(1, min(8, 2048 // n))  # several parts a task even out what the shuffle's hash deals unevenly
+    parts = n * max(1, 256 // n)  # several parts a task even out what the shuffle's hash deals unevenly
     found = "kind int, row long, a long, b long"
     first = written(rows.mapInArrow(_index_samples(parts), _EXCHANGE).repartition(n, "part").mapInArrow(_settle_samples, found), "samples")
     edges = first.filter(F.col("kind") == _EDGE).groupBy("row").agg(F.collect_set("a").alias("places"))
