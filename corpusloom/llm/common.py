@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
     own = f"{OWN}shared_dir"
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = getattr(spark.sparkContext, own, None) or "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        setattr(spark.sparkContext, own, folder)
+        folder = getattr(spark.sparkContext, own, None)
+        if not folder:
+            local = tempfile.mkdtemp(prefix="corpusloom-")
+            atexit.register(shutil.rmtree, local, ignore_errors=True)
+            folder = f"file://{local}"
+            setattr(spark.sparkContext, own, folder)
     return folder.rstrip("/")
 
 
@@ -45,9 +52,20 @@ def forget(df: DataFrame) -> None:
 
 
 def with_row_ids(df: DataFrame, name: str = f"{OWN}row") -> DataFrame:
-    """Each row gets a number of its own. The numbers follow the scan's partitions and order, so a table read from files
-    gets the same ones each time it is read; rows that are equal in every column still differ here."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """Each row gets a number of its own; rows that are equal in every column still differ here.
+
+    For tables read from Parquet it follows from the file's name and the row's place in it, so it is the same in each plan
+    that reads the table, however many executors there are and however files are split. Numbers of two files overlap with a
+    chance of about 2 * rows / 2^62. Other tables are numbered by partition, which holds within one plan; write them first
+    where several plans must agree.
+    """
+    place = F.shiftrightunsigned(F.xxhash64("_metadata.file_path"), 2) + F.col("_metadata.row_index")
+    try:
+        found = df.withColumn(name, place)
+        found.schema  # noqa: B018  resolves the hidden columns
+        return found
+    except AnalysisException:
+        return df.withColumn(name, F.monotonically_increasing_id())
 
 
 def partitions(spark: SparkSession) -> int:
