@@ -41,17 +41,21 @@ def chunks(text: Column, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP)
     if size <= 0:
         return F.array().cast("array<struct<chunk_idx:int,content:string,word_count:int>>")
     size, step = chunk_steps(size, overlap)
-    ws = words(F.coalesce(text, F.lit("")))
-    last = F.greatest(F.lit(0), F.ceil((F.size(ws) - size) / F.lit(step))).cast("int")
-    starts = F.when(F.size(ws) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), last))
-    return F.transform(
-        starts,
-        lambda i: F.struct(
-            i.cast("int").alias("chunk_idx"),
-            F.array_join(F.slice(ws, i * step + 1, F.lit(size)), " ").alias("content"),
-            F.least(F.lit(size), F.size(ws) - i * step).cast("int").alias("word_count"),
-        ),
-    )
+
+    def windows(ws: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(ws) - size) / F.lit(step))).cast("int")
+        starts = F.when(F.size(ws) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), last))
+        return F.transform(
+            starts,
+            lambda i: F.struct(
+                i.cast("int").alias("chunk_idx"),
+                F.array_join(F.slice(ws, i * step + 1, F.lit(size)), " ").alias("content"),
+                F.least(F.lit(size), F.size(ws) - i * step).cast("int").alias("word_count"),
+            ),
+        )
+
+    # The words are bound to a variable: an expression named twice inside a lambda would be split anew for each window.
+    return F.flatten(F.transform(F.array(words(F.coalesce(text, F.lit("")))), windows))
 
 
 def sanitize_controls(text: Column) -> Column:

@@ -22,6 +22,18 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 0, n, 1)
 
 
+def best_places(near: np.ndarray, k: int, *ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the k best of each row, ties by the columns' keys. Only what reaches a row's k-th value is sorted."""
+    shown = np.round(near, DIGITS)
+    k = min(k, near.shape[1])
+    least = -np.partition(-shown, k - 1, axis=1)[:, k - 1 : k]
+    row, col = np.nonzero(shown >= least)
+    order = np.lexsort((*(t[col] for t in reversed(ties)), -shown[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], col[place < k]
+
+
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows that have a vector of this width and a length, their vectors)."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -68,12 +80,11 @@ def _block(corpus: DataFrame, held, k: int, width: int, vec_id: str, vector: str
                 raise ValueError(f"the corpus has vectors of another width than {width}")
             ok, vectors = _matrix(batch.column(1), width)
             own = batch.column(0).to_numpy()[ok]
+            if not len(own):
+                continue
             near = units @ _unit(vectors).T
-            order = np.lexsort((np.broadcast_to(own, near.shape), -np.round(near, DIGITS)), axis=1)[:, :k]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, order.shape[1])), pa.array(own[order].ravel()), pa.array(np.take_along_axis(near, order, 1).ravel())],
-                ["query_id", "vec_id", "similarity"],
-            )
+            row, col = best_places(near, k, own)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(own[col]), pa.array(near[row, col])], ["query_id", "vec_id", "similarity"])
 
     return corpus.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v")).mapInArrow(scan, "query_id long, vec_id long, similarity double")
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.embed import DIMENSION, HashedWords
 from corpusloom.operators.chunking import chunk
-from corpusloom.operators.knn import BLOCK, DIGITS, SIMILARITY, TOP_K
+from corpusloom.operators.knn import BLOCK, DIGITS, SIMILARITY, TOP_K, best_places
+from corpusloom.operators.tables import spread
 
 _CHUNKS_AT_ONCE = 2000
 
@@ -25,7 +26,7 @@ def retrieve(docs: DataFrame, questions: DataFrame, k: int = TOP_K, threshold: f
     """
     spark = docs.sparkSession
     asked = questions.select(F.col(question_id).cast("long").alias("q"), F.coalesce(F.col(text), F.lit("")).alias("t")).orderBy("q").collect()
-    pieces = chunk(docs).select("doc_id", "chunk_idx", "content")
+    pieces = chunk(spread(docs)).select("doc_id", "chunk_idx", "content")
     found = None
     for at in range(0, max(1, len(asked)), BLOCK):
         some = _nearest(pieces, spark.sparkContext.broadcast([tuple(r) for r in asked[at : at + BLOCK]]), k)
@@ -54,11 +55,11 @@ def _nearest(pieces: DataFrame, held, k: int) -> DataFrame:
                 doc, idx = part.column(0).to_numpy(), part.column(1).to_numpy()
                 # Products of counts are whole numbers, so this is exact before the one division.
                 near = (counts @ vectors.T) / (length[:, None] * np.sqrt((vectors * vectors).sum(1)))
-                order = np.lexsort((np.broadcast_to(idx, near.shape), np.broadcast_to(doc, near.shape), -np.round(near, DIGITS)), axis=1)[:, :k]
-                best = np.take_along_axis(near, order, 1).ravel()
-                some = best > 0
+                row, col = best_places(near, k, doc, idx)
+                some = near[row, col] > 0
+                row, col = row[some], col[some]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[some]) for x in (np.repeat(ids, order.shape[1]), doc[order].ravel(), idx[order].ravel().astype(np.int32), best)],
+                    [pa.array(ids[row]), pa.array(doc[col]), pa.array(idx[col].astype(np.int32)), pa.array(near[row, col])],
                     ["item_id", "doc_id", "chunk_idx", "similarity"],
                 )
 

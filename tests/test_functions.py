@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -180,3 +181,13 @@ def test_numbering_is_global(spark):
 def test_common_prefix(spark):
     df = spark.createDataFrame([(0, "abc", "abd"), (1, "", "a"), (2, "a", "a"), (3, "x", "y")], "i int, a string, b string")
     assert values(df.select("i", X.common_prefix(F.col("a"), F.col("b")).alias("x"))) == ["ab", "", "a", ""]
+
+
+def test_best_places_equal_a_sort():
+    draw = np.random.default_rng(4)
+    near = np.round(draw.random((30, 200)), 1)
+    ids = draw.permutation(200)
+    row, col = knn.best_places(near, 5, ids)
+    want = [sorted(range(200), key=lambda c: (-near[r, c], ids[c]))[:5] for r in range(30)]
+    assert col.reshape(30, 5).tolist() == want and row.tolist() == np.repeat(np.arange(30), 5).tolist()
+    assert len(knn.best_places(near[:, :3], 5, ids[:3])[0]) == 90
