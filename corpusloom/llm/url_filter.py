@@ -31,7 +31,7 @@ LISTED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets"
 LISTED = tuple(f"{name}.example.{end}" for name in LISTED_NAMES for end in ("com", "net", "org"))
 BITS_PER_KEY = 6
 HASHES = 4
-#: Bits of one filter at most. A level with more keys is refused: split the list by hash of the key first.
+#: Bits of one shard of a filter at most. A level with more keys has its keys dealt to several shards by hash.
 MAX_BITS = 1 << 23
 MAX_LEVELS = 64
 
@@ -67,13 +67,16 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, st
 
 @dataclass(frozen=True)
 class BloomFilter:
+    #: Bits of each shard.
     bits: int
-    words: bytes
+    shards: tuple[bytes, ...]
 
     def holds(self, key: Column, level: int) -> Column:
-        found = F.lit(True)
+        found, words = F.lit(True), F.lit(self.shards[0])
+        if len(self.shards) > 1:
+            words = F.element_at(F.array(*map(F.lit, self.shards)), _shard(key, len(self.shards), level) + 1)
         for place in _places(key, self.bits, level):
-            byte = F.conv(F.hex(F.substring(F.lit(self.words), F.shiftright(place, 3).cast("int") + 1, 1)), 16, 10).cast("int")
+            byte = F.conv(F.hex(F.substring(words, F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
             found = found & (F.call_function("shiftright", byte, (7 - F.pmod(place, F.lit(8))).cast("int")).bitwiseAND(1) == 1)
         return found
 
@@ -82,22 +85,32 @@ def _places(key: Column, bits: int, level: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(bits)) for i in range(HASHES)]
 
 
+def _shard(key: Column, shards: int, level: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(level), F.lit(-1)), F.lit(shards)).cast("int")
+
+
 def _filter_of(keys: DataFrame, level: int) -> BloomFilter | None:
-    """The filter of the keys in column `key`, or None where there are none. At most MAX_BITS / 8 rows reach the driver."""
+    """The filter of the keys in column `key`, or None where there are none. At most MAX_BITS / 8 rows reach the driver at
+    once, those of one shard."""
     n = keys.distinct().count()
     if not n:
         return None
-    bits = max(64, -(-n * BITS_PER_KEY // 64) * 64)
-    if bits > MAX_BITS:
-        raise ValueError(f"{n} keys need {bits} bits; split the list by hash of the key")
+    shards = -(-n * BITS_PER_KEY // MAX_BITS)
+    bits = max(64, -(-n * BITS_PER_KEY // (64 * shards)) * 64)
+    if shards > 1:
+        keys = written(keys, "url-level")
     place = F.explode(F.array(*_places(F.col("key"), bits, level)))
-    marks = keys.select(place.alias("place")).groupBy(F.expr("place div 8").cast("int").alias("byte")).agg(
-        F.bit_or(F.expr("shiftleft(1, cast(7 - place % 8 as int))")).alias("value")
-    )
-    words = bytearray(bits // 8)
-    for byte, value in marks.collect():
-        words[byte] |= value
-    return BloomFilter(bits, bytes(words))
+    made = []
+    for shard in range(shards):
+        some = keys.filter(_shard(F.col("key"), shards, level) == shard) if shards > 1 else keys
+        marks = some.select(place.alias("place")).groupBy(F.expr("place div 8").cast("int").alias("byte")).agg(
+            F.bit_or(F.expr("shiftleft(1, cast(7 - place % 8 as int))")).alias("value")
+        )
+        words = bytearray(bits // 8)
+        for byte, value in marks.collect():
+            words[byte] |= value
+        made.append(bytes(words))
+    return BloomFilter(bits, tuple(made))
 
 
 @dataclass(frozen=True)

@@ -34,3 +34,15 @@ def test_cascade_is_exact_over_its_universe(spark):
     found = keys.select("key", made.holds(keys["key"]).alias("x")).collect()
     assert all(r["x"] == (r["key"] in set(listed)) for r in found)
     assert not U.Cascade.build(frame([]), frame(universe)).levels
+
+
+def test_levels_of_any_size_are_sharded(spark, monkeypatch):
+    monkeypatch.setattr(U, "MAX_BITS", 1024)
+    draw = random.Random(10)
+    universe = [f"h{draw.randint(0, 10**9)}.net" for _ in range(3000)]
+    listed = set(draw.sample(universe, 700))
+    keys = spark.createDataFrame([(k,) for k in universe], "key string")
+    made = U.Cascade.build(spark.createDataFrame([(k,) for k in listed], "key string"), keys)
+    assert len(made.levels[0].shards) == 5 and all(8 * len(w) <= 1024 for level in made.levels for w in level.shards)
+    found = keys.select("key", made.holds(keys["key"]).alias("x")).collect()
+    assert all(r["x"] == (r["key"] in listed) for r in found)
