@@ -20,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and Spark is
+    local (tests). A cluster without the setting raises: its executors would each write to a disk of their own."""
     own = f"{OWN}shared_dir"
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = getattr(spark.sparkContext, own, None)
         if not folder:
             local = tempfile.mkdtemp(prefix="corpusloom-")
@@ -56,8 +59,7 @@ def with_row_ids(df: DataFrame, name: str = f"{OWN}row") -> DataFrame:
 
     For tables read from Parquet it follows from the file's name and the row's place in it, so it is the same in each plan
     that reads the table, however many executors there are and however files are split. Numbers of two files overlap with a
-    chance of about 2 * rows / 2^62. Other tables are numbered by partition, which holds within one plan; write them first
-    where several plans must agree.
+    chance of about 2 * rows / 2^62. Other tables are numbered by partition and written, so that all plans see one numbering.
     """
     place = F.shiftrightunsigned(F.xxhash64("_metadata.file_path"), 2) + F.col("_metadata.row_index")
     try:
@@ -65,7 +67,26 @@ def with_row_ids(df: DataFrame, name: str = f"{OWN}row") -> DataFrame:
         found.schema  # noqa: B018  resolves the hidden columns
         return found
     except AnalysisException:
-        return df.withColumn(name, F.monotonically_increasing_id())
+        return written(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
+#: Row numbers that a join may broadcast; 8 bytes each, and their hash table.
+BROADCAST_ROWS = 1 << 21
+
+
+def _few(numbers: DataFrame) -> DataFrame:
+    """`numbers` with a broadcast hint if it has few rows; else Spark chooses a join that shuffles."""
+    return F.broadcast(numbers) if numbers.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else numbers
+
+
+def without(rows: DataFrame, numbers: DataFrame, row: str = f"{OWN}row") -> DataFrame:
+    """The rows whose number isn't in the written, one-column table `numbers`; texts are shuffled only beyond BROADCAST_ROWS."""
+    return rows.join(_few(numbers.toDF(row)), row, "left_anti")
+
+
+def only(rows: DataFrame, numbers: DataFrame, row: str = f"{OWN}row") -> DataFrame:
+    """The rows whose number is in `numbers`, see without()."""
+    return rows.join(_few(numbers.toDF(row)), row, "left_semi")
 
 
 def partitions(spark: SparkSession) -> int:

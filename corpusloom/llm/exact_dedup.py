@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import OWN, with_row_ids, written
+from corpusloom.llm.common import OWN, with_row_ids, without, written
 
 #: Code points of the normalised text that splitters see.
 SPLITTER_PREFIX = 48
@@ -134,7 +134,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of `docs` that exact_dedup() keeps, with all their columns."""
+    """The rows of `docs` that exact_dedup() keeps, with all their columns; an empty table gives an empty one."""
     rows = with_row_ids(docs)
-    dropped = content_sort(rows, text, doc_id).filter("not kept").select(f"{OWN}row")
-    return rows.join(dropped, f"{OWN}row", "left_anti").drop(f"{OWN}row")
+    dropped = written(content_sort(rows, text, doc_id).filter("not kept").select(f"{OWN}row"), "copies")
+    return without(rows, dropped).drop(f"{OWN}row")

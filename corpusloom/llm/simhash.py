@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import OWN, forget, partitions, with_row_ids, written
+from corpusloom.llm.common import OWN, forget, partitions, with_row_ids, without, written
 
 BITS = 64
 RADIUS = 3
@@ -32,6 +32,16 @@ SEED = 42
 _COMPARED = 4096
 
 
+def majority(words: np.ndarray) -> np.ndarray:
+    """Rows of unsigned 64-bit words to one row of words: a bit is 1 if it is set in over half of the rows."""
+    n, k = words.shape
+    counts = np.zeros(BITS * k, np.int64)
+    for at in range(0, n, 1 << 15):
+        some = np.ascontiguousarray(words[at : at + (1 << 15)], "<u8")
+        counts += np.unpackbits(some.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > n, bitorder="little").view("<u8")
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The 64-bit fingerprint of a text, unsigned; 0 without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -45,12 +55,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
         ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
         starts = [0] + [e + 1 for e in ends]
         hashes = [h(line[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :])]  # noqa: B905
-    raw = np.array(hashes, np.uint64)
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, len(raw), 1 << 16):
-        some = raw[at : at + (1 << 16)]
-        counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int((1 << np.flatnonzero(2 * counts > len(raw)).astype(object)).sum()) if len(raw) else 0
+    return int(majority(np.array(hashes, np.uint64)[:, None])[0])
 
 
 def _signed(x: int) -> int:
@@ -202,22 +207,26 @@ def near_groups(rows: DataFrame, text: str = "text", doc_id: str = "doc_id", row
     tied = written(components(near_links(distinct.select("fp"))), "components")
     known = distinct.join(tied, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     roots = known.groupBy("root").agg(F.min("first").alias("lead"))
-    # Fingerprints without links are their own components, so only linked ones need the second join.
-    alone = known.join(roots, "root").select("fp", "lead")
-    return prints.join(alone, "fp").select(
+    led = known.join(roots, "root").select("fp", "lead")
+    return prints.join(led, "fp").select(
         "row", "doc_id", "fp", F.col("lead.doc_id").alias("component_id"), (F.col("row") == F.col("lead.row")).alias("first")
     )
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of `docs`: (doc_id, fingerprint, component_id); the fingerprint as 16 lower-case hex digits."""
+    """One row per row of `docs`: (doc_id, fingerprint, component_id); the fingerprint as 16 lower-case hex digits.
+
+    Null and empty texts have the fingerprint 0 and link like any other. Repeated rows are rows of their own in one
+    component; of ids that are null none is the smallest unless the component has no other. An empty table gives an empty
+    one; further columns are not read.
+    """
     found = near_groups(with_row_ids(docs.select(doc_id, text)), text, doc_id)
     hexed: Column = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The first row of each component, with all its columns."""
+    """The first row of each component, with all its columns; odd rows are treated as by near_duplicates()."""
     rows = with_row_ids(docs)
-    dropped = near_groups(rows, text, doc_id).filter("not first").select(F.col("row").alias(f"{OWN}row"))
-    return rows.join(dropped, f"{OWN}row", "left_anti").drop(f"{OWN}row")
+    dropped = written(near_groups(rows, text, doc_id).filter("not first").select("row"), "near-copies")
+    return without(rows, dropped).drop(f"{OWN}row")
