@@ -74,19 +74,14 @@ def with_row_ids(df: DataFrame, name: str = f"{OWN}row") -> DataFrame:
 BROADCAST_ROWS = 1 << 21
 
 
-def _few(numbers: DataFrame) -> DataFrame:
-    """`numbers` with a broadcast hint if it has few rows; else Spark chooses a join that shuffles."""
+def few(numbers: DataFrame) -> DataFrame:
+    """`numbers`, a written table of a few numbers a row, with a broadcast hint if it has few rows; else Spark may shuffle."""
     return F.broadcast(numbers) if numbers.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else numbers
 
 
 def without(rows: DataFrame, numbers: DataFrame, row: str = f"{OWN}row") -> DataFrame:
     """The rows whose number isn't in the written, one-column table `numbers`; texts are shuffled only beyond BROADCAST_ROWS."""
-    return rows.join(_few(numbers.toDF(row)), row, "left_anti")
-
-
-def only(rows: DataFrame, numbers: DataFrame, row: str = f"{OWN}row") -> DataFrame:
-    """The rows whose number is in `numbers`, see without()."""
-    return rows.join(_few(numbers.toDF(row)), row, "left_semi")
+    return rows.join(few(numbers.toDF(row)), row, "left_anti")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -55,9 +55,9 @@ def edited(draw):
     return rows
 
 
-@pytest.mark.parametrize("rounds", [0, 4])
-def test_equals_brute_force(documents, monkeypatch, rounds):
-    monkeypatch.setattr(N, "ROUNDS", rounds)
+@pytest.mark.parametrize("cluster", [1 << 19, 2000])
+def test_equals_brute_force(documents, monkeypatch, cluster):
+    monkeypatch.setattr(N, "CLUSTER", cluster)
     rows = edited(random.Random(7))
     found = sorted(r["doc_id"] for r in N.drop_near_copies(documents(rows)).collect())
     assert found == kept_ids(rows)
