@@ -19,20 +19,23 @@ from pyspark.sql import functions as F
 
 #: Kinds in the order of reports: the base ones, then those that cues and schemes add.
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("iban", "account", "tel", "credential")
+ADDED = ("iban", "account", "tel", "credential", "secret")
 
 # Anchors by what they start.
 _SCHEMES = ("mailto:", "tel:", "://")
 _CUES = ("account", "Account", "ACCOUNT", "acct", "Acct", "ACCT", "routing", "Routing", "konto", "Konto", "cuenta", "Cuenta", "compte", "Compte")
+_SECRETS = ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key", "private_key")
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+_PART = re.compile(r"0*([1-9][0-9]*|0)")
 _GROUPED = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _DIALLED = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _ACCOUNT = re.compile(r"(?: (?:no|nr|number|num|id)\b)?[.:#= ]{0,4}([0-9](?:[ -]?[0-9]){5,16})(?![0-9A-Za-z])")
 _NUMBER = re.compile(r"\+?[0-9](?:[ ().-]*[0-9]){7,14}(?![0-9])")
+_ASSIGNED = re.compile(r"""["']? ?[:=] ?["']?([A-Za-z0-9_+/=.-]{16,})""")
 _AUTHORITY = re.compile(r"[^\s/?#@:]+:[^\s/?#@]+@[A-Za-z0-9.-]+")
 
 
@@ -44,7 +47,8 @@ def anchors():
     made = ahocorasick.Automaton()
     for digit in "0123456789":
         made.add_word(digit, ("digit", 1))
-    for word, kind in (("@", "at"), ("+", "plus"), *((s, s) for s in _SCHEMES), *((c, "cue") for c in _CUES)):
+    hidden = [(form(word), "secret") for word in _SECRETS for form in (str.lower, str.title, str.upper)]
+    for word, kind in (*hidden, ("@", "at"), ("+", "plus"), *((s, s) for s in _SCHEMES), *((c, "cue") for c in _CUES)):
         made.add_word(word, (kind, len(word)))
     made.make_automaton()
     return made
@@ -94,6 +98,10 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
             if at >= done["account"] and not text[at - 1 : at].isalpha() and (m := _ACCOUNT.match(text, last + 1)):
                 done["account"] = m.end(1)
                 found["account"].append(m.span(1))
+        elif kind == "secret":
+            if at >= done["secret"] and (m := _ASSIGNED.match(text, last + 1)):
+                done["secret"] = m.end(1)
+                found["secret"].append(m.span(1))
         elif kind == "tel:":
             if not text[max(0, at - 1) : at].isalnum() and (m := _NUMBER.match(text, last + 1)):
                 found["tel"].append(m.span())
@@ -114,13 +122,14 @@ def _email(text: str, at: int, found: list, done: dict) -> None:
 
 def _addresses(text: str, at: int, found: list, done: dict) -> None:
     """A chain of numbers joined by dots holds an address in every four; the rest of it holds none."""
-    chain = _DOTTED.match(text, at)
-    done["ip"] = chain.end()
-    parts = chain.group().split(".")
-    for k in range(0, len(parts) - 3, 4):
-        start = at + sum(map(len, parts[:k])) + k
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts[k : k + 4]):
-            found.append((start, start + sum(map(len, parts[k : k + 4])) + 3))
+    done["ip"] = (chain := _DOTTED.match(text, at)).end()
+    start, four = at, []
+    for m in _PART.finditer(text, at, chain.end()):
+        four.append(m)
+        if len(four) == 4:
+            if all(x.end(1) - x.start(1) <= 3 and int(x[1]) <= 255 for x in four):
+                found.append((start, m.end()))
+            start, four = m.end() + 1, []
 
 
 def _card(text: str, at: int, found: list, done: dict) -> None:

@@ -48,3 +48,16 @@ def test_report(documents, odd_rows):
     assert pii.personal_data(documents([])).count() == 0
     docs = documents(rows)
     assert pii.redacted(docs).columns == docs.columns and pii.redacted(docs).filter("doc_id = 20").first()["text"] == "mail <email> or <ip>"
+
+
+def test_long_numbers_and_secrets():
+    long = "1." * 500_000 + "7" * 10_000 + ".0" + "0" * 9_000 + "8.1.2 mail a@b.co"
+    found = pii.find(long)
+    assert found["ip"] == ips(long) and len(found["ip"]) > 100_000 and len(found["email"]) == 1
+    text = "x Token = 'abcdef0123456789abcd' PASSWORD: short api_key=AAAAbbbbCCCCdddd1"
+    assert [text[a:b] for a, b in pii.find(text)["secret"]] == ["abcdef0123456789abcd", "AAAAbbbbCCCCdddd1"]
+
+
+def ips(text):
+    small = lambda p: len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255
+    return [m.span() for m in IP.finditer(text) if all(small(p) for p in m.group().split("."))]
