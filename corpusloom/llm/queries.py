@@ -65,7 +65,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _SPACE = r"[\x20\x09-\x0D]"
 
-_LISTED = ", ".join(f"'{x}'" for x in url_filter.LISTED)
+
+def _strings(words: tuple[str, ...]) -> str:
+    return ", ".join(f"'{x}'" for x in words)
+
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": rf"""
@@ -102,20 +105,34 @@ l AS (
   SELECT rn, 3, nx FROM x),
 p AS (
   SELECT rn, kind, t, list_transform(string_split(t, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda q: {
-    'h': sha256(q),
-    'b': list_transform(list_concat(regexp_extract_all(substr(q, 1, 32), '(?s).{1,8}'), regexp_extract_all(substr(q, 33), '(?s).{1,32}')), lambda b: substr(md5(b), 1, 6))})) AS ss
+    'h': sha256(q), 'n': length(q),
+    'b': list_transform(list_concat(list_concat(regexp_extract_all(substr(q, 1, 8), '(?s).{1,2}'), regexp_extract_all(substr(q, 9, 24), '(?s).{1,8}')),
+      regexp_extract_all(substr(q, 33), '(?s).{1,32}')), lambda b: substr(md5(b), 1, 6))})) AS ss
   FROM l),
 s AS (SELECT rn, kind, t, ss, list_transform(ss, lambda s: sha256(array_to_string(list_transform(s, lambda q: q.h), ''))) AS hs FROM p),
 f AS (
   SELECT rn, kind, t, substr(sha256(array_to_string(hs, '')), 1, 32) AS root,
-    list_distinct(flatten(list_transform(ss, lambda s: flatten(list_transform(s, lambda q: q.b))))) AS bs,
     array_to_string(list_transform(range(1, 1 + len(ss)), lambda i: substr(hs[i], 1, 8) || '(' ||
-      array_to_string(list_transform(ss[i], lambda q: substr(q.h, 1, 8) || '.' || array_to_string(q.b, '')), ';') || ')'), '') AS body
-  FROM s)
+      array_to_string(list_transform(ss[i], lambda q: substr(q.h, 1, 8) || '.' || q.n::VARCHAR || '.' || array_to_string(q.b, '')), ';') || ')'), '') AS body
+  FROM s),
+u1 AS (SELECT rn, kind, unnest(range(1, 1 + len(ss))) AS i, unnest(ss) AS ps FROM s),
+u2 AS (SELECT rn, kind, i, unnest(range(1, 1 + len(ps))) AS j, unnest(ps) AS q FROM u1),
+sizes AS (SELECT rn, kind, sum(q.n) AS n FROM u2 GROUP BY rn, kind),
+pairs AS (SELECT a.rn, b.kind, a.q AS p, b.q AS q FROM u2 a JOIN u2 b ON a.rn = b.rn AND a.i = b.i AND a.j = b.j AND a.kind = 1 AND b.kind > 1),
+blocks AS (SELECT rn, kind, p.n AS n, unnest(range(0, len(p.b))) AS k, unnest(p.b) AS x, q.b AS other FROM pairs WHERE p.h <> q.h),
+spans AS (
+  SELECT rn, kind, least(CASE WHEN k < 4 THEN 2 WHEN k < 7 THEN 8 ELSE 32 END, n - CASE WHEN k < 4 THEN 2 * k WHEN k < 7 THEN 8 + 8 * (k - 4) ELSE 32 * (k - 6) END) AS n
+  FROM blocks WHERE x = other[k + 1]
+  UNION ALL SELECT rn, kind, p.n FROM pairs WHERE p.h = q.h),
+e AS (SELECT rn, kind, sum(n) AS n FROM spans GROUP BY rn, kind),
+near AS (
+  SELECT z.rn, z.kind, CASE WHEN fa.root = fz.root THEN 1.0::DOUBLE ELSE coalesce(e.n, 0)::DOUBLE / greatest(o.n, z.n, 1) END AS likeness
+  FROM sizes z JOIN sizes o ON o.rn = z.rn AND o.kind = 1 AND z.kind > 1 JOIN f fa ON fa.rn = z.rn AND fa.kind = 1 JOIN f fz ON fz.rn = z.rn AND fz.kind = z.kind
+  LEFT JOIN e ON e.rn = z.rn AND e.kind = z.kind)
 SELECT x.doc_id, length(a.t)::BIGINT AS n_chars, sha256(e.t) AS edited_sha256, a.root || ':' || a.body AS fingerprint, e.root || ':' || e.body AS edited_fingerprint,
-  CASE WHEN a.root = e.root THEN 1.0::DOUBLE ELSE len(list_intersect(a.bs, e.bs))::DOUBLE / greatest(len(a.bs), len(e.bs), 1) END AS near_edited,
-  CASE WHEN a.root = n.root THEN 1.0::DOUBLE ELSE len(list_intersect(a.bs, n.bs))::DOUBLE / greatest(len(a.bs), len(n.bs), 1) END AS near_next
-FROM x JOIN f a ON a.rn = x.rn AND a.kind = 1 JOIN f e ON e.rn = x.rn AND e.kind = 2 JOIN f n ON n.rn = x.rn AND n.kind = 3""",
+  ne.likeness AS near_edited, nn.likeness AS near_next
+FROM x JOIN f a ON a.rn = x.rn AND a.kind = 1 JOIN f e ON e.rn = x.rn AND e.kind = 2
+JOIN near ne ON ne.rn = x.rn AND ne.kind = 2 JOIN near nn ON nn.rn = x.rn AND nn.kind = 3""",
     "op5_suffix_dedup": """
 WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST) AS rn, doc_id, encode(coalesce(text, '')) AS b FROM documents),
 w AS (SELECT rn, i, array_slice(b, i, i + 99) AS s FROM (SELECT rn, b, unnest(range(1, octet_length(b) - 98)) AS i FROM d WHERE octet_length(b) >= 100)),
@@ -141,10 +158,14 @@ f AS (
          WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
          WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
          WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
-  FROM p)
+  FROM p),
+listed AS (
+  SELECT a || '-' || b || '.' || z AS name FROM unnest([{_strings(url_filter.LISTED_FIRST)}]) x(a), unnest([{_strings(url_filter.LISTED_SECOND)}]) y(b),
+    unnest([{_strings(url_filter.LISTED_UNDER)}]) w(z)),
+bad AS (SELECT DISTINCT h.host FROM (SELECT DISTINCT host FROM p) h, listed WHERE h.host = name OR ends_with(h.host, '.' || name))
 SELECT page_id, host, path, rule,
   CASE rule WHEN 'org/' THEN 'allow' WHEN 'com/fr/' THEN 'allow' WHEN 'example.org/es/' THEN 'block' WHEN 'example.org/en/1' THEN 'block'
     WHEN 'com/de/' THEN 'block'
-    ELSE CASE WHEN len(list_filter([{_LISTED}], lambda x: host = x OR ends_with(host, '.' || x))) > 0 THEN 'block' ELSE 'allow' END END AS verdict
+    ELSE CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END END AS verdict
 FROM f""",
 }

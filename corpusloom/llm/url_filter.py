@@ -10,6 +10,7 @@ Native DataFrame operations only. Filters are binary literals of a size fixed by
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -26,11 +27,21 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-#: Listed names, each meaning <name>.example.<com, net, org> and every host under it.
-LISTED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
-LISTED = tuple(f"{name}.example.{end}" for name in LISTED_NAMES for end in ("com", "net", "org"))
-BITS_PER_KEY = 6
+#: Listed names are a first word, a hyphen and a second one; each means <name>.example.<com, net, org> and every host under it.
+LISTED_FIRST = (
+    "adult", "ads", "bargain", "bet", "bingo", "bonus", "casino", "cheap", "click", "coupon", "crypto", "dating", "discount", "fake", "fast", "free",
+    "gambling", "instant", "jackpot", "keyword", "loan", "lottery", "miracle", "payday", "pharma", "pirate", "poker", "prize", "spam", "warez",
+)
+LISTED_SECOND = (
+    "ads", "bets", "boost", "cash", "clicks", "codes", "deals", "download", "farm", "games", "links", "loans", "market", "offers", "outlet", "pills",
+    "pool", "push", "rank", "slots", "store", "stream", "track", "traffic", "tube", "win", "x", "zone",
+)
+LISTED_UNDER = ("example.com", "example.net", "example.org")
+LISTED = tuple(f"{a}-{b}.{end}" for a in LISTED_FIRST for b in LISTED_SECOND for end in LISTED_UNDER)
+#: Hashes of a key in the levels above 0, which pass one other key in 16 or so; level 0 takes more where the universe is larger.
 HASHES = 4
+MAX_HASHES = 40
+BITS_PER_HASH = 1.5
 #: Bits of one shard of a filter at most. A level with more keys has its keys dealt to several shards by hash.
 MAX_BITS = 1 << 23
 MAX_LEVELS = 64
@@ -70,36 +81,44 @@ class BloomFilter:
     #: Bits of each shard.
     bits: int
     shards: tuple[bytes, ...]
+    hashes: int = HASHES
 
     def holds(self, key: Column, level: int) -> Column:
         found, words = F.lit(True), F.lit(self.shards[0])
         if len(self.shards) > 1:
             words = F.element_at(F.array(*map(F.lit, self.shards)), _shard(key, len(self.shards), level) + 1)
-        for place in _places(key, self.bits, level):
+        for place in _places(key, self.bits, level, self.hashes):
             byte = F.conv(F.hex(F.substring(words, F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
             found = found & (F.call_function("shiftright", byte, (7 - F.pmod(place, F.lit(8))).cast("int")).bitwiseAND(1) == 1)
         return found
 
 
-def _places(key: Column, bits: int, level: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(bits)) for i in range(HASHES)]
+def _places(key: Column, bits: int, level: int, hashes: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(bits)) for i in range(hashes)]
+
+
+def hashes_for(listed: int, universe: int) -> int:
+    """Hashes of level 0 that let about as many of the universe pass wrongly as there are listed keys, HASHES at least. So
+    the levels above hold no more keys than the list does, however large the universe is."""
+    return min(MAX_HASHES, max(HASHES, math.ceil(math.log2(max(1, universe) / max(1, listed)))))
 
 
 def _shard(key: Column, shards: int, level: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(level), F.lit(-1)), F.lit(shards)).cast("int")
 
 
-def _filter_of(keys: DataFrame, level: int) -> BloomFilter | None:
-    """The filter of the keys in column `key`, or None where there are none. At most MAX_BITS / 8 rows reach the driver at
-    once, those of one shard."""
+def _filter_of(keys: DataFrame, level: int, hashes: int = HASHES) -> BloomFilter | None:
+    """The filter of the keys in column `key`, about half of its bits set, or None where there are none. At most MAX_BITS / 8 rows
+    reach the driver at once, those of one shard."""
     n = keys.distinct().count()
     if not n:
         return None
-    shards = -(-n * BITS_PER_KEY // MAX_BITS)
-    bits = max(64, -(-n * BITS_PER_KEY // (64 * shards)) * 64)
+    size = math.ceil(n * hashes * BITS_PER_HASH)
+    shards = -(-size // MAX_BITS)
+    bits = max(64, -(-size // (64 * shards)) * 64)
     if shards > 1:
         keys = written(keys, "url-level")
-    place = F.explode(F.array(*_places(F.col("key"), bits, level)))
+    place = F.explode(F.array(*_places(F.col("key"), bits, level, hashes)))
     made = []
     for shard in range(shards):
         some = keys.filter(_shard(F.col("key"), shards, level) == shard) if shards > 1 else keys
@@ -110,7 +129,7 @@ def _filter_of(keys: DataFrame, level: int) -> BloomFilter | None:
         for byte, value in marks.collect():
             words[byte] |= value
         made.append(bytes(words))
-    return BloomFilter(bits, tuple(made))
+    return BloomFilter(bits, tuple(made), hashes)
 
 
 @dataclass(frozen=True)
@@ -124,6 +143,7 @@ class Cascade:
         """Both have one column, `key`; nulls are ignored. `universe` should be a written table: each level reads it."""
         listed, universe = listed.dropna().distinct(), universe.dropna()
         levels: list[BloomFilter] = []
+        hashes = hashes_for(listed.count(), universe.count())
         while len(levels) < MAX_LEVELS:
             if len(levels) % 2:
                 wrong = universe.join(F.broadcast(listed), "key", "left_anti") if _small(listed) else universe.join(listed, "key", "left_anti")
@@ -131,7 +151,7 @@ class Cascade:
                 wrong = listed
             for i, level in enumerate(levels):
                 wrong = wrong.filter(level.holds(F.col("key"), i))
-            made = _filter_of(wrong, len(levels))
+            made = _filter_of(wrong, len(levels), HASHES if levels else hashes)
             if made is None:
                 return cls(tuple(levels))
             levels.append(made)
@@ -164,7 +184,7 @@ def judge(pages: DataFrame, listed: Sequence[str] = LISTED, rules: Sequence[tupl
     host, path = url_parts(F.col(url))
     parts = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     spark = pages.sparkSession
-    keys = spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in listed]).cast("array<string>")).alias("key"))
+    keys = written(spark.createDataFrame([(k,) for k in listed], "key string"), "url-list")
     cascade = Cascade.build(keys, host_universe(parts))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     is_listed = F.exists(suffixes(F.col("host")), cascade.holds)

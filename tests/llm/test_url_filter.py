@@ -46,3 +46,19 @@ def test_levels_of_any_size_are_sharded(spark, monkeypatch):
     assert len(made.levels[0].shards) == 5 and all(8 * len(w) <= 1024 for level in made.levels for w in level.shards)
     found = keys.select("key", made.holds(keys["key"]).alias("x")).collect()
     assert all(r["x"] == (r["key"] in listed) for r in found)
+
+
+def test_level_0_grows_with_the_universe(spark):
+    assert U.hashes_for(100, 50) == 4 and U.hashes_for(100, 3_300_000) == 16 and U.hashes_for(0, 0) == 4
+    listed = spark.range(20).select((U.F.col("id") * 1000).cast("string").alias("key"))
+    universe = spark.range(200_000).select(U.F.col("id").cast("string").alias("key"))
+    made = U.Cascade.build(listed, universe)
+    assert made.levels[0].hashes == 14 and sum(8 * len(w) for level in made.levels for w in level.shards) < 2000
+    found = universe.filter(made.holds(U.F.col("key"))).collect()
+    assert sorted(int(r["key"]) for r in found) == [1000 * i for i in range(20)]
+
+
+def test_repeated_pages_and_null_ids(spark):
+    rows = [(1, "http://spam-farm.example.net/"), (1, "http://spam-farm.example.net/"), (None, "http://spam-farm.example.net/"), (2, None)]
+    found = U.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert sorted((str(r["page_id"]), r["verdict"]) for r in found) == [("1", "block"), ("1", "block"), ("2", "allow"), ("None", "block")]
