@@ -3,10 +3,11 @@
 Every word has a log-odds score, toxic against clean, under Dirichlet priors whose shape is the whole corpus's word counts.
 A word's evidence is read at two levels, the word and its first letters, and the level with the stronger evidence speaks;
 weak evidence counts nothing, and each word costs a small drift, so that a clean text's expected score is negative. A linear
-scan then finds all maximal scoring segments of a text. By extreme-value theory the best segment of n random words exceeds S
-with probability 1 - exp(-n exp(-lambda S)), where lambda solves E[exp(lambda s)] = 1 over clean words; segments that pass a
-significance level are toxic passages, and a document's score is a logistic calibration of the strongest segment's
-extreme-value statistic and of the sum of its significant ones.
+scan then finds all maximal scoring segments of a text. By extreme-value theory the best segment of n words of a clean text
+exceeds S with probability 1 - exp(-K n exp(-lambda S)). Lambda and K are fitted to the best segments that clean training
+texts really have under scores learnt from other texts (two folds); segments that pass a significance level are toxic
+passages, and a document's score is a logistic calibration, on the same two folds, of the strongest segment's extreme-value
+statistic and of the sum of its significant ones.
 
 Words are counted in a fixed number of hash buckets, so the model's size has a bound of its own: counts for all documents
 cover every word of every text, and the broadcast tables are 2^18 and 2^16 floats at any corpus size.
@@ -38,6 +39,8 @@ PRIOR_SHARE = 0.01
 EVIDENCE_CUT = 4.5
 DRIFT = 0.05
 SIGNIFICANCE = 0.01
+#: Clean texts with a scoring segment from which lambda and K are fitted to them; below, lambda comes from the words alone.
+MIN_SCORING = 30
 _CACHE = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -123,6 +126,22 @@ def karlin_lambda(scores: np.ndarray, share: np.ndarray) -> float:
     return high
 
 
+def extreme_value_fit(best: np.ndarray, words: np.ndarray) -> tuple[float, float]:
+    """(lambda, K) of P(best <= S) = exp(-K words exp(-lambda S)) by maximum likelihood; a text without a scoring segment
+    (best of 0) tells no more than that its best is not above 0."""
+    scores, mass = best[best > 0], words[best > 0]
+    censored = float(words[best <= 0].sum())
+    d, total = len(scores), float(scores.sum())
+    k = lambda x: d / (float((mass * np.exp(-x * scores)).sum()) + censored)
+    grid = np.geomspace(0.01, 50, 400)
+    for _ in range(3):
+        likelihood = [d * np.log(x) + d * np.log(k(x)) - x * total for x in grid]
+        at = int(np.argmax(likelihood))
+        x = float(grid[at])
+        grid = np.linspace(grid[max(0, at - 1)], grid[min(len(grid) - 1, at + 1)], 100)
+    return x, k(x)
+
+
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) in linear time, as Ruzzo and Tompa define them.
 
@@ -151,13 +170,15 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 @dataclass
 class ToxicityModel:
-    """words and stems: score and evidence of each bucket. weights: of the calibration (constant, strongest, sum)."""
+    """words and stems: score and evidence of each bucket. lam and k: of the extreme-value distribution. weights: of the
+    calibration (constant, strongest, sum)."""
 
     word_score: np.ndarray
     word_z: np.ndarray
     stem_score: np.ndarray
     stem_z: np.ndarray
     lam: float = 1.0
+    k: float = 1.0
     weights: tuple[float, float, float] = (-4.0, 0.0, 0.0)
 
     @cached_property
@@ -174,19 +195,21 @@ class ToxicityModel:
         scores[1:][c[1:] == c[:-1]] = 0  # a word said again at once adds nothing
         return scores - DRIFT
 
-    def strength(self, score: float, words: int) -> float:
-        """Minus the logarithm of the number of segments as strong that so many random words would have."""
-        return self.lam * score - np.log(words + 1)
+    def strength(self, score: float | np.ndarray, words: int) -> float | np.ndarray:
+        """Minus the logarithm of the number of segments as strong that so many words of clean texts would have."""
+        return self.lam * score - np.log(self.k * max(1, words))
 
-    def features(self, text: str | None) -> tuple[float, float]:
+    def segment_scores(self, text: str | None) -> tuple[int, list[float]]:
+        """The number of words, and the scores of all maximal segments."""
         codes = _codes(text, self.buckets) if text else []
-        found = maximal_segments(self.word_scores(codes)) if codes else []
-        strong = [self.strength(s, len(codes)) for _, _, s in found]
-        bound = -np.log(SIGNIFICANCE)
-        return min(50.0, max(strong, default=-np.log(len(codes) + 1.0))), float(np.log1p(sum(x for x in strong if x >= bound)))
+        return len(codes), [s for _, _, s in maximal_segments(self.word_scores(codes))] if codes else []
+
+    def features(self, words: int, scores: list[float]) -> tuple[float, float]:
+        strong = self.strength(np.array([0.0, *scores]), words)
+        return min(50.0, float(strong.max())), float(np.log1p(strong[1:][strong[1:] >= -np.log(SIGNIFICANCE)].sum()))
 
     def score(self, text: str | None) -> float:
-        a, b = self.features(text)
+        a, b = self.features(*self.segment_scores(text))
         return float(sigmoid(self.weights[0] + self.weights[1] * a + self.weights[2] * b))
 
     def passages(self, text: str | None) -> list[dict]:
@@ -210,9 +233,42 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = MAX_TRAINING_ROWS) -> To
 
     Without labels of both kinds every text gets the share of toxic labels as its score.
     """
-    sample = labelled_sample(docs, labels, "toxic", rows)
+    sample = labelled_sample(docs, labels, "toxic", rows).withColumn("fold", F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(2)).cast("int"))
     background = word_counts(docs.select("text", F.lit(0).alias("kind")))[0]
-    clean, toxic = word_counts(sample.select("text", (F.col("label") == 1).cast("int").alias("kind")), once=True)
+    counts = [word_counts(sample.filter(F.col("fold") == f).select("text", (F.col("label") == 1).cast("int").alias("kind")), once=True) for f in (0, 1)]
+    model, of_words = _scored(counts[0] + counts[1], background)
+    # Each fold is scanned under what the other one taught; where that lacks a kind, under the whole.
+    whole = [c.sum(1).min() > 0 for c in counts]
+    others = [_scored(counts[1 - f], background)[0] if all(whole) else model for f in (0, 1)]
+    held = sample.sparkSession.sparkContext.broadcast(others)
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [held.value[f].segment_scores(t) for t, f in zip(batch["text"].to_pylist(), batch["fold"].to_pylist(), strict=True)]
+            columns = [batch["label"].cast(pa.int32()), pa.array([n for n, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["label", "words", "scores"])
+
+    seen = sample.select("text", "label", "fold").mapInArrow(scanned, "label int, words long, scores array<double>").toArrow()
+    y = (seen["label"].to_numpy() == 1).astype(float)
+    words, scores = seen["words"].to_numpy(), seen["scores"].to_pylist()
+    best = np.array([max(x, default=0.0) for x in scores])
+    clean = (y == 0) & (words > 0)
+    if (best[clean] > 0).sum() >= MIN_SCORING:
+        model.lam, model.k = extreme_value_fit(best[clean], words[clean].astype(float))
+    elif of_words:
+        model.lam = of_words
+    if 0 < y.sum() < len(y):
+        both = np.array([model.features(n, x) for n, x in zip(words.tolist(), scores, strict=True)])
+        model.weights = tuple(logistic_fit(np.column_stack([np.ones(len(y)), both]), y, ridge=1e-4))
+    else:
+        rate = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.01
+        model.weights = (float(np.log(rate / (1 - rate))), 0.0, 0.0)
+    return model
+
+
+def _scored(counts: np.ndarray, background: np.ndarray) -> tuple[ToxicityModel, float | None]:
+    """The scores that counts of clean and toxic texts give, and the lambda of the clean words alone, where there is one."""
+    clean, toxic = counts
     parts, shares = [], []
     for part in (slice(0, WORDS), slice(WORDS, None)):
         odds, z, share = dirichlet_log_odds(toxic[part], clean[part], background[part])
@@ -220,24 +276,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = MAX_TRAINING_ROWS) -> To
         parts += [odds * np.maximum(0, 1 - (EVIDENCE_CUT / np.maximum(np.abs(z), 1e-9)) ** 2), z]
     model = ToxicityModel(*(x.astype(np.float32) for x in parts))
     scores = np.asarray(model.word_score, float) - DRIFT
-    if (scores > 0).any() and (shares[0] * scores).sum() < 0:
-        model.lam = min(1.0, karlin_lambda(scores, shares[0]))
-    held = sample.sparkSession.sparkContext.broadcast(model)
-
-    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            both = [held.value.features(t) for t in part["text"]]
-            yield pd.DataFrame({"a": [x[0] for x in both], "b": [x[1] for x in both], "label": part["label"]})
-
-    seen = sample.mapInPandas(measured, "a double, b double, label int").toPandas()
-    y = (seen["label"].to_numpy() == 1).astype(float)
-    if 0 < y.sum() < len(y):
-        x = np.column_stack([np.ones(len(y)), seen["a"], seen["b"]])
-        model.weights = tuple(logistic_fit(x, y, ridge=1e-4))
-    else:
-        rate = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.01
-        model.weights = (float(np.log(rate / (1 - rate))), 0.0, 0.0)
-    return model
+    fits = (scores > 0).any() and (shares[0] * scores).sum() < 0
+    return model, karlin_lambda(scores, shares[0]) if fits else None
 
 
 def toxic_passages(docs: DataFrame, model: ToxicityModel, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -253,6 +293,9 @@ def toxic_passages(docs: DataFrame, model: ToxicityModel, text: str = "text", do
 
 
 def with_scores(docs: DataFrame, model: ToxicityModel, name: str = "score", text: str = "text") -> DataFrame:
-    """`docs` with the column `name`, 0 to 1; every row stays, in one pass and without a shuffle."""
+    """`docs` with the column `name`, 0 to 1; every row stays, in one pass and without a shuffle.
+
+    Null and empty texts get the score of a text without words; repeated rows are scored each; an empty table stays empty.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
     return score_texts(docs, name, text, lambda texts: np.array([held.value.score(t) for t in texts]))

@@ -1,4 +1,6 @@
+import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -86,3 +88,58 @@ def test_queries_keep_every_row(spark, sf_dir, name, label):
     found = queries.QUERIES[name](spark, sf_dir)
     assert found.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
     assert found.count() == common.table(spark, sf_dir, "documents").count()
+
+
+def test_log_odds_equal_brute_force():
+    draw = np.random.default_rng(5)
+    toxic, clean, background = (draw.integers(0, 9, 40).astype(float) for _ in range(3))
+    odds, z, share = toxicity.dirichlet_log_odds(toxic, clean, background, 0.1)
+    prior = 0.1 * sum(toxic[i] + clean[i] for i in range(40))
+    alpha = [prior * (background[i] + 0.5) / (sum(background) + 20) for i in range(40)]
+    t, c = [toxic[i] + alpha[i] for i in range(40)], [clean[i] + alpha[i] for i in range(40)]
+    for i in range(40):
+        assert odds[i] == pytest.approx(math.log(t[i] / (sum(t) - t[i])) - math.log(c[i] / (sum(c) - c[i])))
+        assert share[i] == pytest.approx(c[i] / sum(c))
+        n, rate, part = toxic[i] + clean[i], sum(toxic) / (sum(toxic) + sum(clean)), 0.0
+        for seen, p in ((toxic[i], rate), (clean[i], 1 - rate)):
+            part += 2 * seen * math.log(seen / (n * p)) if seen else 0.0
+        assert z[i] ** 2 == pytest.approx(part, abs=1e-9) and z[i] * odds[i] >= 0
+
+
+def test_extreme_values_are_recovered():
+    """Best segments drawn from the distribution itself, and from random walks."""
+    draw = np.random.default_rng(6)
+    words = draw.integers(20, 2000, 20_000).astype(float)
+    best = np.maximum(0, (np.log(0.02 * words) - np.log(-np.log(draw.random(20_000)))) / 1.7)
+    lam, k = toxicity.extreme_value_fit(best, words)
+    assert lam == pytest.approx(1.7, rel=0.03) and k == pytest.approx(0.02, rel=0.05)
+    best, p = [], 0.15
+    for n in (100, 400):
+        for _ in range(1500):
+            s = np.where(draw.random(n) < p, 1.5, -0.5)
+            best.append((max((x[2] for x in toxicity.maximal_segments(s)), default=0.0), n))
+    best, words = (np.array(x, float) for x in zip(*best, strict=True))
+    lam, k = toxicity.extreme_value_fit(best, words)
+    assert lam == pytest.approx(toxicity.karlin_lambda(np.array([1.5, -0.5]), np.array([p, 1 - p])), rel=0.2)  # short texts have a lighter tail
+    tail = 1 - np.exp(-k * words * np.exp(-lam * best))
+    assert 0.003 < (tail <= 0.01).mean() < 0.025
+
+
+def test_one_clean_text_in_a_hundred_has_a_significant_passage(spark, documents):
+    """Held-out clean texts in which toxic words turn up by chance."""
+    draw = random.Random(9)
+    plain = [a + b for a in ("river", "stone", "walk", "hill", "light", "house", "green") for b in ("", "s", "ing", "ed")]
+    bad = [a + b for a in ("vil", "grub", "murk") for b in ("est", "by", "ling")]
+    rows, labels = [], []
+    for i in range(3000):
+        toxic = int(i % 6 == 0)
+        words = [draw.choice(bad) if draw.random() < 0.02 else draw.choice(plain) for _ in range(draw.randint(30, 200))]
+        if toxic:
+            at = draw.randrange(len(words))
+            words[at:at] = [draw.choice(bad) for _ in range(8)]
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, toxic))
+    model = toxicity.fit(documents(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    own = [zlib.crc32(str(i).encode()) % 5 == 0 for i in range(3000)]
+    found = {kind: [bool(model.passages(t)) for (i, t), (_, _, x) in zip(rows, labels, strict=True) if own[i] and x == kind] for kind in (0, 1)}
+    assert np.mean(found[0]) < 0.03 and np.mean(found[1]) > 0.9
