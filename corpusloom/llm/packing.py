@@ -15,6 +15,7 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,10 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces in a group that is packed on its own, on average.
 GROUP_PIECES = 16_384
+#: Steps of a group's search at most, bins in a row that it fails to empty, and pairs of a bin's documents that one step tries.
+MAX_STEPS = 2000
+STUCK = 64
+PAIRS = 64
 #: The pre-tokenizer's pattern, fixed by the vocabulary, as it reads for plain texts.
 PRETOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Characters on whose classes all libraries agree, so without fractions and raised digits; a text with others goes to the
@@ -161,43 +166,74 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
+def least_bins(lengths: list[int], capacity: int = CAPACITY) -> int:
+    """A lower bound: the tokens that there are, and for each length t up to half a bin the pieces over capacity - t, which
+    share no bin with a piece of t or more, those over half, and the room that the rest of t or more needs beside them."""
+    size = np.sort(np.array(lengths, np.int64))
+    total = np.concatenate(([0], np.cumsum(size)))
+    at = lambda n: np.searchsorted(size, n, "right")  # noqa: E731  pieces of n tokens at most
+    t = np.unique(size[size * 2 <= capacity])
+    alone, half = at(capacity - t), at(capacity // 2)
+    middle = (alone - half) * capacity - (total[alone] - total[half])  # room beside the pieces over half that aren't alone
+    rest = total[half] - total[np.searchsorted(size, t, "left")]
+    bound = len(size) - half + np.maximum(0, -(-(rest - middle) // capacity))
+    return int(max(-(-total[-1] // capacity), len(size) - half, bound.max(initial=0)))
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int = CAPACITY, steps: int = MAX_STEPS) -> list[list[int]]:
     """Empties bins by steps that raise squared fill.
 
     The least filled bin gives its documents away: a document moves to where it fits best, or is exchanged for a shorter
     one, or two are exchanged for one shorter than both together, each time filling the other bin further. Every step takes
-    tokens out of the bin, so it ends; a bin that can't be emptied stays as it is left. Stops at the lower bound.
+    tokens out of the bin, so it ends; a bin that can't be emptied stays as it is left. Ends at the lower bound, after
+    `steps` steps, or after STUCK bins in a row that couldn't be emptied.
     """
     size = np.array(lengths, np.int64)
     fill = np.array([size[b].sum() for b in bins], np.int64)
-    least = -(-int(size.sum()) // capacity)
+    where = np.empty(len(size), np.int64)
+    for b, members in enumerate(bins):
+        where[members] = b
+    least = least_bins(lengths, capacity) if lengths else 0
     count, stuck = len(bins), set()
-    while count > least:
-        left = [b for b in range(len(bins)) if bins[b] and b not in stuck and fill[b] < capacity]
+    while count > least and steps > 0 and len(stuck) < STUCK:
+        left = [b for b in np.flatnonzero((fill > 0) & (fill < capacity)).tolist() if b not in stuck]
         if not left:
             break
         giver = min(left, key=lambda b: (fill[b], b))
-        others = np.array([b for b in range(len(bins)) if bins[b] and b != giver and fill[b] < capacity], np.int64)
+        others = np.flatnonzero((fill > 0) & (fill < capacity))
+        others = others[others != giver]
         if (capacity - fill[others]).sum() < fill[giver]:
             break  # no room for any bin's documents: the others hold at least as much
-        while bins[giver] and _step(bins, size, fill, giver, others, capacity):
-            pass
+        while bins[giver] and steps > 0 and _step(bins, size, fill, giver, others, capacity, where):
+            steps -= 1
         if bins[giver]:
             stuck.add(giver)
+            steps -= 1
         else:
             count -= 1
             stuck.clear()
     return [b for b in bins if b]
 
 
-def _step(bins: list[list[int]], size: np.ndarray, fill: np.ndarray, giver: int, others: np.ndarray, capacity: int) -> bool:
-    """One move or exchange out of `giver`, the one that fills another bin most; False where there is none."""
+def _step(
+    bins: list[list[int]], size: np.ndarray, fill: np.ndarray, giver: int, others: np.ndarray, capacity: int, where: np.ndarray | None = None
+) -> bool:
+    """One move or exchange out of `giver`, the one that fills another bin most; False where there is none. `others` are
+    bins in ascending order, `where` the bin of each document. Documents of one length count as one, and of pairs the PAIRS
+    longest are tried."""
     space = capacity - fill[others]
     if not len(others):
         return False
-    docs = np.array([i for b in others for i in bins[b]], np.int64)
-    home = np.repeat(np.arange(len(others)), [len(bins[b]) for b in others])
-    mine = sorted(set(bins[giver]), key=lambda i: (-size[i], i))
+    if where is None:
+        where = np.full(len(size), -1)
+        for b in (giver, *others.tolist()):
+            where[bins[b]] = b
+    place = np.full(len(bins), -1)
+    place[others] = np.arange(len(others))
+    home = np.where(where >= 0, place[where], -1)
+    docs = np.flatnonzero((home >= 0) & (space[home] > 0))
+    home, lengths = home[docs], size[docs]
+    mine = sorted({int(size[i]): i for i in bins[giver]}.values(), key=lambda i: (-size[i], i))
     best: tuple | None = None  # gain in squared fill, documents that go, document that comes, other bin
 
     def keep(gone: tuple[int, ...], comes: int | None, to: int, net: int) -> None:
@@ -210,7 +246,7 @@ def _step(bins: list[list[int]], size: np.ndarray, fill: np.ndarray, giver: int,
         fits = np.flatnonzero(space >= tokens)
         if len(gone) == 1 and len(fits):
             keep(gone, None, int(others[fits[np.argmin(space[fits])]]), tokens)
-        net = tokens - size[docs]
+        net = tokens - lengths
         can = np.flatnonzero((net > 0) & (net <= space[home]))
         if len(can):
             k = can[np.argmax((fill[others[home[can]]] - fill[giver] + net[can]) * net[can])]
@@ -219,18 +255,21 @@ def _step(bins: list[list[int]], size: np.ndarray, fill: np.ndarray, giver: int,
     for i in mine:
         offer((i,), int(size[i]))
     if best is None:
-        for x, i in enumerate(mine):
-            for j in mine[x + 1 :]:
-                offer((i, j), int(size[i] + size[j]))
+        longest = sorted(bins[giver], key=lambda i: (-size[i], i))
+        pairs = {(int(size[i]), int(size[j])): (i, j) for i, j in islice(combinations(longest, 2), 16 * PAIRS)}
+        for i, j in islice(pairs.values(), PAIRS):
+            offer((i, j), int(size[i] + size[j]))
     if best is None:
         return False
     _, gone, comes, to, net = best
     for i in gone:
         bins[giver].remove(i)
         bins[to].append(i)
+        where[i] = to
     if comes is not None:
         bins[to].remove(comes)
         bins[giver].append(comes)
+        where[comes] = giver
     fill[to] += net
     fill[giver] -= net
     return True

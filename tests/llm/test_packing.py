@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -84,3 +85,44 @@ def test_two_for_one():
     fill = np.array([9, 6, 5])
     assert P._step(bins, size, fill, 2, np.array([0]), 10)
     assert sorted(map(sorted, bins)) == [[0, 3, 4], [1], [2]] and fill.tolist() == [10, 6, 4]
+
+
+def test_search_ends_where_the_bound_is_out_of_reach():
+    draw = random.Random(12)
+    sets = [[draw.randint(1000, 1400) for _ in range(6000)], [1025] * 16_384, [draw.choice([683, 700, 1025, 1100, 1366]) for _ in range(16_384)]]
+    for lengths in sets:
+        start = P.best_fit(lengths)
+        began = time.process_time()
+        done = P.local_search([list(b) for b in start], lengths)
+        assert time.process_time() - began < 20
+        assert P.least_bins(lengths) <= len(done) <= len(start)
+        assert sorted(i for b in done for i in b) == list(range(len(lengths)))
+
+
+def test_bound_is_never_above_the_best():
+    draw = random.Random(13)
+    for _ in range(200):
+        capacity, lengths = 20, []
+        for _ in range(draw.randint(1, 6)):  # bins that are full
+            cuts = sorted(draw.sample(range(1, 20), draw.randint(1, 4)))
+            lengths += [b - a for a, b in zip([0, *cuts], [*cuts, 20])]  # noqa: B905
+        assert P.least_bins(lengths, capacity) == sum(lengths) // capacity
+    assert P.least_bins([11, 11, 11, 3], 20) == 3 and P.least_bins([12, 12, 7, 7, 7], 20) == 3 and P.least_bins([], 20) == 0
+
+
+def three_a_bin(seed, bins=40):
+    """Lengths that fill 40 bins to 2,023 tokens on average."""
+    draw, lengths = random.Random(seed), []
+    for _ in range(bins):
+        top = P.CAPACITY - draw.randint(0, 50)
+        cuts = sorted(draw.sample(range(300, 1700), 2))
+        lengths += [b - a for a, b in zip([0, *cuts], [*cuts, top])]  # noqa: B905
+    return lengths
+
+
+def test_search_beats_best_fit_on_the_query_s_path(spark):
+    lengths = next(x for x in map(three_a_bin, range(100)) if len(P.best_fit(x)) == 41)
+    rows = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    found = P.pack(rows).collect()
+    assert sorted(r["length"] for r in found) == sorted(lengths)
+    assert len({r["sequence_id"] for r in found}) == 40
