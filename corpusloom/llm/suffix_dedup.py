@@ -35,9 +35,10 @@ MATCH = 100
 GRAM = 56
 REACH = MATCH - GRAM
 #: Bytes of text that are hashed at a time; longer documents are read in pieces that overlap.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Bytes of text whose samples are reduced together before they are shuffled.
-REDUCED = 12 << 20
+REDUCED = 8 << 20
+WINDOW = 8
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _LAST = np.iinfo(np.int64).max
 _U = np.uint64
@@ -65,21 +66,28 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any byte ranges of an array, from prefix sums of bytes times powers of an odd base."""
+    """Hashes of byte ranges of an array, WINDOW bytes at least, from prefix sums of mixed windows times powers of an odd base.
+
+    A window is the WINDOW bytes from a place on. Sums of plain bytes modulo 2^64 would have strings that collide for every
+    base (Thue-Morse's); mixed windows have no such form."""
 
     def __init__(self, data: np.ndarray, which: int) -> None:
         base = _BASES[which]
         n = 1 << max(CHUNK.bit_length(), len(data).bit_length())  # one size for nearly all, so tables are made once
         self.sums = np.zeros(len(data) + 1, _U)
-        np.cumsum(data * _powers(base, n)[: len(data)], out=self.sums[1:])
+        wide = np.concatenate((data, np.zeros(WINDOW - 1, np.uint8)))
+        windows = np.ndarray(len(data), "<u8", wide.data, strides=(1,)) if len(data) else np.zeros(0, _U)
+        mixed = _mixed(windows ^ _U(base))
+        mixed *= _powers(base, n)[: len(data)]
+        np.cumsum(mixed, out=self.sums[1:])
         self.back = _powers(pow(base, -1, 1 << 64), n)
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mixed((self.sums[end] - self.sums[start]) * self.back[start])
+        return _mixed((self.sums[end - WINDOW + 1] - self.sums[start]) * self.back[start])
 
     def grams(self, width: int) -> np.ndarray:
         n = len(self.sums) - width
-        return _mixed((self.sums[width:] - self.sums[:n]) * self.back[:n])
+        return _mixed((self.sums[width - WINDOW + 1 :][:n] - self.sums[:n]) * self.back[:n])
 
 
 def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:

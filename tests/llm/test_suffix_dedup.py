@@ -86,3 +86,16 @@ def test_kept_bytes(documents):
     a = "".join(chr(97 + k * 7 % 26) + chr(97 + k * k % 23) for k in range(120))
     kept = {r["doc_id"]: bytes(r["kept"]) for r in S.kept_bytes(documents([(1, a), (2, "x" + a + "y")])).collect()}
     assert kept == {1: a.encode(), 2: b"xy"}
+
+
+def test_strings_that_plain_polynomials_confuse(documents):
+    """Thue-Morse strings and their complements share their sums of bytes times powers modulo 2^64, whatever the odd base."""
+    word = "a"
+    while len(word) < 512:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    draw = random.Random(3)
+    rows = [(i, "".join(draw.choice([word[:256], other[:256], word, other, "x", "yz"]) for _ in range(3))) for i in range(30)]
+    assert found(S.remove_repeats(documents(rows))) == brute(rows)
+    both = np.frombuffer((word + other).encode(), np.uint8)
+    assert len({int(S.Rolling(both, k).ranges(np.array([a]), np.array([a + 512]))[0]) for k in (0, 1) for a in (0, 512)}) == 4
