@@ -34,6 +34,7 @@ def _chat(spark, config, lines) -> None:
     """Lines with a slash are the verbs of this program; any other line is a question."""
     from corpusloom.operators.complete import COMMANDS, History
 
+    debug = False
     history = History(str(user_file().with_name("history")))
     for line in map(str.strip, lines):
         history.add(line)
@@ -42,8 +43,17 @@ def _chat(spark, config, lines) -> None:
             return
         if word in ("/help", "/?"):
             print(*COMMANDS, sep="\n")
-        elif word == "/reload":
+        elif word in ("/reload", "/setup"):
             config = settings.load()
+            if word == "/setup":
+                print(f"settings are read from {user_file()}")
+                settings.show(config)
+        elif word == "/clear":
+            print("\033[2J\033[H", end="")
+        elif word == "/debug":
+            debug = not debug
+            spark.sparkContext.setLogLevel("INFO" if debug else "WARN")
+            print(f"debug {'on' if debug else 'off'}")
         elif word in ("/docs", "/chunks", "/ingest", "/stats", "/config", "/reset"):
             try:
                 args = _parser().parse_args([word[1:], *([clean_path(rest)] if rest and word != "/reset" else rest.split())])

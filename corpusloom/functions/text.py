@@ -120,6 +120,20 @@ def common_prefix(low: Column, high: Column) -> Column:
     return F.when(F.size(first) > 0, F.substring(low, F.lit(1), F.element_at(first, 1) - 1)).otherwise(F.substring(low, F.lit(1), n))
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ASCII_LOWER = str.maketrans(_UPPER, _LOWER)
+
+
+def ascii_lower(text: Column) -> Column:
+    """A-Z in lower case, every other letter as it is."""
+    return F.translate(text, _UPPER, _LOWER)
+
+
 def ilike_contains(column: Column, pattern: str) -> Column:
-    """Whether the pattern occurs, letter case aside; % and _ in it are wildcards and a backslash is a character."""
-    return column.ilike("%" + pattern.replace("\\", "\\\\") + "%")
+    """Whether the pattern occurs, the case of A-Z aside; % and _ in it are wildcards and a backslash is a character."""
+    return ascii_lower(column).like("%" + pattern.translate(_ASCII_LOWER).replace("\\", "\\\\") + "%")
+
+
+def find_ignoring_case(text: Column, wanted: str) -> Column:
+    """The 0-based place of the first occurrence, the case of A-Z aside; null where there is none, 0 for an empty one."""
+    return F.nullif(F.locate(wanted.translate(_ASCII_LOWER), ascii_lower(text)) - 1, F.lit(-1))

@@ -22,7 +22,7 @@ def list_documents(documents: DataFrame, chunks: DataFrame, pattern: str | None
     listed = documents.join(counts, F.col("id") == F.col("doc_id"), "left").select(
         "id", "path", F.coalesce("content_hash", F.lit("")).alias("content_hash"), F.coalesce("n", F.lit(0)).alias("chunk_count")
     )
-    return listed.orderBy("id").limit(limit) if limit > 0 else listed
+    return listed.orderBy("id").limit(limit) if limit > 0 else listed.orderBy("id")
 
 
 def stats(documents: DataFrame, chunks: DataFrame) -> DataFrame:

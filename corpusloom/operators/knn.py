@@ -48,14 +48,17 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, query_id: str
     """(query_id, rank, vec_id, distance, similarity): each query's k nearest vectors, ties by id.
 
     Queries go out in blocks of a bounded size; every task multiplies its batches with a block and keeps its own k best per
-    query, so the shuffle carries k rows per query and batch. Zero vectors have no direction and are left out; a vector
-    whose width isn't the queries' raises.
+    query, so the shuffle carries k rows per query and batch. Null and zero vectors have no direction and no neighbours, and
+    are nobody's; vectors of different widths raise, among the queries and against the corpus.
     """
     spark = queries.sparkSession
     asked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).alias("v")).orderBy("q").toArrow()
-    if not asked.num_rows:
+    widths = asked["v"].combine_chunks().value_lengths().drop_null().unique().to_pylist() if asked.num_rows else []
+    if len(widths) > 1:
+        raise ValueError(f"the queries have vectors of different widths: {sorted(widths)}")
+    if not widths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, distance double, similarity double")
-    width = asked["v"].combine_chunks().value_lengths()[0].as_py()
+    width = widths[0]
     ok, units = _matrix(asked["v"], width)
     ids = asked["q"].to_numpy()[ok]
     units = _unit(units)
@@ -94,6 +97,11 @@ def gate(hits: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     return hits.groupBy("query_id").agg(F.max("similarity").alias("top"), F.count("*").alias("hits")).withColumn("passes", F.col("top") >= threshold)
 
 
+def reference_counts(hits: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """(query_id, refs): the number of each query's hits at or above the threshold."""
+    return hits.groupBy("query_id").agg(F.count_if(F.col("similarity") >= threshold).alias("refs"))
+
+
 def references(hits: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """Hits at or above the threshold, numbered anew from 1 per query."""
     return hits.filter(F.col("similarity") >= threshold).withColumn("ref", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))

@@ -8,19 +8,35 @@ from pyspark.sql import functions as F
 from corpusloom.operators.tables import partitions
 
 
-def numbered(df: DataFrame, key: str, name: str = "rn", ranges: int | None = None) -> DataFrame:
-    """Adds 1-based row numbers by a numeric key, nulls first.
+#: Rows below which one range is enough, and sampled keys for each range where keys are strings.
+SMALL = 10_000
+SAMPLED = 40
+
+
+def _cuts(df: DataFrame, key: str, ranges: int | None) -> list:
+    n = ranges or partitions(df.sparkSession)
+    if n < 2 or (not ranges and df.limit(SMALL).count() < SMALL):
+        return []
+    if dict(df.dtypes)[key] != "string":
+        return sorted(set(df.approxQuantile(key, [i / n for i in range(1, n)], 0.2 / n)))
+    share = min(1.0, 2.0 * SAMPLED * n / df.count())
+    seen = sorted(r[0] for r in df.select(key).dropna().sample(share, 42).limit(4 * SAMPLED * n).collect())
+    return sorted({seen[i * len(seen) // n] for i in range(1, n)}) if seen else []
+
+
+def numbered(df: DataFrame, key: str, name: str = "rn", ranges: int | None = None, then: str | None = None) -> DataFrame:
+    """Adds 1-based row numbers by a numeric or string key, nulls first, and by the column `then` among equal keys.
 
     The key is cut into ranges at sampled quantiles. Rows are numbered within their range; a range's offset is the count of
     all before it, from one row per range.
     """
-    n = ranges or partitions(df.sparkSession)
-    cuts = sorted(set(df.approxQuantile(key, [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    marks = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")
-    part = F.when(F.col(key).isNull(), F.lit(0)).otherwise(F.size(F.filter(marks, lambda c: c <= F.col(key).cast("double"))))
+    kind = "string" if dict(df.dtypes)[key] == "string" else "double"
+    cuts = _cuts(df, key, ranges)
+    marks = F.array(*map(F.lit, cuts)).cast(f"array<{kind}>")
+    part = F.when(F.col(key).isNull(), F.lit(0)).otherwise(F.size(F.filter(marks, lambda c: c <= F.col(key).cast(kind))))
     placed = df.withColumn("__part", part)
     counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    local = F.row_number().over(Window.partitionBy("__part").orderBy(F.asc_nulls_first(key)))
+    local = F.row_number().over(Window.partitionBy("__part").orderBy(F.asc_nulls_first(key), *([then] if then else [])))
     return placed.withColumn("__local", local).join(F.broadcast(offsets), "__part").withColumn(name, F.col("__local") + F.col("__before")).drop("__part", "__local", "__before")

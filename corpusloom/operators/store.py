@@ -1,19 +1,29 @@
 """The index: documents and chunks as versioned Parquet snapshots.
 
-A version is a folder that is written once; a small pointer names the live one and is replaced in one step, so a reader sees
-a whole version and a failed write leaves the last one live. Paths go through Hadoop's file system interface, so the index
+A version is a list of chunk segments, a table of documents and a table of what is gone from older segments; each is a folder
+of its own that is written once. A small pointer names the live version's folders and is replaced in one step, so a reader
+sees a whole version and a failed write leaves the last one live. append() writes new chunks only; when SEGMENTS segments have
+gathered, the next one compacts them. A writer that finds another version live than the one it began from gives up. Paths go through Hadoop's file system interface, so the index
 can lie wherever Spark can read and write.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.numbering import numbered
 from corpusloom.schemas import CHUNKS, DOCUMENTS
 
+#: Segments that a version may list; appending beyond writes all live chunks as one.
+SEGMENTS = 64
+_GONE = "doc_id long, until long"
+
 
 @dataclass
 class Index:
@@ -48,15 +58,19 @@ class Index:
         renames[0] = how.OVERWRITE
         context.rename(fresh, p, renames)
 
+    def _live(self) -> dict | None:
+        found = self._read_text(f"{self.path}/_CURRENT")
+        return None if found is None else json.loads(found)
+
     @property
     def version(self) -> int | None:
-        found = self._read_text(f"{self.path}/_CURRENT")
-        return None if found is None else int(found.split()[0])
+        live = self._live()
+        return live and live["version"]
 
     @property
     def stored_dimension(self) -> int | None:
-        found = self._read_text(f"{self.path}/_CURRENT")
-        return None if found is None else int(found.split()[1])
+        live = self._live()
+        return live and live["dimension"]
 
     def open(self) -> Index:
         """Creates an empty index where there is none; refuses one of another dimension."""
@@ -66,22 +80,58 @@ class Index:
             raise ValueError(f"the index has {self.stored_dimension} dimensions, not {self.dimension}; reset it first")
         return self
 
-    def publish(self, documents: DataFrame, chunks: DataFrame) -> int:
-        """Writes a new version and makes it live."""
-        version = (self.version or 0) + 1
-        folder = f"{self.path}/v={version}"
+    def _checked(self, chunks: DataFrame) -> DataFrame:
         wrong = F.col("embedding").isNotNull() & (F.size("embedding") != self.dimension)
         checked = F.when(wrong, F.raise_error(F.concat(F.lit("a vector has dimension "), F.size("embedding").cast("string")))).otherwise(F.col("embedding"))
-        documents.select(*DOCUMENTS.names).write.mode("overwrite").parquet(f"{folder}/documents")
-        chunks.withColumn("embedding", checked).select(*CHUNKS.names).write.mode("overwrite").parquet(f"{folder}/chunks")
-        self._write_text(f"{self.path}/_CURRENT", f"{version} {self.dimension}")
-        return version
+        return chunks.withColumn("embedding", checked).select(*CHUNKS.names)
+
+    def _write(self, kind: str, version: int, table: DataFrame) -> str:
+        name = f"{kind}-{version}-{uuid.uuid4().hex[:12]}"
+        table.write.parquet(f"{self.path}/{name}")
+        return name
+
+    def _switch(self, base: int, live: dict) -> int:
+        if (self.version or 0) != base:
+            raise RuntimeError(f"another writer published version {self.version} since version {base} was read")
+        self._write_text(f"{self.path}/_CURRENT", json.dumps(live))
+        return live["version"]
+
+    def publish(self, documents: DataFrame, chunks: DataFrame) -> int:
+        """Writes a whole new version, of one segment, and makes it live."""
+        base = self.version or 0
+        live = {"version": base + 1, "dimension": self.dimension, "gone": None, "documents": self._write("documents", base + 1, documents.select(*DOCUMENTS.names))}
+        live["segments"] = [[base + 1, self._write("chunks", base + 1, self._checked(chunks))]]
+        return self._switch(base, live)
+
+    def append(self, documents: DataFrame, chunks: DataFrame, replaced: DataFrame) -> int:
+        """Makes a version live that has these documents, the live chunks but those of the documents in `replaced` (doc_id),
+        and `chunks`. Only documents, the ids in `replaced` and `chunks` are written."""
+        live = self._live()
+        base = live["version"]
+        if len(live["segments"]) >= SEGMENTS:
+            return self.publish(documents, delete_chunks(self.chunks(), replaced).unionByName(self._checked(chunks)))
+        now = base + 1
+        more = {"version": now, "dimension": self.dimension, "documents": self._write("documents", now, documents.select(*DOCUMENTS.names))}
+        gone = replaced.select("doc_id", F.lit(base).cast("long").alias("until"))
+        gone = (gone.unionByName(self._gone(live)) if live["gone"] else gone).groupBy("doc_id").agg(F.max("until").alias("until"))
+        more["gone"] = live["gone"] if replaced.isEmpty() else self._write("gone", now, gone)
+        more["segments"] = [*live["segments"], [now, self._write("chunks", now, self._checked(chunks))]]
+        return self._switch(base, more)
+
+    def _gone(self, live: dict) -> DataFrame:
+        return self.spark.read.schema(_GONE).parquet(f"{self.path}/{live['gone']}")
 
     def documents(self) -> DataFrame:
-        return self.spark.read.schema(DOCUMENTS).parquet(f"{self.path}/v={self.version}/documents")
+        return self.spark.read.schema(DOCUMENTS).parquet(f"{self.path}/{self._live()['documents']}")
 
     def chunks(self) -> DataFrame:
-        return self.spark.read.schema(CHUNKS).parquet(f"{self.path}/v={self.version}/chunks")
+        live = self._live()
+        read = lambda name: self.spark.read.schema(CHUNKS).parquet(f"{self.path}/{name}")
+        if not live["gone"]:
+            return reduce(DataFrame.unionByName, [read(name) for _, name in live["segments"]])
+        parts = [read(name).withColumn("written", F.lit(at).cast("long")) for at, name in live["segments"]]
+        kept = reduce(DataFrame.unionByName, parts).join(self._gone(live), "doc_id", "left").filter("until IS NULL OR written > until")
+        return kept.select(*CHUNKS.names)
 
     def reset(self, force: bool = False, dimension: int | None = None) -> int:
         """Publishes an empty version, perhaps of another dimension; numbers start anew. Asks for `force`."""
@@ -97,7 +147,7 @@ def upsert_documents(known: DataFrame, new: DataFrame) -> DataFrame:
     high = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("high"))
     one = new.groupBy("path").agg(F.max("content_hash").alias("new_hash"), F.lit(True).alias("given"))
     both = known.join(one, "path", "full_outer")
-    fresh = both.filter("id IS NULL").select("path", "new_hash").withColumn("n", F.row_number().over(Window.orderBy("path")))
+    fresh = numbered(both.filter("id IS NULL").select("path", "new_hash"), "path", "n")
     added = fresh.withColumn("k", F.lit(1)).join(F.broadcast(high.withColumn("k", F.lit(1))), "k").select(
         (F.col("high") + F.col("n")).alias("id"), "path", F.col("new_hash").alias("content_hash"), F.current_timestamp().alias("created_at")
     )

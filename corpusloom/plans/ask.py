@@ -42,6 +42,8 @@ class Extractive:
         return best, [math.log(min(1.0, 0.5 + score / (2 * math.sqrt(len(asked) + 1))))] * len(best.split())
 
 
+#: Hits up to which they are sent to the chunks, not the chunks to them.
+BROADCAST_HITS = 100_000
 ANSWERS = "text string, logprobs array<double>"
 
 
@@ -84,6 +86,7 @@ def hits_for(spark: SparkSession, questions: list[str], config: Config, embedder
     vectors = asked.withColumn("embedding", embed_column(F.col("question"), embedder, config.embed_dimension))
     chunks, documents = index.chunks(), index.documents()
     near = knn.search(vectors, chunks, config.top_k, vec_id="id")
+    near = F.broadcast(near) if len(questions) * config.top_k <= BROADCAST_HITS else near
     return (
         near.join(chunks.select("id", "doc_id", "chunk_idx", "content"), near["vec_id"] == F.col("id")).drop("id")
         .join(documents.select(F.col("id").alias("doc_id"), "path"), "doc_id")

@@ -5,14 +5,15 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.config import Config
 from corpusloom.functions.embed import HashedWords, embed_column
 from corpusloom.functions.text import chunks as chunked
 from corpusloom.operators import ingest_status
-from corpusloom.operators.store import Index, delete_chunks, upsert_documents
+from corpusloom.operators.numbering import numbered
+from corpusloom.operators.store import Index, upsert_documents
 from corpusloom.sources.extract import extract_files, hash_files
 from corpusloom.sources.files import collect
 
@@ -42,7 +43,8 @@ def ingest_files(spark: SparkSession, paths: list[str], config: Config, embedder
 
 
 def merge(index: Index, incoming: DataFrame, texts: DataFrame | None, config: Config, embedder=HashedWords, began: float | None = None) -> Report:
-    """Classifies (path, content_hash, has_text), extracts only what is new, and publishes the next version.
+    """Classifies (path, content_hash, has_text), extracts only what is new, and publishes the next version;
+    where nothing is new or changed, nothing is written.
 
     `texts` (path, text, error) stands in for extraction where the text is there already. The lookup against known hashes
     comes before extraction, for no filter moves across a Python stage by itself. Chunks of a changed document are
@@ -51,32 +53,35 @@ def merge(index: Index, incoming: DataFrame, texts: DataFrame | None, config: Co
     began = began or time.monotonic()
     spark = index.spark
     known = index.documents()
-    status = ingest_status.classify(incoming, known).persist()
+    held = [ingest_status.classify(incoming, known).persist()]
+    status = held[0]
     try:
         work = status.filter("status IN ('fresh', 'modified')").select("path", "content_hash")
         read = extract_files(work) if texts is None else work.join(texts, "path")
         read = read.select("path", "content_hash", "text", "error").persist()
+        held.append(read)
         good = read.filter("text IS NOT NULL")
         counted = {r["status"]: r["n"] for r in status.groupBy("status").agg(F.count("*").alias("n")).collect()}
         docs, bad = good.count(), read.filter("text IS NULL").count()
+        skipped = counted.get("unchanged", 0) + counted.get("duplicate", 0)
+        report = lambda stored: Report(sum(counted.values()), docs, stored, skipped, counted.get("failed", 0) + bad, time.monotonic() - began)
+        if not docs and not counted.get("duplicate", 0):
+            return report(0)  # nothing to write: the live version stays
         copies = status.filter("status = 'duplicate'").select("path", "content_hash")
-        documents = upsert_documents(known, good.select("path", "content_hash").unionByName(copies))
-        documents = documents.persist()
+        documents = upsert_documents(known, good.select("path", "content_hash").unionByName(copies)).persist()
+        held.append(documents)
         changed = documents.join(good.select("path"), "path").select(F.col("id").alias("doc_id"), "path")
         pieces = good.join(changed, "path").select("doc_id", F.explode(chunked(F.col("text"), config.chunk_size_words, config.chunk_overlap_words)).alias("c"))
-        old = index.chunks()
-        high = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        # Ids follow the document and place: the high mark, the chunks of documents before, the place.
-        sizes = pieces.groupBy("doc_id").agg(F.count("*").alias("n"))
-        before = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = sizes.select("doc_id", (F.coalesce(F.sum("n").over(before), F.lit(0)) + high + 1).alias("base"))
-        new = pieces.join(offsets, "doc_id").select(
-            (F.col("base") + F.col("c.chunk_idx")).alias("id"), "doc_id", "c.chunk_idx", "c.content",
-            embed_column(F.col("c.content"), embedder, config.embed_dimension).alias("embedding"),
+        # Ids follow the document and place, after the highest there is.
+        high = index.chunks().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        new = numbered(pieces.select("doc_id", "c.chunk_idx", "c.content"), "doc_id", "n", then="chunk_idx").select(
+            (F.lit(high) + F.col("n")).alias("id"), "doc_id", "chunk_idx", "content", embed_column(F.col("content"), embedder, config.embed_dimension).alias("embedding")
         ).persist()
+        held.append(new)
         stored = new.count()
-        index.publish(documents, delete_chunks(old, changed).unionByName(new))
-        skipped = counted.get("unchanged", 0) + counted.get("duplicate", 0)
-        return Report(sum(counted.values()), docs, stored, skipped, counted.get("failed", 0) + bad, time.monotonic() - began)
+        modified = documents.join(status.filter("status = 'modified'").select("path"), "path").join(good.select("path"), "path").select(F.col("id").alias("doc_id"))
+        index.append(documents, new, modified)
+        return report(stored)
     finally:
-        spark.catalog.clearCache()
+        for frame in held:
+            frame.unpersist()

@@ -277,13 +277,29 @@ def prompt_assembly(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("""SELECT conv_id, turn, line FROM (
-  SELECT *, lag(line) OVER (PARTITION BY conv_id ORDER BY turn) AS last FROM (SELECT conv_id, turn, left(text, 1) AS line FROM conversations))
+  SELECT *, lag(line) OVER (PARTITION BY conv_id ORDER BY turn) AS last FROM (SELECT conv_id, turn, text AS line FROM conversations))
   WHERE last IS NULL OR last <> line""")
 def history_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 1).alias("line"))
+    lines = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("line"))
     return ingest_status.drop_repeats(lines, "conv_id", "turn", "line")
 
 
+@_query(f"WITH {_KNN} SELECT query_id, count(*) FILTER (WHERE similarity >= 0.65) AS refs FROM t GROUP BY query_id")
+def reference_counts(spark: SparkSession, d: str) -> DataFrame:
+    return knn.reference_counts(_hits(spark, d))
+
+
+@_query("""SELECT doc_id, nullif(strpos(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'est') - 1, -1)::INT AS place FROM documents""")
+def find_ignoring_case(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", X.find_ignoring_case(F.col("text"), "EsT").alias("place"))
+
+
+@_query("SELECT doc_id, least(len(string_split(text, ' ')), 896)::INT AS kept, array_to_string(list_slice(string_split(text, ' '), 1, 896), ' ') AS prompt FROM documents")
+def prompt_truncation(spark: SparkSession, d: str) -> DataFrame:
+    kept = G.truncated_tokens(F.split("text", " "), 1024)
+    return table(spark, d, "documents").select("doc_id", F.size(kept).alias("kept"), F.array_join(kept, " ").alias("prompt"))
+
+
 _LOGPROB = """
 p AS (SELECT vec_id, label, embedding[label + 1]::DOUBLE - list_max(embedding)::DOUBLE
         - ln(list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE)))) AS lp FROM embeddings)"""
@@ -294,6 +310,12 @@ def token_logprob(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.round(G.token_logprob(F.col("embedding"), F.col("label")), 6).alias("logprob"))
 
 
+@_query(f"WITH {_LOGPROB} SELECT vec_id, trunc(greatest(0, least(1, exp(lp))) * 100)::INT AS shown FROM p")
+def confidence_percent(spark: SparkSession, d: str) -> DataFrame:
+    sure = G.confidence(G.token_logprob(F.col("embedding"), F.col("label")))
+    return table(spark, d, "embeddings").select("vec_id", G.confidence_percent(sure).alias("shown"))
+
+
 @_query(f"WITH {_LOGPROB} SELECT label, round(greatest(0, least(1, exp(avg(lp)))), 6) AS confidence, count(*) AS tokens, (greatest(0, least(1, exp(avg(lp)))) * 100)::DOUBLE::INT AS shown_near FROM p GROUP BY label")
 def sequence_confidence(spark: SparkSession, d: str) -> DataFrame:
     tokens = table(spark, d, "embeddings").select("label", G.token_logprob(F.col("embedding"), F.col("label")).alias("lp"))

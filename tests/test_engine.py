@@ -12,7 +12,7 @@ from corpusloom import config as settings
 from corpusloom.config import Config
 from corpusloom.functions import generation as G
 from corpusloom.log import close_log, open_log
-from corpusloom.operators import catalog, complete
+from corpusloom.operators import catalog, complete, knn, numbering, store
 from corpusloom.operators.store import Index, delete_chunks
 from corpusloom.plans.ask import answers, ask, cited, hits_for
 from corpusloom.plans.ingest import ingest
@@ -207,3 +207,57 @@ def test_command_line(spark, library, capsys, monkeypatch):
     assert "3 documents, 3 chunks stored" in out.out and "documents: 3" in out.out and "a.txt" in out.out and "Bananas are" in out.out
     assert "Apples grow on trees" in out.out and "unknown command /nope" in out.err and "force" in out.err
     assert (library / "cfg" / "corpusloom" / "history").exists()
+
+
+def test_writes_follow_the_change(spark, library):
+    """Unchanged files publish nothing and leave the caller's cache alone; a changed one writes its own chunks only."""
+    mine = spark.range(7).cache()
+    assert mine.count() == 7
+    c = Config(index_path=f"file://{library}/kb")
+    ingest(spark, str(library / "in"), c)
+    index = Index(spark, c.index_path)
+    before = index.version
+    folders = set(p.name for p in (library / "kb").iterdir())
+    ingest(spark, str(library / "in"), c)
+    assert index.version == before and set(p.name for p in (library / "kb").iterdir()) == folders
+    assert mine.storageLevel.useMemory
+    mine.unpersist()
+    (library / "in" / "c.md").write_text("The moon is not a star. " * 10)
+    other = {tuple(r) for r in index.chunks().filter("doc_id <> 3").select("id", "doc_id", "content").collect()}
+    ingest(spark, str(library / "in"), c)
+    fresh = set(p.name for p in (library / "kb").iterdir()) - folders
+    assert index.version == before + 1 and sorted(f.split("-")[0] for f in fresh) == ["chunks", "documents", "gone"]
+    written = spark.read.parquet(*[f"file://{library}/kb/{f}" for f in fresh if f.startswith("chunks")])
+    assert {r["doc_id"] for r in written.collect()} == {3}
+    assert {tuple(r) for r in index.chunks().filter("doc_id <> 3").select("id", "doc_id", "content").collect()} == other
+    assert index.chunks().filter("doc_id = 3").count() == written.count()
+
+
+def test_second_writer_gives_up_and_segments_are_compacted(spark, tmp_path, monkeypatch):
+    index = Index(spark, f"file://{tmp_path}/kb", 2).open()
+    docs = spark.sql("SELECT 1L AS id, 'a' AS path, 'h' AS content_hash, current_timestamp() AS created_at")
+    chunk = lambda i: spark.sql(f"SELECT {i}L AS id, 1L AS doc_id, 0 AS chunk_idx, 'text {i}' AS content, array(0.6f, 0.8f) AS embedding")
+    monkeypatch.setattr(store, "SEGMENTS", 3)
+    for i in range(1, 5):
+        index.append(docs, chunk(i), docs.select(F.col("id").alias("doc_id")))
+        assert [r["content"] for r in index.chunks().collect()] == [f"text {i}"] and len(index._live()["segments"]) <= 3
+    live = index._live()
+    index.append(docs, chunk(9), docs.select(F.col("id").alias("doc_id")))
+    with pytest.raises(RuntimeError, match="another writer"):
+        index._switch(live["version"], live)
+
+
+def test_null_and_odd_queries(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None)], "vec_id long, embedding array<float>")
+    asked = lambda rows: spark.createDataFrame(rows, "query_id long, embedding array<float>")
+    found = knn.search(asked([(1, None), (2, [1.0, 0.1]), (3, [0.0, 0.0])]), corpus, 1).collect()
+    assert [(r["query_id"], r["vec_id"]) for r in found] == [(2, 1)]
+    assert knn.search(asked([(1, None)]), corpus).count() == 0
+    with pytest.raises(ValueError, match="different widths"):
+        knn.search(asked([(1, [1.0]), (2, [1.0, 0.0])]), corpus)
+
+
+def test_numbered_by_strings(spark):
+    keys = [f"k{i * 7919 % 500:04}" for i in range(500)] + [None, None]
+    found = numbering.numbered(spark.createDataFrame([(k,) for k in keys], "k string"), "k", ranges=7).collect()
+    assert [r["k"] for r in sorted(found, key=lambda r: r["rn"])] == sorted(keys, key=lambda k: (k is not None, k or ""))
