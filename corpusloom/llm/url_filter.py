@@ -184,7 +184,8 @@ def judge(pages: DataFrame, listed: Sequence[str] = LISTED, rules: Sequence[tupl
     host, path = url_parts(F.col(url))
     parts = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     spark = pages.sparkSession
-    keys = written(spark.createDataFrame([(k,) for k in listed], "key string"), "url-list")
+    names = F.split(F.lit("\n".join(listed)), "\n") if listed else F.array().cast("array<string>")
+    keys = written(spark.range(1).select(F.explode(names).alias("key")), "url-list")
     cascade = Cascade.build(keys, host_universe(parts))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     is_listed = F.exists(suffixes(F.col("host")), cascade.holds)
