@@ -68,8 +68,10 @@ _TOKEN = (
     r"|&(?:nbsp|amp|lt|gt|quot|apos|#39);|&|[^<&]+"
 )
 _DROPPED = r"(?is)^(?:<script|<style|<!--)"
-_BLOCK = r"(?is)^(?:<p|<br|<div|<h[1-6]|<li|<tr|</p>|</div>|</li>|<blockquote)"
-_ENTITIES = {"&nbsp;": " ", "&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'"}
+
+# What tags that break a line start with, and the entities that are decoded.
+BLOCK = r"<(?:p|br|div|h[1-6]|li|tr|/p>|/div>|/li>|blockquote)"
+ENTITIES = {"&nbsp;": " ", "&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'"}
 
 
 def html_text(html: Column) -> Column:
@@ -82,8 +84,8 @@ def html_text(html: Column) -> Column:
     tokens = F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0))
 
     def shown(t: Column) -> Column:
-        out = F.when(t.rlike(_DROPPED), F.lit("")).when(t.rlike(_BLOCK), F.lit("\x01")).when(t.startswith("<"), F.lit(""))
-        for name, char in _ENTITIES.items():
+        out = F.when(t.rlike(_DROPPED), F.lit("")).when(t.rlike(f"(?is)^{BLOCK}"), F.lit("\x01")).when(t.startswith("<"), F.lit(""))
+        for name, char in ENTITIES.items():
             out = out.when(t == name, F.lit(char))
         return out.otherwise(t)
 

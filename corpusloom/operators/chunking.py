@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions import text as X
 
@@ -16,17 +20,28 @@ def chunk(docs: DataFrame, size: int = X.CHUNK_WORDS, overlap: int = X.CHUNK_OVE
 def batches(counts: DataFrame, key: str, order: str, tokens: str, slots: int = 16, budget: int = 2048, longest: int = 2000) -> DataFrame:
     """(key, order, batch): sequences of a key, in order, into greedy batches of at most `slots` and `budget` tokens.
 
-    A sequence counts `longest` tokens at most; one of none takes a slot only.
+    A sequence counts `longest` tokens at most; one of none, or a null, takes a slot only. Null keys are one key; among equal
+    places the smaller sequence comes first. A key's rows are sorted, on disk if need be, and passed once: what a task holds
+    of a key is its open batch, however many sequences it has.
     """
-    n = "greatest(least(x.n, {longest}), 0)".format(longest=int(longest))
-    folded = F.expr(f"""
-      aggregate(array_sort(collect_list(struct({order} AS o, cast({tokens} AS bigint) AS n))),
-        named_struct('batch', 0, 'slots', 0, 'used', 0L, 'out', cast(array() AS array<struct<o:int,batch:int>>)),
-        (s, x) -> CASE WHEN s.slots >= {int(slots)} OR ({n} > 0 AND s.used + {n} > {int(budget)} AND s.slots > 0)
-          THEN named_struct('batch', s.batch + 1, 'slots', 1, 'used', {n}, 'out', concat(s.out, array(named_struct('o', x.o, 'batch', s.batch + 1))))
-          ELSE named_struct('batch', s.batch, 'slots', s.slots + 1, 'used', s.used + {n}, 'out', concat(s.out, array(named_struct('o', x.o, 'batch', s.batch))))
-        END, s -> s.out)""")
-    return counts.groupBy(key).agg(folded.alias("b")).select(key, F.explode("b").alias("b")).select(key, F.col("b.o").alias(order), F.col("b.batch").alias("batch"))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, number, filled, used = object(), 0, 0, 0
+        for part in parts:
+            out = []
+            for of, n in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
+                n = min(max(n or 0, 0), longest)
+                if of != last:
+                    last, number, filled, used = of, 0, 0, 0
+                elif filled >= slots or (n and filled and used + n > budget):
+                    number, filled, used = number + 1, 0, 0
+                filled, used = filled + 1, used + n
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.int32())], [key, order, "batch"])
+
+    asked = counts.select(key, F.col(order).cast("int").alias(order), F.col(tokens).cast("long").alias("__tokens"))
+    schema = T.StructType([*asked.schema.fields[:2], T.StructField("batch", T.IntegerType())])
+    return asked.repartition(key).sortWithinPartitions(key, order, "__tokens").mapInArrow(run, schema)
 
 
 def slices(chunks: DataFrame, size: int = 16) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.functions.hashing import fnv1a64_many
 from corpusloom.functions.paths import IGNORED, extension
+from corpusloom.functions.text import BLOCK, ENTITIES
 from corpusloom.schemas import EXTRACTED
 
 # Marks of files.
@@ -45,8 +46,7 @@ def is_lfs_pointer(data: bytes) -> bool:
 _HTML = re.compile(
     r"<script.*?(?:</script>|\Z)|<style.*?(?:</style>|\Z)|<!--(?:-?>|.*?(?:-->|\Z))|<[^>]*(?:>|\Z)|&(?:nbsp|amp|lt|gt|quot|apos|#39);", re.I | re.S
 )
-_BLOCK = re.compile(r"<(?:p|br|div|h[1-6]|li|tr|/p>|/div>|/li>|blockquote)", re.I)
-_ENTITIES = {"&nbsp;": " ", "&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'"}
+_BLOCK = re.compile(BLOCK, re.I)
 
 
 def html_text(html: str) -> str:
@@ -63,7 +63,7 @@ def html_text(html: str) -> str:
         put(html[at : m.start()])
         at, token = m.end(), m.group()
         if token.startswith("&"):
-            put(_ENTITIES.get(token, token))
+            put(ENTITIES.get(token, token))
         elif _BLOCK.match(token) and last not in ("", "\n"):
             put("\n")
     put(html[at:])
@@ -95,7 +95,7 @@ def xml_text(xml: str, opening: str, closing: str, breaking: str = "", strip: bo
         text = xml[body:stop]
         if strip:
             text = re.sub("<[^>]*>", "", text)
-        if text := entities.sub(lambda e: _ENTITIES[e.group()], text):
+        if text := entities.sub(lambda e: ENTITIES[e.group()], text):
             out.append(text)
         at = stop if end < 0 else end + len(closing)
         if strip and end >= 0:

@@ -157,6 +157,22 @@ def test_batches_equal_a_loop(spark):
     assert got == {(k, i): b for k, ns in enumerate(lists) for i, b in enumerate(loop_batches(ns))}
 
 
+def test_batches_of_one_large_key_of_nulls_and_of_none(spark):
+    """A key that spans many Arrow batches, a null key and null sizes, and an empty table."""
+    draw = random.Random(4)
+    ns = [draw.choice([0, 3, 300, 900]) for _ in range(25_000)]
+    rows = [(7, i, n, "x") for i, n in enumerate(ns)] + [(None, i, None, "x") for i in range(20)]
+    df = spark.createDataFrame(rows, "k int, i int, n int, batch string")
+    got = {(r["k"], r["i"]): r["batch"] for r in chunking.batches(df, "k", "i", "n").collect()}
+    assert got == {(7, i): b for i, b in enumerate(loop_batches(ns))} | {(None, i): i // 16 for i in range(20)}
+    empty = chunking.batches(df.limit(0), "k", "i", "n")
+    assert empty.columns == ["k", "i", "batch"] and empty.count() == 0
+
+
+def test_paths_without_a_home():
+    assert [paths.clean_path(p, "") for p in ("~/a", "~", '""', "\"a' ", r"\\ x")] == ["~/a", "~", "", "\"a'", r"\ x"]
+
+
 def test_status_of_incoming(spark):
     known = spark.createDataFrame([("a", "1"), ("b", "2"), ("n", None)], "path string, content_hash string")
     new = [("a", "1", True), ("b", "9", True), ("c", "2", True), ("d", "5", True), ("e", "5", True), ("f", "7", False), ("n", "8", True)]
