@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common, quality, queries, toxicity
+from corpusloom.llm import labelled as labelled_module
 
 
 def every_segment(scores):
@@ -143,3 +144,37 @@ def test_one_clean_text_in_a_hundred_has_a_significant_passage(spark, documents)
     own = [zlib.crc32(str(i).encode()) % 5 == 0 for i in range(3000)]
     found = {kind: [bool(model.passages(t)) for (i, t), (_, _, x) in zip(rows, labels, strict=True) if own[i] and x == kind] for kind in (0, 1)}
     assert np.mean(found[0]) < 0.03 and np.mean(found[1]) > 0.9
+
+
+def test_fits_have_the_least_loss():
+    """No step along any weight, nor a random one, lowers the loss, which is summed here term by term."""
+    draw = np.random.default_rng(7)
+
+    def loss(rows, w, ridge):
+        terms = [y * math.log1p(math.exp(-(x @ w))) + (1 - y) * math.log1p(math.exp(x @ w)) for x, y in rows]
+        return sum(terms) / len(terms) + ridge / 2 * sum(v * v for v in w)
+
+    def is_least(rows, w, ridge):
+        steps = [s * e for e in np.eye(len(w)) for s in (1e-3, -1e-3)] + [1e-3 * draw.normal(size=len(w)) for _ in range(20)]
+        best = loss(rows, w, ridge)
+        return all(loss(rows, w + s, ridge) > best for s in steps)
+
+    x = draw.normal(size=(80, 4))
+    y = (x @ [1, -2, 0.5, 0] + draw.normal(size=80) > 0).astype(float)
+    assert is_least(list(zip(x, y, strict=True)), labelled_module.logistic_fit(x, y), 1e-2)
+
+    good, bad = draw.normal(0.6, 1, size=(15, quality._FEATURES)), draw.normal(0, 1, size=(9, quality._FEATURES))
+    model = quality.fit_pairs(good, bad, seed=3)
+    unit = lambda v: np.clip((v - np.vstack([good, bad]).mean(0)) / np.vstack([good, bad]).std(0), -8, 8)
+    draw_again = np.random.default_rng(3)
+    n = quality.PAIRS_PER_TEXT * 24
+    i, j = draw_again.integers(15, size=n), draw_again.integers(9, size=n)
+    pairs = [(unit(good)[a] - unit(bad)[b], 1.0) for a, b in zip(i, j, strict=True)]
+    assert is_least(pairs, model.weights, 1e-3)
+    raw = sorted(model.raw(np.vstack([good, bad])))
+    assert raw[8] <= model.cut <= raw[9]  # as many training texts below the cut as are bad
+
+
+def test_without_labels_every_text_is_kept(spark, documents, odd_rows):
+    found = quality.with_scores(documents(odd_rows).drop("score"), quality.QualityModel()).collect()
+    assert len(found) == len(odd_rows) and all(r["score"] == quality.CUT for r in found)
