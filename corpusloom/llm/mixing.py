@@ -7,7 +7,8 @@ is then taken as whole repetitions of all its documents plus one seeded fraction
 seeded hash, up to the word at which the target is met.
 
 Native DataFrame operations only. The order within a source is never sorted as a whole: words are first summed by
-(source, first hash digits), which fixes the slice in which the target is met, and only that slice is ordered.
+(source, first hash digits), which fixes the slice in which the target is met, and only that slice is ordered. The slice
+itself is found in two steps of 256 sums a source, so that a source's slices never meet in one task.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = "mix-1"
-#: Hex digits of the hash that name a slice of a source: 16^4 slices.
-SLICE_DIGITS = 4
+#: Hex digits of the hash that name a slice of a source, 16^4 slices, and those that name 16^2 of them together.
+SLICE_DIGITS, COARSE_DIGITS = 4, 2
 #: Sources up to which the table of sources is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 20_000
 
@@ -65,14 +66,29 @@ def water_fill(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: fl
     )
 
 
+def _narrowed(rows: DataFrame, met: DataFrame, known: int, digits: int) -> DataFrame:
+    """(of, at, left, words): of each source, the first `digits` of the hash at which its words reach what is left to take.
+
+    `rows`: (source, size, draw). `met`: (of, left, at), the `known` digits of each source and the words to take among the
+    rows that start with them. Only those rows are ordered; sources that take none have no row.
+    """
+    inside = F.col("source").eqNullSafe(F.col("of")) & (F.substring("draw", 1, known) == F.col("at"))
+    parts = rows.join(met, inside).groupBy("of", "left", F.substring("draw", 1, digits).alias("part")).agg(F.sum("size").alias("words"))
+    running = Window.partitionBy("of").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        parts.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
+        .filter((F.col("before") < F.col("left")) & (F.col("before") + F.col("words") >= F.col("left")))
+        .select("of", F.col("part").alias("at"), (F.col("left") - F.col("before")).alias("left"), "words")
+    )
+
+
 def _plan(sized: DataFrame, weights: Sequence[float], share: float, max_epochs: float) -> DataFrame:
     """Per source: size, target, whole repetitions, and the hash up to which documents are taken once more.
 
     `sized`: (source, size, draw), a written table.
     """
-    part = F.substring("draw", 1, SLICE_DIGITS)
-    slices = written(sized.groupBy("source", part.alias("slice")).agg(F.sum("size").alias("words")), "mix-slices")
-    targets = water_fill(slices.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_epochs)
+    slices = written(sized.groupBy("source", F.substring("draw", 1, SLICE_DIGITS).alias("draw")).agg(F.sum("size").alias("size")), "mix-slices")
+    targets = water_fill(slices.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs)
     goal = F.floor(F.col("target") + 0.5).cast("long")
     goals = written(
         targets.withColumn("goal", goal)
@@ -81,23 +97,11 @@ def _plan(sized: DataFrame, weights: Sequence[float], share: float, max_epochs:
         .drop("goal"),
         "mix-goals",
     )
-    running = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    met = (
-        slices.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
-        .join(goals.select(F.col("source").alias("of"), "rest"), F.col("source").eqNullSafe(F.col("of")))
-        .filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest")))
-        .select("of", F.col("slice").alias("at"), F.col("rest") - F.col("before"))
-        .toDF("of", "at", "left")
-    )
-    # Only the slice in which each source's target is met is ordered by hash: one part in 16^4 of a source.
-    inside = Window.partitionBy("source").orderBy("draw").rowsBetween(Window.unboundedPreceding, -1)
-    edge = (
-        sized.join(met, F.col("source").eqNullSafe(F.col("of")) & (part == F.col("at")))
-        .groupBy("source", "draw", "left").agg(F.sum("size").alias("words"))
-        .withColumn("before", F.coalesce(F.sum("words").over(inside), F.lit(0)))
-        .filter((F.col("before") < F.col("left")) & (F.col("before") + F.col("words") >= F.col("left")))
-        .select(F.col("source").alias("of"), F.col("draw").alias("edge"), (F.col("left") - F.col("before")).alias("edge_left"), F.col("words").alias("edge_words"))
-    )
+    coarse = slices.groupBy("source", F.substring("draw", 1, COARSE_DIGITS).alias("draw")).agg(F.sum("size").alias("size"))
+    met = goals.select(F.col("source").alias("of"), F.col("rest").alias("left"), F.lit("").alias("at"))
+    met = _narrowed(coarse, met, 0, COARSE_DIGITS)
+    met = _narrowed(slices, met, COARSE_DIGITS, SLICE_DIGITS)
+    edge = _narrowed(sized, met, SLICE_DIGITS, 32).toDF("of", "edge", "edge_left", "edge_words")
     return written(goals.join(edge, F.col("source").eqNullSafe(F.col("of")), "left").drop("of"), "mix-plan")
 
 

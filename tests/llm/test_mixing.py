@@ -1,3 +1,5 @@
+import hashlib
+import math
 import random
 import re
 from collections import defaultdict
@@ -72,3 +74,24 @@ def test_rows_of_the_mix_have_the_words_taken(documents):
         assert text[r["doc_id"]].startswith(r["text"]) and r["n_chars"] == len(r["text"])
         got[r["doc_id"]] += words(r["text"])
     assert sorted(got.values()) == want
+
+
+def test_rows_taken_equal_a_walk_in_hash_order(documents):
+    """Each source's rows in the order of their draw, rows of one id together, until the words left are met."""
+    draw = random.Random(5)
+    rows = [(draw.randrange(700), "w " * draw.randint(0, 30), draw.choice(["a"] * 6 + ["b", "c", None])) for _ in range(900)]
+    sizes = defaultdict(int)
+    for _, text, source in rows:
+        sizes[source] += words(text)
+    target, want = filled(dict(sizes)), []
+    for source, size in sizes.items():
+        whole, left = divmod(math.floor(target[source] + 0.5), size)
+        drawn = defaultdict(list)
+        for doc_id, text, of in rows:
+            if of == source:
+                drawn[hashlib.md5(f"{mixing.SEED}:{doc_id}".encode()).hexdigest(), doc_id].append(words(text))
+        for (_, doc_id), group in sorted(drawn.items()):
+            met = min(left, sum(group))
+            want += [(doc_id, n, whole * n + (n * met // sum(group) if met else 0)) for n in group]
+            left -= met
+    assert sorted((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix_report(documents(rows)).collect()) == sorted(want)
