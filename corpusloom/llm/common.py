@@ -84,6 +84,18 @@ def without(rows: DataFrame, numbers: DataFrame, row: str = f"{OWN}row") -> Data
     return rows.join(few(numbers.toDF(row)), row, "left_anti")
 
 
+#: Rows of a batch that goes to a Python worker, where rows hold whole texts.
+BATCH_ROWS = 2_048
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches for Python workers of at most BATCH_ROWS rows, from here on in this session; a smaller setting stays. JVM and
+    worker each hold a batch on its way in and on its way out. Results don't depend on it."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
