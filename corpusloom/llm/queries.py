@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, merkle, mixing, packing, pii, quality, simhash, suffix_dedup, toxicity, url_filter
+from corpusloom.llm import align, exact_dedup, merkle, mixing, packing, pii, quality, simhash, suffix_dedup, toxicity, url_filter
 from corpusloom.llm.common import held_out, table
 
 
@@ -58,9 +58,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_mixing, op3_exact_dedup, op4_merkle, op5_suffix_dedup, op6_pii, op7_quality, op8_packing, op9_url_filter, op10_simhash)
+    for f in (op1_toxicity, op2_mixing, op3_exact_dedup, op4_merkle, op5_suffix_dedup, op6_pii, op7_quality, op8_packing, op9_url_filter, op10_simhash, op11_alignment)
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
