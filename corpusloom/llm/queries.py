@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import align, exact_dedup, merkle, mixing, packing, pii, quality, simhash, suffix_dedup, toxicity, url_filter
+from corpusloom.llm import align, exact_dedup, merkle, mixing, packing, phrases, pii, quality, simhash, suffix_dedup, toxicity, url_filter
 from corpusloom.llm.common import held_out, table
 
 
@@ -62,9 +62,13 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_report(table(spark, sf_dir, "documents"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_mixing, op3_exact_dedup, op4_merkle, op5_suffix_dedup, op6_pii, op7_quality, op8_packing, op9_url_filter, op10_simhash, op11_alignment)
+    for f in (op1_toxicity, op2_mixing, op3_exact_dedup, op4_merkle, op5_suffix_dedup, op6_pii, op7_quality, op8_packing, op9_url_filter, op10_simhash, op11_alignment, op12_phrases)
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -172,4 +176,27 @@ SELECT page_id, host, path, rule,
     WHEN 'com/de/' THEN 'block'
     ELSE CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END END AS verdict
 FROM f""",
+    "op12_phrases": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+u AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (
+  SELECT lang, k AS words, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM u, (VALUES (1), (2), (3), (4), (5)) v(k) WHERE i + k - 1 <= len(ws) GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM g WHERE words = 1 GROUP BY lang),
+h AS (SELECT *, string_split(phrase, ' ') AS ws FROM g WHERE f >= 100),
+c AS (SELECT *, unnest(range(1, words)) AS k FROM h WHERE words > 1),
+s AS (
+  SELECT c.lang, c.phrase, c.f AS a, c.k, l.f AS l, r.f AS r, n.n, 1000::HUGEINT * c.f * n.n // (l.f::HUGEINT * r.f) AS score
+  FROM c JOIN h l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:c.k], ' ')
+  JOIN h r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[c.k + 1:], ' ') JOIN n ON n.lang = c.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (
+  SELECT lang, array_to_string(ws[x:x + y - 1], ' ') AS phrase, max(f) AS held
+  FROM (SELECT *, unnest(range(1, words + 1)) AS x FROM h WHERE words > 2), (VALUES (2), (3), (4)) v(y) WHERE y < words AND x + y - 1 <= words GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, b.l, b.r, b.n::BIGINT AS n, b.score::BIGINT AS score
+FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.held IS NULL OR 100 * i.held < 100 * b.a
+QUALIFY rank <= 2000""",
 }
