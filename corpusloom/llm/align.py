@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import OWN, few, with_row_ids, written
+from corpusloom.llm.common import OWN, bounded_batches, few, with_row_ids, written
 from corpusloom.llm.packing import PRETOKENS, _byte_letters, _ids, _merger, _PLAIN, _Pretokens, default_tokenizer
 
 #: Characters of text that a worker aligns at once; a longer text alone.
-PORTION = 6 << 20
+PORTION = 1 << 20
 #: Parts into which the first stage of the shuffle splits the counts of a pair.
 SALTS = 16
 
@@ -258,6 +258,7 @@ def align_report(docs: DataFrame, tokenizer: str | None = None, pieces: str | No
     and empty tables as in alignments(). n_best: link occurrences whose pair is the A id's most frequent, ties included;
     count_sum: the pairs' counts over link occurrences."""
     row = f"{OWN}row"
+    bounded_batches(docs.sparkSession)
     aligned = written(alignments(docs, tokenizer, pieces), "alignments")
     counts = written(pair_counts(aligned), "pair-counts")
     told = _links(aligned, row).join(few(counts), ["a", "b"])
