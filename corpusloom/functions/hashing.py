@@ -46,6 +46,44 @@ def fnv1a64_many(values: list[bytes]) -> list[int]:
     return out
 
 
+#: Bytes that a stream is hashed by.
+BLOCK = 1 << 16
+_POWERS = np.cumprod(np.concatenate(([1], np.full(BLOCK, PRIME, np.uint64))), dtype=np.uint64)
+
+
+class Fnv1a64:
+    """The hash of a stream, block by block in vector steps; its memory doesn't depend on the stream's length.
+
+    A byte only changes the low byte of the state, which alone decides the next low byte. So the low bytes of a block come
+    first: bit by bit, since a product with an odd number passes a bit on as it is, but for what lower bits add, and running
+    exclusive-or gives each bit at all places. Then the state is a sum of the changes times powers of the prime.
+    """
+
+    def __init__(self, state: int = OFFSET) -> None:
+        self.state = state
+
+    def update(self, data: bytes | memoryview) -> Fnv1a64:
+        whole = np.frombuffer(data, np.uint8)
+        for at in range(0, len(whole), BLOCK):
+            self._block(whole[at : at + BLOCK])
+        return self
+
+    def _block(self, data: np.ndarray) -> None:
+        n = len(data)
+        low = np.zeros(n + 1, np.uint8)  # of the state before each byte, and after the last
+        low[0] = self.state & 255
+        for k in range(8):
+            lower = (low[:-1] ^ data) & np.uint8((1 << k) - 1)
+            flips = ((data >> k) ^ (lower * np.uint8(PRIME & 255) >> k)) & np.uint8(1)
+            low[1:] |= (np.bitwise_xor.accumulate(flips) ^ (low[0] >> k & np.uint8(1))) << k
+        change = (low[:-1] ^ data).astype(np.int64) - low[:-1]
+        total = int((change.view(np.uint64) * _POWERS[n:0:-1]).sum(dtype=np.uint64))
+        self.state = (self.state * int(_POWERS[n]) + total) & _MASK
+
+    def hexdigest(self) -> str:
+        return f"{self.state:016x}"
+
+
 @F.pandas_udf(T.StringType())
 def _hashed(data: pd.Series) -> pd.Series:
     known = data.notna()

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 BROADCAST_KNOWN = 200_000
 
 
-def classify(incoming: DataFrame, known: DataFrame) -> DataFrame:
-    """(path, content_hash, has_text) against (path, content_hash): adds known_hash and status.
+def classify(incoming: DataFrame, known: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(path, content_hash, has_text) against (path, content_hash): adds known_hash, status and the columns `keep` of a known path.
 
     unchanged: the path has this hash. duplicate: the path is unknown and the hash is known, or an earlier path of this
     batch brings the same hash and text. failed: no text. Else modified for a known path and fresh for a new one. Both
@@ -18,7 +18,7 @@ def classify(incoming: DataFrame, known: DataFrame) -> DataFrame:
     """
     small = known.limit(BROADCAST_KNOWN + 1).count() <= BROADCAST_KNOWN
     side = F.broadcast if small else (lambda d: d)
-    by_path = known.select("path", F.nullif(F.col("content_hash"), F.lit("")).alias("known_hash"))
+    by_path = known.select("path", F.nullif(F.col("content_hash"), F.lit("")).alias("known_hash"), *keep)
     hashes = known.select("content_hash").filter("content_hash <> ''").distinct().withColumn("hash_known", F.lit(True))
     seen = incoming.join(side(by_path), "path", "left").join(side(hashes), "content_hash", "left")
     old = F.col("known_hash").eqNullSafe(F.col("content_hash")) & F.col("known_hash").isNotNull()
@@ -34,7 +34,7 @@ def classify(incoming: DataFrame, known: DataFrame) -> DataFrame:
     return (
         seen.join(owner, "content_hash", "left")
         .withColumn("status", F.when(late, F.lit("duplicate")).otherwise(F.col("first")))
-        .select("path", "content_hash", "known_hash", "status")
+        .select("path", "content_hash", "known_hash", "status", *keep)
     )
 
 

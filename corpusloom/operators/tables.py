@@ -1,7 +1,12 @@
-"""Reading tables."""
+"""Reading tables, and writing intermediate ones."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,3 +22,25 @@ def spread(df: DataFrame) -> DataFrame:
     """A table of fewer scan partitions than cores, dealt out over the cores; any larger one as it is, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and Spark is
+    local. A cluster without the setting raises: its executors would each write to a disk of their own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = getattr(spark.sparkContext, "_loom_scratch", None)
+        if not folder:
+            local = tempfile.mkdtemp(prefix="corpusloom-")
+            atexit.register(shutil.rmtree, local, ignore_errors=True)
+            folder = spark.sparkContext._loom_scratch = f"file://{local}"
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: cuts the lineage and outlives any executor."""
+    path = f"{scratch_dir(df.sparkSession)}/corpusloom-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,18 +13,26 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from corpusloom.functions.hashing import fnv1a64_many
+from corpusloom.functions.hashing import Fnv1a64
 from corpusloom.functions.paths import IGNORED, extension
 from corpusloom.functions.text import BLOCK, ENTITIES
+from corpusloom.operators.tables import partitions
 from corpusloom.schemas import EXTRACTED
+from corpusloom.sources.files import open_stream
 
 # Marks of files.
 LFS_MARK = b"version https://git-lfs"
 PDF_MARK = b"%PDF-"
 BINARY_HEAD = 1024
 
+#: Bytes that a stream or member of a file may inflate to; beyond, the file fails.
+INFLATED = 256 << 20
+#: Bytes of a file that are read at once to hash it, and characters of text that a task hands on at once.
+HASHED = 1 << 20
+HANDED_ON = 16 << 20
+
 _BLANK = " \t\n\x0b\f\r"
 _CONTROLS = dict.fromkeys([*range(9), 11, 12, *range(14, 32)], " ")
 codecs.register_error("corpusloom.space", lambda e: (" " * (e.end - e.start), e.end))
@@ -105,7 +113,13 @@ def xml_text(xml: str, opening: str, closing: str, breaking: str = "", strip: bo
 
 def _member(data: bytes, name: str) -> str | None:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        return z.read(name).decode("utf-8", "replace") if name in z.namelist() else None
+        return _inflated(z, name).decode("utf-8", "replace") if name in z.namelist() else None
+
+
+def _inflated(z: zipfile.ZipFile, name: str) -> bytes:
+    if z.getinfo(name).file_size > INFLATED:
+        raise ValueError(f"{name} inflates beyond {INFLATED} bytes")
+    return z.read(name)
 
 
 def docx_text(data: bytes) -> str | None:
@@ -121,7 +135,7 @@ def odt_text(data: bytes, exact: bool = False) -> str | None:
 
 def epub_text(data: bytes) -> str | None:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        pages = [z.read(n).decode("utf-8", "replace") for n in z.namelist() if n.lower().endswith((".xhtml", ".html", ".htm"))]
+        pages = [_inflated(z, n).decode("utf-8", "replace") for n in z.namelist() if n.lower().endswith((".xhtml", ".html", ".htm"))]
     return "\n\n".join(map(html_text, pages)) or None
 
 
@@ -150,10 +164,14 @@ def pdf_streams_text(data: bytes) -> bytes | None:
     for m in re.finditer(rb"stream[\r\n]*(.*?)endstream", data, re.S):
         content = m.group(1)
         if b"/FlateDecode" in data[max(0, m.start() - 256) : m.start()] and len(content) > 2:
+            inflate = zlib.decompressobj()
             try:
-                content = zlib.decompressobj().decompress(content)
+                content = inflate.decompress(content, INFLATED)
             except zlib.error:
                 pass
+            else:
+                if inflate.unconsumed_tail and not inflate.eof:
+                    raise ValueError(f"a stream inflates beyond {INFLATED} bytes")
         out += [s + b" " for s in _strings(content)]
     return b"".join(out) or None
 
@@ -218,31 +236,63 @@ def extract(path: str, data: bytes) -> tuple[str | None, str | None]:
 
 def _read(path: str) -> bytes | None:
     try:
-        with open(path, "rb") as f:
+        with open_stream(path) as f:
             return f.read()
     except OSError:
         return None
 
 
-def hash_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, content_hash) of files that every worker can read; a file that can't be read has a null hash."""
-    frame = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 2 * spark.sparkContext.defaultParallelism)))
+def file_hash(path: str) -> str | None:
+    """The content hash of a file, read block by block; None where it can't be read."""
+    state = Fnv1a64()
+    try:
+        with open_stream(path) as f:
+            while block := f.read(HASHED):
+                state.update(block)
+    except OSError:
+        return None
+    return state.hexdigest()
+
+
+def hash_files(files: DataFrame) -> DataFrame:
+    """(path, content_hash) of files (path); a file that can't be read has a null hash. Files are dealt out over tasks and
+    read as streams, so a task's memory doesn't depend on their sizes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            data = [_read(p) for p in part["path"]]
-            found = iter(fnv1a64_many([d for d in data if d is not None]))
-            yield pd.DataFrame({"path": part["path"], "content_hash": [None if d is None else f"{next(found):016x}" for d in data]})
+            yield pd.DataFrame({"path": part["path"], "content_hash": [file_hash(p) for p in part["path"]]})
 
-    return frame.mapInPandas(run, "path string, content_hash string")
+    return files.select("path").repartition(partitions(files.sparkSession)).mapInPandas(run, "path string, content_hash string")
+
+
+def _told(rows: Iterator[tuple[str, str, bytes | None]]) -> Iterator[pd.DataFrame]:
+    """What extract() makes of (path, content_hash, data), in batches of bounded size."""
+    held: list[tuple] = []
+    size = 0
+    names = ["path", "content_hash", "text", "error"]
+    for path, digest, data in rows:
+        text, error = (None, "unreadable") if data is None else extract(path, data)
+        held.append((path, digest, text, error))
+        size += len(text or "")
+        if size >= HANDED_ON:
+            yield pd.DataFrame(held, columns=names)
+            held, size = [], 0
+    yield pd.DataFrame(held, columns=names)
 
 
 def extract_files(files: DataFrame) -> DataFrame:
-    """(path, content_hash) to (path, content_hash, text, error)."""
+    """(path, content_hash) to (path, content_hash, text, error); a task holds one file at a time, and texts up to HANDED_ON."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            done = [(None, "unreadable") if (d := _read(p)) is None else extract(p, d) for p in part["path"]]
-            yield part.assign(text=[t for t, _ in done], error=[e for _, e in done])[["path", "content_hash", "text", "error"]]
+        yield from _told((p, h, _read(p)) for part in batches for p, h in zip(part["path"], part["content_hash"], strict=True))
 
     return files.select("path", "content_hash").mapInPandas(run, EXTRACTED)
+
+
+def extract_contents(files: DataFrame) -> DataFrame:
+    """(path, content_hash, content) to (path, content_hash, text, error)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _told((p, h, bytes(c)) for part in batches for p, h, c in zip(part["path"], part["content_hash"], part["content"], strict=True))
+
+    return files.select("path", "content_hash", "content").mapInPandas(run, EXTRACTED)

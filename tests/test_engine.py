@@ -17,7 +17,7 @@ from corpusloom.operators.store import Index, delete_chunks
 from corpusloom.plans.ask import answers, ask, cited, hits_for
 from corpusloom.plans.ingest import ingest
 from corpusloom.sources import extract
-from corpusloom.sources.files import collect
+from corpusloom.sources.files import list_files
 from corpusloom.streaming.landing import ingest_rows, ingest_stream
 
 
@@ -61,7 +61,8 @@ def test_formats():
     assert extract.extract("x.pdf", b"no pdf")[0] is None
 
 
-def test_collecting_files(tmp_path):
+def test_collecting_files(spark, tmp_path):
+    collect = lambda path: sorted(r["path"] for r in list_files(spark, path).collect())
     for name in ("_a.md", ".b.md", "B.PDF", "node_modules/c.md", "__pycache__/d.md", "sub/e.txt", "noext", "f.py"):
         p = tmp_path / name
         p.parent.mkdir(exist_ok=True)
@@ -237,14 +238,14 @@ def test_second_writer_gives_up_and_segments_are_compacted(spark, tmp_path, monk
     index = Index(spark, f"file://{tmp_path}/kb", 2).open()
     docs = spark.sql("SELECT 1L AS id, 'a' AS path, 'h' AS content_hash, current_timestamp() AS created_at")
     chunk = lambda i: spark.sql(f"SELECT {i}L AS id, 1L AS doc_id, 0 AS chunk_idx, 'text {i}' AS content, array(0.6f, 0.8f) AS embedding")
-    monkeypatch.setattr(store, "SEGMENTS", 3)
+    monkeypatch.setattr(store, "TIER", 3)
     for i in range(1, 5):
         index.append(docs, chunk(i), docs.select(F.col("id").alias("doc_id")))
-        assert [r["content"] for r in index.chunks().collect()] == [f"text {i}"] and len(index._live()["segments"]) <= 3
+        assert [r["content"] for r in index.chunks().collect()] == [f"text {i}"] and len(index._live()["chunks"]) <= 3
     live = index._live()
     index.append(docs, chunk(9), docs.select(F.col("id").alias("doc_id")))
     with pytest.raises(RuntimeError, match="another writer"):
-        index._switch(live["version"], live)
+        index._commit(live["version"], live)
 
 
 def test_null_and_odd_queries(spark):

@@ -1,0 +1,170 @@
+import threading
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.config import Config
+from corpusloom.operators import catalog, store
+from corpusloom.operators.store import Conflict, Index
+from corpusloom.plans.ingest import ingest
+from corpusloom.streaming.landing import ingest_rows
+
+CHUNK = "SELECT {0}L AS id, {1}L AS doc_id, 0 AS chunk_idx, '{2}' AS content, array(0.6f, 0.8f) AS embedding"
+DOC = "SELECT {0}L AS id, '{1}' AS path, '{2}' AS content_hash, TIMESTAMP '2020-01-01' AS created_at"
+NONE = "SELECT CAST(NULL AS BIGINT) AS doc_id WHERE false"
+
+
+def paths_of(index):
+    return {r["path"]: r["content_hash"] for r in index.documents().collect()}
+
+
+def contents_of(index):
+    return sorted(r["content"] for r in index.chunks().collect())
+
+
+def put(spark, index, i, path, text, replaced=None):
+    gone = spark.sql(NONE if replaced is None else f"SELECT {replaced}L AS doc_id")
+    return index.append(spark.sql(DOC.format(i, path, f"h{text}")), spark.sql(CHUNK.format(i * 100 + len(text), i, text)), gone)
+
+
+def test_of_two_writers_one_wins(spark, tmp_path):
+    index = Index(spark, f"file://{tmp_path}/kb", 2).open()
+    first, second = index.at(), index.at()
+    put(spark, first, 1, "a", "one")
+    with pytest.raises(Conflict, match="another writer published version 2 since version 1"):
+        put(spark, second, 1, "b", "two")
+    assert index.version == 2 and paths_of(index) == {"a": "hone"} and contents_of(index) == ["one"]
+    put(spark, index.at(), 2, "b", "two")  # from the version that the other one published
+    assert paths_of(index) == {"a": "hone", "b": "htwo"}
+
+
+def test_interleaved_publish_between_check_and_commit(spark, tmp_path, monkeypatch):
+    """The other writer publishes at the last moment, when everything is written but for the version's file."""
+    index = Index(spark, f"file://{tmp_path}/kb", 2).open()
+    real = Index._commit
+
+    def late(self, base, state):
+        monkeypatch.setattr(Index, "_commit", real)
+        put(spark, Index(spark, self.path, 2), 7, "other", "theirs")
+        return real(self, base, state)
+
+    monkeypatch.setattr(Index, "_commit", late)
+    with pytest.raises(Conflict):
+        put(spark, index, 1, "mine", "ours")
+    assert paths_of(index) == {"other": "htheirs"} and index.versions() == [1, 2]
+
+
+def test_a_version_is_made_once(spark, tmp_path):
+    index = Index(spark, f"file://{tmp_path}/kb", 2)
+    won = []
+    writers = [threading.Thread(target=lambda i=i: index._create(f"file://{tmp_path}/kb/_log/x.json", f'{{"by": {i}}}') and won.append(i)) for i in range(12)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    assert len(won) == 1 and (tmp_path / "kb/_log/x.json").read_text() == f'{{"by": {won[0]}}}'
+    assert [p.name for p in (tmp_path / "kb/_log").iterdir() if not p.name.endswith(".crc")] == ["x.json"]
+
+
+def test_two_ingests_at_once_both_arrive(spark, tmp_path):
+    for side in "ab":
+        (tmp_path / side).mkdir()
+        for i in range(3):
+            (tmp_path / side / f"{i}.txt").write_text(f"text {i} of side {side}")
+    c = Config(index_path=f"file://{tmp_path}/kb", embed_dimension=8)
+    Index(spark, c.index_path, 8).open()
+    failed = []
+
+    def run(side):
+        try:
+            ingest(spark, str(tmp_path / side), c)
+        except Exception as e:  # noqa: BLE001
+            failed.append(e)
+
+    both = [threading.Thread(target=run, args=(s,)) for s in "ab"]
+    for t in both:
+        t.start()
+    for t in both:
+        t.join()
+    index = Index(spark, c.index_path, 8)
+    listed = catalog.list_documents(index.documents(), index.chunks()).collect()
+    assert not failed and len(listed) == 6 and {r["chunk_count"] for r in listed} == {1}
+    assert sorted(r["id"] for r in listed) == [1, 2, 3, 4, 5, 6] and index.chunks().select("id").distinct().count() == 6
+
+
+def test_one_change_among_many_writes_one_document(spark, tmp_path):
+    n = 100_000
+    index = Index(spark, f"file://{tmp_path}/kb", 2).open()
+    docs = spark.range(1, n + 1).select("id", F.concat(F.lit("p"), "id").alias("path"), F.concat(F.lit("h"), "id").alias("content_hash"), F.current_timestamp().alias("created_at"))
+    index.publish(docs, docs.select("id", F.col("id").alias("doc_id"), F.lit(0).alias("chunk_idx"), F.lit("old").alias("content"), F.array(F.lit(0.6).cast("float"), F.lit(0.8).cast("float")).alias("embedding")))
+    c = Config(index_path=index.path, embed_dimension=2)
+    for text, chunks in (("new words", 1), ("other words " * 300, 3)):
+        done = ingest_rows(index, spark.createDataFrame([("p77", text)], "path string, text string"), c)
+        assert (done.docs, done.chunks) == (1, chunks)
+        live = index._live()
+        assert (live["documents"][-1]["rows"], live["chunks"][-1]["rows"], live["gone"][-1]["rows"]) == (1, chunks, 1)
+        assert [s["rows"] for s in live["documents"][:-1]][0] == n  # the base stays as it is
+    assert index.documents().count() == n and index.documents().filter("id = 77").first()["path"] == "p77"
+    assert index.chunks().count() == n + 2 and index.chunks().filter("doc_id = 77").count() == 3
+    plan = index.chunks()._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_tiers(spark, tmp_path, monkeypatch):
+    """Appends rewrite a row once a tier; tombstones go when no segment needs them."""
+    monkeypatch.setattr(store, "TIER", 3)
+    index = Index(spark, f"file://{tmp_path}/kb", 2).open()
+    want = {}
+    for step in range(20):
+        i = step % 5 + 1
+        put(spark, index, i, f"p{i}", f"t{step}", i if step >= 5 else None)
+        want[f"p{i}"] = f"ht{step}"
+        live = index._live()
+        assert all(sum(s["tier"] == t for s in live[k]) < 3 for k in ("documents", "chunks", "gone") for t in range(9)), live
+    assert paths_of(index) == want and contents_of(index) == sorted(h[1:] for h in want.values())
+    assert len(live["documents"]) <= 6 and max(s["tier"] for s in live["documents"]) >= 2
+    assert index.high("documents") == 5
+    # A deleted document is a tombstone without a row.
+    index.append(index.documents().limit(0), index.chunks().limit(0), spark.sql("SELECT 2L AS doc_id"))
+    assert "p2" not in paths_of(index) and len(contents_of(index)) == 4
+
+
+def test_many_tombstones_join_by_shuffle(spark, tmp_path, monkeypatch):
+    index = Index(spark, f"file://{tmp_path}/kb", 2).open()
+    for i in (1, 2, 3):
+        put(spark, index, i, f"p{i}", f"t{i}")
+    put(spark, index, 2, "p2", "again", 2)
+    monkeypatch.setattr(store, "BROADCAST_GONE", 0)
+    assert contents_of(index) == ["again", "t1", "t3"]
+
+
+def test_vacuum(spark, tmp_path):
+    index = Index(spark, f"file://{tmp_path}/kb", 2).open()
+    put(spark, index, 1, "a", "one")
+    old = index.at()
+    put(spark, index, 1, "a", "two", 1)
+    assert contents_of(old) == ["one"] and contents_of(index) == ["two"]
+    folders = lambda: {p.name for p in (tmp_path / "kb").iterdir() if p.name != "_log"}
+    before = folders()
+    assert index.vacuum() == {"versions": [], "folders": []} and folders() == before  # all is younger than the retention
+    assert contents_of(old) == ["one"]
+    index.reset(force=True)
+    (tmp_path / "kb" / "notes").mkdir()  # not a segment
+    orphan = tmp_path / "kb" / "chunks-9-0123456789ab"
+    orphan.mkdir()
+    gone = index.vacuum(keep=3600, now=time.time() + 7200)
+    assert gone["versions"] == [1, 2, 3] and index.versions() == [4] and set(gone["folders"]) == before | {orphan.name}
+    assert folders() == {"notes"} and contents_of(index) == []
+    put(spark, index, 1, "b", "three")
+    assert paths_of(index) == {"b": "hthree"}
+
+
+def test_a_changed_document_that_becomes_a_copy_loses_its_chunks(spark, tmp_path):
+    c = Config(index_path=f"file://{tmp_path}/kb", embed_dimension=4)
+    index = Index(spark, c.index_path, 4).open()
+    rows = lambda *r: spark.createDataFrame(r, "path string, text string")
+    ingest_rows(index, rows(("a", "first text"), ("b", "second text")), c)
+    ingest_rows(index, rows(("a", "both the same"), ("b", "both the same")), c)
+    listed = {r["path"]: r["chunk_count"] for r in catalog.list_documents(index.documents(), index.chunks()).collect()}
+    assert listed == {"a": 1, "b": 0} and contents_of(index) == ["both the same"]
