@@ -9,10 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.tables import written
+from corpusloom.operators.tiles import packed, pairs, unpacked
+
 TOP_K = 4
 SIMILARITY = 0.65
-#: Queries that are compared in one pass over the corpus; more queries take more passes.
-BLOCK = 4096
+#: Queries and corpus rows in a tile: a pair's product has 128 MB.
+BLOCK = 1024
+TILE = 16_384
 #: Digits of the similarity that ranks go by, so that engines agree on ties.
 DIGITS = 9
 
@@ -47,25 +51,21 @@ def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 def search(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, query_id: str = "query_id", vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, distance, similarity): each query's k nearest vectors, ties by id.
 
-    Queries go out in blocks of a bounded size; every task multiplies its batches with a block and keeps its own k best per
-    query, so the shuffle carries k rows per query and batch. Null and zero vectors have no direction and no neighbours, and
-    are nobody's; vectors of different widths raise, among the queries and against the corpus.
+    A join of two tables in tiles: each pair of tiles is a matrix product that leaves k rows per query, and of those a task
+    passes on its k best per query. Nothing but two widths comes to the driver, and both tables are scanned once. Null and zero
+    vectors have no direction and no neighbours, and are nobody's; vectors of different widths raise, among the queries and
+    against the corpus.
     """
     spark = queries.sparkSession
-    asked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).alias("v")).orderBy("q").toArrow()
-    widths = asked["v"].combine_chunks().value_lengths().drop_null().unique().to_pylist() if asked.num_rows else []
+    asked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).alias("v"))
+    widths = sorted(r[0] for r in asked.filter("v IS NOT NULL").select(F.size("v")).distinct().limit(3).collect())
     if len(widths) > 1:
-        raise ValueError(f"the queries have vectors of different widths: {sorted(widths)}")
+        raise ValueError(f"the queries have vectors of different widths: {widths}")
     if not widths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, distance double, similarity double")
-    width = widths[0]
-    ok, units = _matrix(asked["v"], width)
-    ids = asked["q"].to_numpy()[ok]
-    units = _unit(units)
-    found = None
-    for at in range(0, max(1, len(ids)), BLOCK):
-        some = _block(corpus, spark.sparkContext.broadcast((ids[at : at + BLOCK], units[at : at + BLOCK])), k, width, vec_id, vector)
-        found = some if found is None else found.unionByName(some)
+    blocks = written(packed(asked, BLOCK, "queries"), "queries")
+    tiles = packed(corpus.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v")), TILE, "corpus")
+    found = pairs(blocks, tiles).mapInArrow(_products(k, widths[0]), "query_id long, vec_id long, similarity double")
     best = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
     return (
         found.withColumn("near", F.round("similarity", DIGITS)).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
@@ -73,23 +73,28 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, query_id: str
     )
 
 
-def _block(corpus: DataFrame, held, k: int, width: int, vec_id: str, vector: str) -> DataFrame:
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, units = held.value
+def _products(k: int, width: int):
+    def side(tile: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, unit vectors) of a tile's rows that have a direction."""
+        batch = unpacked(tile)
+        if batch.column(1).value_lengths().drop_null().unique().to_pylist() not in ([width], []):
+            raise ValueError(f"the corpus has vectors of another width than {width}")
+        ok, vectors = _matrix(batch.column(1), width)
+        return batch.column(0).to_numpy()[ok], _unit(vectors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, None
         for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            if batch.column(1).value_lengths().drop_null().unique().to_pylist() not in ([width], []):
-                raise ValueError(f"the corpus has vectors of another width than {width}")
-            ok, vectors = _matrix(batch.column(1), width)
-            own = batch.column(0).to_numpy()[ok]
-            if not len(own):
-                continue
-            near = units @ _unit(vectors).T
-            row, col = best_places(near, k, own)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(own[col]), pa.array(near[row, col])], ["query_id", "vec_id", "similarity"])
-
-    return corpus.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v")).mapInArrow(scan, "query_id long, vec_id long, similarity double")
+            for tile, asked in zip(batch.column(0), batch.column(1), strict=True):
+                if (now := tile.as_py()) != last:
+                    last, own = now, side(now)
+                ids, units = side(asked.as_py())
+                if len(ids) and len(own[0]):
+                    near = units @ own[1].T
+                    row, col = best_places(near, k, own[0])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(own[0][col]), pa.array(near[row, col])], ["query_id", "vec_id", "similarity"])
+
+    return run
 
 
 def gate(hits: DataFrame, threshold: float = SIMILARITY) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Retrieval over chunked documents with hashed words, in one pass over the corpus."""
+"""Retrieval over chunked documents with hashed words, as a join of two tables in tiles."""
 
 from __future__ import annotations
 
@@ -11,26 +11,26 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.embed import DIMENSION, HashedWords
 from corpusloom.operators.chunking import chunk
-from corpusloom.operators.knn import BLOCK, DIGITS, SIMILARITY, TOP_K, best_places
-from corpusloom.operators.tables import spread
+from corpusloom.operators.knn import DIGITS, SIMILARITY, TOP_K, best_places
+from corpusloom.operators.tables import spread, written
+from corpusloom.operators.tiles import packed, pairs, unpacked
 
-_CHUNKS_AT_ONCE = 2000
+#: Questions and chunks in a tile; a chunk's vector has 8 KB.
+BLOCK = 1024
+TILE = 2048
 
 
 def retrieve(docs: DataFrame, questions: DataFrame, k: int = TOP_K, threshold: float = SIMILARITY, question_id: str = "item_id", text: str = "text") -> DataFrame:
     """(item_id, rank, doc_id, chunk_idx, similarity, passes): the k nearest chunks of each question, ties by ids.
 
-    passes: whether the question's best chunk reaches the threshold. Questions go out in blocks of a bounded size. Each
-    task chunks and embeds its documents and keeps its k best per question, so vectors of the corpus are never shuffled.
-    Blank questions and chunks match nothing.
+    passes: whether the question's best chunk reaches the threshold. A join of two tables in tiles, as in knn.search(): tiles
+    hold texts, which a task embeds once for all questions that a tile meets; no question comes to the driver and documents are
+    chunked once. Blank questions and chunks match nothing.
     """
-    spark = docs.sparkSession
-    asked = questions.select(F.col(question_id).cast("long").alias("q"), F.coalesce(F.col(text), F.lit("")).alias("t")).orderBy("q").collect()
-    pieces = chunk(spread(docs)).select("doc_id", "chunk_idx", "content")
-    found = None
-    for at in range(0, max(1, len(asked)), BLOCK):
-        some = _nearest(pieces, spark.sparkContext.broadcast([tuple(r) for r in asked[at : at + BLOCK]]), k)
-        found = some if found is None else found.unionByName(some)
+    asked = questions.select(F.col(question_id).cast("long").alias("q"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    blocks = written(packed(asked, BLOCK, "queries"), "questions")
+    tiles = packed(chunk(spread(docs)).select(F.col("doc_id").cast("long").alias("doc_id"), "chunk_idx", "content"), TILE, "corpus")
+    found = pairs(blocks, tiles).mapInArrow(_products(k), "item_id long, doc_id long, chunk_idx int, similarity double")
     by = Window.partitionBy("item_id")
     ranked = found.withColumn("near", F.round("similarity", DIGITS)).withColumn("rank", F.row_number().over(by.orderBy(F.desc("near"), "doc_id", "chunk_idx")))
     return ranked.filter(F.col("rank") <= k).select(
@@ -38,23 +38,26 @@ def retrieve(docs: DataFrame, questions: DataFrame, k: int = TOP_K, threshold: f
     )
 
 
-def _nearest(pieces: DataFrame, held, k: int) -> DataFrame:
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _products(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         provider = HashedWords(DIMENSION)
-        ids = np.array([q for q, _ in held.value], np.int64)
-        counts = provider.embed([t for _, t in held.value])
-        live = counts.any(1)
-        ids, counts = ids[live], counts[live]
-        if not len(ids):
-            return
-        length = np.sqrt((counts * counts).sum(1))
+        length = lambda x: np.sqrt((x * x).sum(1))
+        last = own = said = counts = None
         for batch in batches:
-            for at in range(0, batch.num_rows, _CHUNKS_AT_ONCE):
-                part = batch.slice(at, _CHUNKS_AT_ONCE)
-                vectors = provider.embed(part.column(2).to_pylist())
-                doc, idx = part.column(0).to_numpy(), part.column(1).to_numpy()
+            for tile, asked in zip(batch.column(0), batch.column(1), strict=True):
+                if (now := tile.as_py()) != last:
+                    last, own = now, unpacked(now)
+                    vectors = provider.embed(own.column(2).to_pylist())
+                    doc, idx, size = own.column(0).to_numpy(), own.column(1).to_numpy(), length(vectors)
+                if (now := asked.as_py()) != said:
+                    said, questions = now, unpacked(now)
+                    counts = provider.embed(questions.column(1).to_pylist())
+                    live = counts.any(1)
+                    ids, counts = questions.column(0).to_numpy()[live], counts[live]
+                if not len(ids):
+                    continue
                 # Products of counts are whole numbers, so this is exact before the one division.
-                near = (counts @ vectors.T) / (length[:, None] * np.sqrt((vectors * vectors).sum(1)))
+                near = (counts @ vectors.T) / np.maximum(length(counts)[:, None] * size, 1e-300)
                 row, col = best_places(near, k, doc, idx)
                 some = near[row, col] > 0
                 row, col = row[some], col[some]
@@ -63,4 +66,4 @@ def _nearest(pieces: DataFrame, held, k: int) -> DataFrame:
                     ["item_id", "doc_id", "chunk_idx", "similarity"],
                 )
 
-    return pieces.select(F.col("doc_id").cast("long"), "chunk_idx", "content").mapInArrow(scan, "item_id long, doc_id long, chunk_idx int, similarity double")
+    return run

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.config import Config
 from corpusloom.functions import generation as G
 from corpusloom.functions import paths, vectors
 from corpusloom.functions import text as X
 from corpusloom.functions.hashing import content_hash, content_hash_sql, hash_bucket
 from corpusloom.operators import catalog, chunking, complete, ingest_status, knn, store
+from corpusloom.operators.numbering import numbered
 from corpusloom.operators.retrieval import retrieve
-from corpusloom.operators.tables import table
+from corpusloom.operators.tables import scratch_dir, table
+from corpusloom.streaming.landing import ingest_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -386,12 +390,29 @@ FROM n LEFT JOIN k USING (path)""")
 def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     known = docs.join(table(spark, d, "labels"), "doc_id").select(
-        F.row_number().over(Window.orderBy(_path())).cast("long").alias("id"), _path().alias("path"), F.md5("text").alias("content_hash"), F.current_timestamp().alias("created_at")
+        _path().alias("path"), F.md5("text").alias("content_hash"), F.current_timestamp().alias("created_at")
     )
+    known = numbered(known, "path", "id")
     new = docs.select(_path().alias("path"), F.when(F.col("lang") == "en", F.md5(F.concat(F.lit("new"), "text"))).alias("content_hash"))
     return store.upsert_documents(known, new).select("id", "path", "content_hash")
 
 
+@_query(f"""
+WITH d AS (SELECT {_PATH_SQL} AS path, doc_id, text, CASE WHEN doc_id % 10 = 3 THEN text || ' changed' ELSE text END AS later FROM documents),
+s AS (SELECT *, row_number() OVER (ORDER BY path) AS id, min(path) OVER (PARTITION BY text) AS one, min(path) OVER (PARTITION BY later, text <> later) AS two FROM d),
+n AS (SELECT *, len(list_filter(regexp_split_to_array(later, '{_SP}+'), lambda x: x <> '')) AS words, CASE WHEN text = later THEN one ELSE two END AS owner FROM s)
+SELECT id, path, CASE WHEN path = owner THEN 1 + greatest(0, ceil((words - 250) / 210.0)::BIGINT) ELSE 0 END AS chunk_count FROM n""")
+def index_after_two_ingests(spark: SparkSession, d: str) -> DataFrame:
+    """What an index lists after all documents came in, and then all again, some of them changed."""
+    config = Config(index_path=f"{scratch_dir(spark)}/corpusloom-index-{uuid.uuid4().hex}", embed_dimension=8)
+    index = store.Index(spark, config.index_path, 8).open()
+    docs = table(spark, d, "documents")
+    later = F.when(F.col("doc_id") % 10 == 3, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
+    for text in (F.col("text"), later):
+        ingest_rows(index, docs.select(_path().alias("path"), text.alias("text")), config)
+    return catalog.list_documents(index.documents(), index.chunks()).select("id", "path", "chunk_count")
+
+
 @_query(f"WITH {_CHUNKS} SELECT * FROM c WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
 def delete_chunks(spark: SparkSession, d: str) -> DataFrame:
     return store.delete_chunks(chunking.chunk(table(spark, d, "documents")), table(spark, d, "labels").filter("quality = 0"))
