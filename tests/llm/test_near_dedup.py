@@ -1,7 +1,9 @@
 import itertools
 import random
+import time
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from corpusloom.llm import near_dedup as N
@@ -80,3 +82,41 @@ def test_odd_rows_and_empty(documents, odd_rows):
     assert kept.columns == documents(odd_rows).columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "4", "5", "6", "8", "9"]
     assert N.drop_near_copies(documents([])).count() == 0
+
+
+def near_copies(n, words, seed):
+    """Sets of shingles of n texts, each with a few shingles of its own."""
+    draw = np.random.default_rng(seed)
+    base = draw.integers(1, 1 << 62, words).astype(np.uint64)
+    return [np.unique(np.concatenate((base[draw.permutation(words)[: words - 2]], draw.integers(1, 1 << 62, 2).astype(np.uint64)))) for _ in range(n)]
+
+
+def test_a_bucket_of_thousands_of_near_copies_is_quick():
+    sets = near_copies(8_000, 60, 1)
+    prints = np.array([N.sketch(s) for s in sets])
+    began = time.monotonic()
+    ties = list(N._gathered(np.array(list(map(len, sets))), prints))
+    assert sum(len(x) for _, x in ties) == 7_999 and time.monotonic() - began < 5
+    began = time.monotonic()
+    links = list(N.linked(sets))
+    assert sum(len(x) for _, x in links) == 7_999 and time.monotonic() - began < 10
+
+
+def test_gathered_equals_all_pairs():
+    draw = random.Random(3)
+    sets = [s for k in range(12) for s in near_copies(draw.randint(1, 9), draw.choice([8, 30, 90]), k)]
+    draw.shuffle(sets)
+    n, prints = np.array(list(map(len, sets))), np.array([N.sketch(s) for s in sets])
+
+    def parts(edges):
+        up = list(range(len(sets)))
+        for i, j in edges:
+            x, y = up[i], up[j]
+            up = [x if u == y else u for u in up]
+        return sorted(sorted(i for i in range(len(sets)) if up[i] == u) for u in set(up))
+
+    near = lambda i, j: min(n[i], n[j]) * 5 >= 4 * max(n[i], n[j]) and int(np.bitwise_count(prints[i] ^ prints[j]).sum()) <= N.FAR
+    pairs = list(itertools.combinations(range(len(sets)), 2))
+    assert parts((i, int(j)) for i, js in N._gathered(n, prints) for j in js) == parts(p for p in pairs if near(*p))
+    similar = lambda i, j: 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (n[i] + n[j])
+    assert parts((i, int(j)) for i, js in N.linked(sets) for j in js) == parts(p for p in pairs if similar(*p))
