@@ -10,6 +10,7 @@ from corpusloom.functions import text as X
 TOP_K, TOP_P = 40, 0.9
 CONFIDENCE = 0.50
 MAX_NEW_TOKENS = 256
+CONTEXT = 4096
 #: Tokens of the context that are kept free for the answer.
 RESERVED = 128
 
@@ -29,6 +30,9 @@ PROMPT_ASK = "Question: "
 PROMPT_END = "<|im_end|>\n<|im_start|>assistant\n<think>\n\n</think>\n\n"
 NO_KNOWLEDGE = "I do not have sufficient information in my knowledge base to answer this question."
 NO_ANSWER = "The retrieved knowledge does not contain sufficient verified data to answer this question."
+REASON_NO_MODEL = "Model context uninitialized"
+NO_MODEL = "Error: Model context is not initialized."
+NO_PROMPT = "Error: Failed to tokenize input prompt."
 REASON_INSUFFICIENT = "Stage 2 Refusal: Model identified insufficient data in context"
 REASON_EMPTY = "Stage 2 Refusal: Model produced no grounded response from context"
 
