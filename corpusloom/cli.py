@@ -117,7 +117,7 @@ def _run(spark, config, args) -> int:
                 return 1
             from pyspark.sql import functions as F
 
-            for r in catalog.document_chunks(chunks, wanted, args.limit).withColumn("content", X.snippet(F.col("content"))).toLocalIterator():
+            for r in catalog.document_chunks(index.chunks(wanted), wanted, args.limit).withColumn("content", X.snippet(F.col("content"))).toLocalIterator():
                 print(f"#{r['chunk_idx']:<5} {r['word_count']:4} words  {r['content']}")
     return 0
 

@@ -39,7 +39,7 @@ def document_chunks(chunks: DataFrame, doc_id: int, limit: int = 0) -> DataFrame
 
 def resolve(documents: DataFrame, wanted: str) -> int | None:
     """The id that an argument names: itself if it is a number, else the lowest of the documents whose path matches."""
-    if wanted.isdigit():
+    if wanted.isascii() and wanted.isdigit():
         return int(wanted)
     first = documents.filter(X.ilike_contains(F.col("path"), wanted)).agg(F.min("id")).first()
     return first[0]

@@ -30,6 +30,9 @@ from corpusloom.schemas import CHUNKS, DOCUMENTS
 
 #: Segments of one tier that become one of the next.
 TIER = 8
+#: Folders that a large segment of chunks is dealt to by document, and the documents of a change from which on it is.
+BUCKETS = 64
+BUCKETED = 1_000
 #: Tombstones up to which reads send them to all tasks; beyond, they join by shuffle.
 BROADCAST_GONE = 1 << 20
 #: Seconds for which vacuum() keeps older versions, and folders that a writer may not have committed yet.
@@ -39,6 +42,11 @@ _KINDS = {"documents": ("id", DOCUMENTS), "chunks": ("doc_id", CHUNKS)}
 _FOLDER = re.compile(r"(documents|chunks|gone)-\d+-[0-9a-f]{12}")
 
 
+def bucket_of(doc_id) -> F.Column:
+    """The folder of a document's chunks."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(BUCKETS)).cast("int")
+
+
 class Conflict(RuntimeError):
     """Another writer published a version first."""
 
@@ -159,22 +167,30 @@ class Index:
         checked = F.when(wrong, F.raise_error(F.concat(F.lit("a vector has dimension "), F.size("embedding").cast("string")))).otherwise(F.col("embedding"))
         return chunks.withColumn("embedding", checked).select(*CHUNKS.names)
 
-    def _segment(self, kind: str, version: int, rows: DataFrame, tier: int = 0) -> tuple[list[dict], int]:
-        """Writes a segment: (its entry, or none where it has no rows; its highest id or version)."""
+    def _segment(self, kind: str, version: int, rows: DataFrame, tier: int = 0, bucketed: bool = False) -> tuple[list[dict], int]:
+        """Writes a segment: (its entry, or none where it has no rows; its highest id or version). bucketed: in folders by
+        document, without a shuffle."""
         name = f"{kind}-{version}-{uuid.uuid4().hex[:12]}"
-        rows.write.parquet(f"{self.path}/{name}")
+        if bucketed:
+            rows.withColumn("bucket", bucket_of(F.col("doc_id"))).write.partitionBy("bucket").parquet(f"{self.path}/{name}")
+        else:
+            rows.write.parquet(f"{self.path}/{name}")
         n, high = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}").agg(F.count("*"), F.max("until" if kind == "gone" else "id")).first()
         if not n:
             fs, p = self._fs(f"{self.path}/{name}")
             fs.delete(p, True)
             return [], 0
-        return [{"name": name, "written": version, "rows": n, "tier": tier}], high
+        entry = {"name": name, "written": version, "rows": n, "tier": tier, "bucketed": bucketed}
+        if kind == "gone":
+            entry["until"] = high
+            entry["buckets"] = sorted(r[0] for r in self._rows(entry, _GONE).select(bucket_of(F.col("doc_id"))).distinct().collect())
+        return [entry], high
 
     def publish(self, documents: DataFrame, chunks: DataFrame) -> Written:
         """Makes a version live that has these documents and chunks only; ids go on from theirs."""
         base = self.version or 0
         docs, high_doc = self._segment("documents", base + 1, documents.select(*DOCUMENTS.names))
-        pieces, high_chunk = self._segment("chunks", base + 1, self._checked(chunks))
+        pieces, high_chunk = self._segment("chunks", base + 1, self._checked(chunks), bucketed=_many(docs))
         state = {"dimension": self.dimension, "documents": docs, "chunks": pieces, "gone": [], "high": {"documents": high_doc, "chunks": high_chunk}}
         return Written(self._commit(base, state), sum(s["rows"] for s in docs), sum(s["rows"] for s in pieces))
 
@@ -185,9 +201,9 @@ class Index:
         live = self._live()
         base = live["version"]
         docs, high_doc = self._segment("documents", base + 1, documents.select(*DOCUMENTS.names))
-        pieces, high_chunk = self._segment("chunks", base + 1, self._checked(chunks))
-        gone, until = self._segment("gone", base + 1, replaced.select("doc_id", F.lit(base).cast("long").alias("until")).distinct())
-        more = {"documents": docs, "chunks": pieces, "gone": [g | {"until": until} for g in gone]}
+        pieces, high_chunk = self._segment("chunks", base + 1, self._checked(chunks), bucketed=_many(docs))
+        gone, _ = self._segment("gone", base + 1, replaced.select("doc_id", F.lit(base).cast("long").alias("until")).distinct())
+        more = {"documents": docs, "chunks": pieces, "gone": gone}
         high = {"documents": max(high_doc, live["high"]["documents"]), "chunks": max(high_chunk, live["high"]["chunks"])}
         now = self._commit(base, live | {k: live[k] + v for k, v in more.items()} | {"high": high})
         with contextlib.suppress(Conflict):  # the other writer's next change compacts
@@ -206,9 +222,8 @@ class Index:
                 if len(some) < TIER:
                     continue
                 due = True
-                merged, until = self._segment(kind, now, self._tombstones(some) if kind == "gone" else self._alive(kind, some, live["gone"]), tier + 1)
-                if kind == "gone":
-                    merged = [m | {"until": until} for m in merged]
+                rows = self._tombstones(some) if kind == "gone" else self._alive(kind, some, live["gone"])
+                merged, _ = self._segment(kind, now, rows, tier + 1, kind == "chunks" and sum(s["rows"] for s in some) >= BUCKETED)
                 state[kind] = [s for s in state[kind] if s not in some] + merged
         if not due:
             return None
@@ -219,33 +234,51 @@ class Index:
     # Reading
 
     def _rows(self, segment: dict, schema) -> DataFrame:
+        """A segment's rows, with the column `bucket` where it is in folders by document."""
         return self.spark.read.schema(schema).parquet(f"{self.path}/{segment['name']}")
 
     def _tombstones(self, gone: list[dict]) -> DataFrame:
         """(doc_id, until), the last of each document."""
         return reduce(DataFrame.unionByName, [self._rows(g, _GONE) for g in gone]).groupBy("doc_id").agg(F.max("until").alias("until"))
 
-    def _alive(self, kind: str, segments: list[dict], gone: list[dict]) -> DataFrame:
+    def _alive(self, kind: str, segments: list[dict], gone: list[dict], doc_id: int | None = None) -> DataFrame:
+        """The rows that no tombstone voids; of one document, if given, from its folders only. Only segments that are older than
+        some tombstone meet them, and of those only the folders that tombstones are about."""
         key, schema = _KINDS[kind]
-        if not segments:
-            return self.spark.createDataFrame([], schema)
+        bucket = None
+        if doc_id is not None:
+            bucket = self.spark.range(1).select(bucket_of(F.lit(doc_id).cast("long"))).first()[0]
+            gone = [g for g in gone if bucket in g["buckets"]]
         last = max((g["until"] for g in gone), default=-1)
-        parts = [self._rows(s, schema) for s in segments if s["written"] > last]  # newer than any tombstone
-        older = [self._rows(s, schema).withColumn("__written", F.lit(s["written"]).cast("long")) for s in segments if s["written"] <= last]
+        touched = sorted({b for g in gone for b in g["buckets"]})
+        parts, older = [], []
+        for s in segments:
+            rows = self._rows(s, schema)
+            if doc_id is not None:
+                rows = rows.filter((F.col("bucket") == bucket) & (F.col(key) == doc_id) if s["bucketed"] else F.col(key) == doc_id)
+            if s["written"] > last:  # newer than any tombstone
+                parts.append(rows.select(*schema.names))
+                continue
+            if s["bucketed"] and doc_id is None and len(touched) < BUCKETS:
+                parts.append(rows.filter(~F.col("bucket").isin(touched)).select(*schema.names))
+                rows = rows.filter(F.col("bucket").isin(touched))
+            older.append(rows.select(*schema.names, F.lit(s["written"]).cast("long").alias("__written")))
         if older:
             dead = self._tombstones(gone).withColumnRenamed("doc_id", key)
+            dead = dead if doc_id is None else dead.filter(F.col(key) == doc_id)
             dead = F.broadcast(dead) if sum(g["rows"] for g in gone) <= BROADCAST_GONE else dead
             kept = reduce(DataFrame.unionByName, older).join(dead, key, "left").filter("until IS NULL OR __written > until")
             parts.append(kept.select(*schema.names))
-        return reduce(DataFrame.unionByName, parts)
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
 
     def documents(self) -> DataFrame:
         live = self._live()
         return self._alive("documents", live["documents"], live["gone"])
 
-    def chunks(self) -> DataFrame:
+    def chunks(self, doc_id: int | None = None) -> DataFrame:
+        """All chunks, or those of one document, which are read from its folder of each large segment."""
         live = self._live()
-        return self._alive("chunks", live["chunks"], live["gone"])
+        return self._alive("chunks", live["chunks"], live["gone"], doc_id)
 
     def reset(self, force: bool = False, dimension: int | None = None) -> Written:
         """Publishes an empty version, perhaps of another dimension; numbers start anew. Asks for `force`. What older versions
@@ -270,6 +303,10 @@ class Index:
         return {"versions": old, "folders": sorted(folders)}
 
 
+def _many(docs: list[dict]) -> bool:
+    return sum(s["rows"] for s in docs) >= BUCKETED
+
+
 def changed_documents(known: DataFrame, new: DataFrame, high) -> DataFrame:
     """The document rows that merging (path, content_hash) into `known` by path writes: (id, path, content_hash, created_at,
     is_new). A hash is replaced where one is given, times and ids stay, new paths get ids after `high` in their order. Known

@@ -168,3 +168,24 @@ def test_a_changed_document_that_becomes_a_copy_loses_its_chunks(spark, tmp_path
     ingest_rows(index, rows(("a", "both the same"), ("b", "both the same")), c)
     listed = {r["path"]: r["chunk_count"] for r in catalog.list_documents(index.documents(), index.chunks()).collect()}
     assert listed == {"a": 1, "b": 0} and contents_of(index) == ["both the same"]
+
+
+def test_buckets_prune_reads_and_tombstones(spark, tmp_path):
+    n = 3_000
+    index = Index(spark, f"file://{tmp_path}/kb", 2).open()
+    docs = spark.range(1, n + 1).select("id", F.concat(F.lit("p"), "id").alias("path"), F.lit("h").alias("content_hash"), F.current_timestamp().alias("created_at"))
+    index.publish(docs, docs.select("id", F.col("id").alias("doc_id"), F.lit(0).alias("chunk_idx"), F.concat(F.lit("old"), "id").alias("content"), F.array(F.lit(0.6).cast("float"), F.lit(0.8).cast("float")).alias("embedding")))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    bucket = spark.range(1).select(store.bucket_of(F.lit(77).cast("long"))).first()[0]
+    own = index.chunks(77)
+    assert [r["content"] for r in own.collect()] == ["old77"]
+    assert f"= {bucket})" in plan(own).split("PartitionFilters: [")[1].split("]")[0] and "Join" not in plan(own)
+    put(spark, index, 77, "p77", "new77", 77)
+    assert [r["content"] for r in index.chunks(77).collect()] == ["new77"] and [r["content"] for r in index.chunks(78).collect()] == ["old78"]
+    assert index.chunks(10**9).count() == 0
+    assert index._live()["gone"][0]["buckets"] == [bucket]
+    # The join with tombstones reads one folder, the other folders go past it.
+    filters = [p.split("]")[0] for p in plan(index.chunks()).split("PartitionFilters: [")[1:]]
+    assert any(f"= {bucket})" in f and "NOT" not in f for f in filters) and any(f"NOT (bucket" in f for f in filters), filters
+    assert index.chunks().count() == n and index.chunks().filter("content LIKE 'new%'").count() == 1
+    assert index.documents().count() == n
