@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from corpusloom.sources.extract import sanitize
 
 DIMENSION = 1024
+#: Texts and tokens of a batch, and the tokens that a text counts at most.
+SEQUENCES, BUDGET, CAPPED = 16, 2048, 2000
 _CACHE = 300_000
 
 
 class Embedder(Protocol):
-    """Made in each worker. embed() returns a row per text; rows of blank texts are zero."""
+    """Made in each worker. embed() returns a row per text, or raises RuntimeError; tokens(), where there is one, counts a
+    text's tokens, else words count."""
 
     dimension: int
 
@@ -57,9 +60,41 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return np.where(n > 1e-12, vectors / np.where(n > 1e-12, n, 1), vectors)
 
 
-def embed_column(text: Column, make=HashedWords, dimension: int = DIMENSION, batch: int = 512) -> Column:
-    """Unit vectors of texts as array<float>. `make(dimension)` builds the provider once per worker; a failing batch and
-    blank texts give zero vectors, a provider of another width raises."""
+def by_budget(sizes: list[int]) -> Iterator[list[int]]:
+    """Places of texts in batches, shortest first: at most SEQUENCES of them, and BUDGET tokens, of which a text counts
+    CAPPED at most. Texts without tokens are in none."""
+    batch: list[int] = []
+    used = 0
+    for i in sorted((i for i, n in enumerate(sizes) if n > 0), key=lambda i: (sizes[i], i)):
+        n = min(sizes[i], CAPPED)
+        if batch and (len(batch) == SEQUENCES or used + n > BUDGET):
+            yield batch
+            batch, used = [], 0
+        batch.append(i)
+        used += n
+    if batch:
+        yield batch
+
+
+def embedded(provider: Embedder, texts: list[str]) -> np.ndarray:
+    """Unit vectors of texts. A batch that fails is halved until the texts that fail are alone; those, and blank texts, have
+    zero vectors."""
+    out = np.zeros((len(texts), provider.dimension), np.float32)
+    count = getattr(provider, "tokens", lambda text: len(_words(text)))
+    todo = list(by_budget([count(t) for t in texts]))
+    while todo:
+        some = todo.pop()
+        try:
+            out[some] = unit(provider.embed([texts[i] for i in some]))
+        except RuntimeError:
+            if len(some) > 1:
+                todo += [some[: len(some) // 2], some[len(some) // 2 :]]
+    return out
+
+
+def embed_column(text: Column, make=HashedWords, dimension: int = DIMENSION) -> Column:
+    """Unit vectors of texts as array<float>. `make(dimension)` builds the provider once per worker, and gets texts in batches
+    by a budget of tokens. Blank texts and those that it fails on have zero vectors; a provider of another width raises."""
 
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -68,13 +103,6 @@ def embed_column(text: Column, make=HashedWords, dimension: int = DIMENSION, bat
             raise ValueError(f"the provider has {provider.dimension} dimensions, the index {dimension}")
         for part in parts:
             texts = [sanitize(t.encode("utf-8", "surrogatepass")) if t else "" for t in part]
-            out: list[np.ndarray] = []
-            for at in range(0, len(texts), batch):
-                some = texts[at : at + batch]
-                try:
-                    out += list(unit(provider.embed(some)).astype(np.float32))
-                except RuntimeError:
-                    out += [np.zeros(dimension, np.float32)] * len(some)
-            yield pd.Series(out, dtype=object)
+            yield pd.Series(list(embedded(provider, texts)), dtype=object)
 
     return run(text)

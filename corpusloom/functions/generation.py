@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as X
 
 TOP_K, TOP_P = 40, 0.9
+TEMPERATURE, SAMPLE_SEED = 0.7, 1337
 CONFIDENCE = 0.50
 MAX_NEW_TOKENS = 256
 CONTEXT = 4096
@@ -50,14 +51,39 @@ def confidence(mean_logprob: Column) -> Column:
 
 
 def truncated_distribution(logits: DataFrame, key: str = "key", token: str = "token", logit: str = "logit", top_k: int = TOP_K, top_p: float = TOP_P) -> DataFrame:
-    """(key, token, rank, p) of the tokens that stay: the top_k by logit, then those before which less than top_p of the
+    """(key, token, rank, logit, p) of the tokens that stay: the top_k by logit, then those before which less than top_p of the
     mass lies, the first in any case. p is over the top_k."""
     by = Window.partitionBy(key)
     ranked = logits.withColumn("rank", F.row_number().over(by.orderBy(F.desc(logit), token))).filter(F.col("rank") <= top_k)
     e = ranked.withColumn("e", F.exp(F.col(logit).cast("double") - F.max(F.col(logit).cast("double")).over(by)))
     p = e.withColumn("p", F.col("e") / F.sum("e").over(by))
     before = F.coalesce(F.sum("p").over(by.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return p.withColumn("before", before).filter((F.col("rank") == 1) | (F.col("before") < top_p)).select(key, token, "rank", "p")
+    return p.withColumn("before", before).filter((F.col("rank") == 1) | (F.col("before") < top_p)).select(key, token, "rank", F.col(logit).alias("logit"), "p")
+
+
+def uniform(*parts: Column | str | int) -> Column:
+    """A number from 0 up to 1 that the parts alone decide: the first 52 bits of the MD5 of their texts, joined by colons. Drawn
+    anew, in any order and on any executor, it is the same."""
+    texts = [p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *texts)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def sampled_token(kept: DataFrame, key: str = "key", step: str | None = None, temperature: float = TEMPERATURE, seed: int = SAMPLE_SEED) -> DataFrame:
+    """(key, token, rank, p, u): of each sequence's tokens that truncation kept (key, token, rank, logit), the one that a
+    seeded draw takes, with its probability and the draw.
+
+    Logits are divided by the temperature, and the token is the first in order of rank whose probabilities, added up, exceed
+    the draw. The draw belongs to (seed, key, step), step being a column of `kept` or 0, so reruns agree.
+    """
+    by = Window.partitionBy(key)
+    ranked = kept.withColumn("u", uniform(seed, F.col(key), 0 if step is None else F.col(step)))
+    warm = F.col("logit").cast("double") / temperature
+    whole = by.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one order of adding up, to the last digit
+    p = ranked.withColumn("e", F.exp(warm - F.max(warm).over(by))).withColumn("p", F.col("e") / F.sum("e").over(whole))
+    upto = p.withColumn("upto", F.sum("p").over(by.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
+    # Rounding may leave the whole sum under a draw close to 1: then the last token is it.
+    taken = upto.withColumn("last", F.max("rank").over(by)).filter(((F.col("upto") > F.col("u")) & (F.col("upto") - F.col("p") <= F.col("u"))) | ((F.col("rank") == F.col("last")) & (F.col("upto") <= F.col("u"))))
+    return taken.select(key, "token", "rank", "p", "u")
 
 
 def truncated_tokens(tokens: Column, context: int) -> Column:

@@ -63,6 +63,25 @@ def sanitize_controls(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
 
 
+#: Valid UTF-8, one byte a character, and then a byte that no sequence holds. Possessive, so that no step is taken back.
+_BAD_BYTE = (
+    r"\G((?:[\x00-\x7F]|[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]"
+    r"|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2})*+)[\x80-\xFF]"
+)
+
+
+def repair_utf8(data: Column) -> Column:
+    """Bytes as text, with a space for each byte that isn't part of valid UTF-8; null for null. Valid bytes, told by one check,
+    are taken as they are; the others are read one byte a character, repaired by one pattern and put together again."""
+    bytes_only = F.regexp_replace(F.decode(data, "ISO-8859-1"), _BAD_BYTE, "$1 ")
+    return F.when(F.is_valid_utf8(data.cast("string")), data.cast("string")).otherwise(F.encode(bytes_only, "ISO-8859-1").cast("string"))
+
+
+def sanitize_bytes(data: Column) -> Column:
+    """Bytes as sources.extract.sanitize() reads them, without a Python worker."""
+    return sanitize_controls(repair_utf8(data))
+
+
 _TOKEN = (
     r"(?is)<script.*?(?:</script>|\z)|<style.*?(?:</style>|\z)|<!--(?:-?>|.*?(?:-->|\z))|<[^>]*(?:>|\z)"
     r"|&(?:nbsp|amp|lt|gt|quot|apos|#39);|&|[^<&]+"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Known documents up to which the lookup is broadcast.
+#: Known documents, or incoming ones, up to which that side of the lookup is broadcast.
 BROADCAST_KNOWN = 200_000
 
 
@@ -14,12 +14,20 @@ def classify(incoming: DataFrame, known: DataFrame, keep: tuple[str, ...] = ())
 
     unchanged: the path has this hash. duplicate: the path is unknown and the hash is known, or an earlier path of this
     batch brings the same hash and text. failed: no text. Else modified for a known path and fresh for a new one. Both
-    lookups are left joins on one key; a copied file's hot hash is split by the adaptive skew join.
+    lookups are left joins on one key. The smaller side goes to the other where it is small enough, so a small batch shuffles
+    none of the known rows; of two large sides a copied file's hot hash is split by the adaptive skew join.
     """
-    small = known.limit(BROADCAST_KNOWN + 1).count() <= BROADCAST_KNOWN
-    side = F.broadcast if small else (lambda d: d)
+    few = lambda rows: rows.limit(BROADCAST_KNOWN + 1).count() <= BROADCAST_KNOWN
     by_path = known.select("path", F.nullif(F.col("content_hash"), F.lit("")).alias("known_hash"), *keep)
-    hashes = known.select("content_hash").filter("content_hash <> ''").distinct().withColumn("hash_known", F.lit(True))
+    hashes = known.select("content_hash").filter("content_hash <> ''")
+    small = few(known)
+    if not small and few(incoming):
+        # A small batch goes to the known rows, which stay where they are; what it meets is no larger than the batch.
+        small = True
+        by_path = by_path.join(F.broadcast(incoming.select("path").distinct()), "path", "left_semi")
+        hashes = hashes.join(F.broadcast(incoming.select("content_hash").distinct()), "content_hash", "left_semi")
+    side = F.broadcast if small else (lambda d: d)
+    hashes = hashes.distinct().withColumn("hash_known", F.lit(True))
     seen = incoming.join(side(by_path), "path", "left").join(side(hashes), "content_hash", "left")
     old = F.col("known_hash").eqNullSafe(F.col("content_hash")) & F.col("known_hash").isNotNull()
     copy = F.col("known_hash").isNull() & F.coalesce(F.col("hash_known"), F.lit(False))

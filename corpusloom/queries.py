@@ -158,6 +158,19 @@ def sanitize_controls(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.sanitize_controls(F.concat("text", F.lit("\x07\t\x1f\x7f"))).alias("text"))
 
 
+@_query(r"""
+WITH b AS (SELECT page_id, replace(replace(replace(html, '<', '< '), '>', ' >'), 'e', 'e  ') AS t FROM pages)
+SELECT page_id, regexp_replace(t || '    ', '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g') AS text FROM b""")
+def repair_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as bytes, with a byte that begins nothing after each <, an overlong one before each >, a sequence that breaks off
+    after each e, and a surrogate and a stray byte at the end."""
+    one = F.decode(F.col("html").cast("binary"), "ISO-8859-1")
+    for char, broken in (("<", "<\xff"), (">", "\xc0>"), ("e", "e\xe2\x82")):
+        one = F.replace(one, F.lit(char), F.lit(broken))
+    data = F.encode(F.concat(one, F.lit("\xed\xa0\x80\x80")), "ISO-8859-1")
+    return table(spark, d, "pages").select("page_id", X.sanitize_bytes(data).alias("text"))
+
+
 @_query(r"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS e FROM embeddings),
 n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v),
@@ -336,7 +349,23 @@ c AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY rank ROWS BET
 SELECT vec_id, token, rank::INT AS rank, round(p, 6) AS p FROM c WHERE rank = 1 OR before < 0.9""")
 def topk_topp(spark: SparkSession, d: str) -> DataFrame:
     logits = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("token", "logit"))
-    return G.truncated_distribution(logits, "vec_id").withColumn("p", F.round("p", 6))
+    return G.truncated_distribution(logits, "vec_id").select("vec_id", "token", "rank", F.round("p", 6).alias("p"))
+
+
+@_query("""
+WITH t AS (SELECT vec_id, label, unnest(range(len(embedding)))::INT AS token, unnest(embedding)::DOUBLE * 20 AS logit FROM embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, token)::INT AS rank FROM t),
+k AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY vec_id)) AS e FROM r WHERE rank <= 40),
+b AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY vec_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(e) OVER (PARTITION BY vec_id) AS before FROM k),
+w AS (SELECT vec_id, token, rank, exp((logit - max(logit) OVER (PARTITION BY vec_id)) / 0.7) AS e,
+  ('0x' || substr(md5('1337:' || vec_id || ':' || label), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM b WHERE rank = 1 OR before < 0.9),
+c AS (SELECT *, e / sum(e) OVER (PARTITION BY vec_id) AS p, sum(e) OVER (PARTITION BY vec_id ORDER BY rank) / sum(e) OVER (PARTITION BY vec_id) AS upto FROM w)
+SELECT vec_id, token, rank, round(p, 6) AS p, round(u, 9) AS u FROM c WHERE upto > u QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY rank) = 1""")
+def sampled_token(spark: SparkSession, d: str) -> DataFrame:
+    logits = table(spark, d, "embeddings").select("vec_id", "label", F.posexplode(F.transform("embedding", lambda x: x.cast("double") * 20)).alias("token", "logit"))
+    kept = G.truncated_distribution(logits.drop("label"), "vec_id").join(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id")
+    drawn = G.sampled_token(kept, "vec_id", "label")
+    return drawn.select("vec_id", "token", "rank", F.round("p", 6).alias("p"), F.round("u", 9).alias("u"))
 
 
 _SURE_SQL = "((conv_id * 37 + turn * 11) % 100) / 100.0"
