@@ -16,7 +16,7 @@ from corpusloom.functions.hashing import content_hash, content_hash_sql, hash_bu
 from corpusloom.operators import catalog, chunking, complete, ingest_status, knn, store
 from corpusloom.operators.numbering import numbered
 from corpusloom.operators.retrieval import retrieve
-from corpusloom.operators.tables import scratch_dir, table
+from corpusloom.operators.tables import scratch_dir, spread, table
 from corpusloom.streaming.landing import ingest_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,7 +59,7 @@ def _path() -> F.Column:
 
 @_query(f"WITH {_CHUNKS} SELECT * FROM c")
 def doc_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunk(table(spark, d, "documents"))
+    return chunking.chunk(spread(table(spark, d, "documents")))
 
 
 @_query(f"WITH {_chunk_sql(8, 6)} SELECT * FROM c")
