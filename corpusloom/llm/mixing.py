@@ -154,7 +154,8 @@ def mix_report(docs: DataFrame, text: str = "text", source: str = "source", doc_
 
 def mixed_rows(docs: DataFrame, text: str = "text", source: str = "source", n_chars: str = "n_chars", doc_id: str = "doc_id") -> DataFrame:
     """The mix itself: each row as often as it is taken. Whole repetitions are the row; a fractional one has the text cut
-    after its last word taken, and n_chars set to match. Rows without words are never taken. Columns stay those of `docs`."""
+    after its last word taken, and n_chars set to match. Rows without words, null texts too, are never taken; an
+    empty table gives none; the rest is as in mix(). Columns stay those of `docs`."""
     size, taken = F.col(f"{OWN}size"), F.col(f"{OWN}taken")
     copies = F.expr(f"transform(sequence(1, cast(ceil({OWN}taken / {OWN}size) as int)), i -> least({OWN}size, {OWN}taken - (i - 1) * {OWN}size))")
     mixed = mix(docs, text=text, source=source, doc_id=doc_id).filter((size > 0) & (taken > 0)).withColumn(f"{OWN}words", F.explode(copies))

@@ -192,7 +192,7 @@ def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with the text column redacted; every row and column stays."""
+    """`docs` with the text column redacted; every row and column stays, null and empty texts as they are, repeated rows too."""
     @F.pandas_udf("string")
     def clean(part: pd.Series) -> pd.Series:
         return part.map(lambda t: redact(t) if t else t)

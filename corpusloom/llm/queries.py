@@ -13,6 +13,7 @@ from corpusloom.llm.common import held_out, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document. A null or empty text scores as one without evidence; equal texts score alike; each row stays. An empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.with_scores(docs, model)
@@ -20,26 +21,32 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents. Null texts have no words, a null source is the last; ties and repeated rows as in mixing.mix(). An empty table gives no rows."""
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal documents. Null, empty and blank texts are equal; null ids come last; each row has its row. An empty table gives no rows."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts. Null texts are empty; equal ids are ordered by text; one row follows itself. An empty table gives no rows."""
     return merkle.fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats that every document loses. Null texts are empty; equal ids come in the order of the table, null ids last. An empty table gives no rows."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document. Null and empty texts have none; each row is searched. An empty table gives no rows."""
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document. Null and empty texts have a score too; equal texts score alike; each row stays. An empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     scored = quality.with_scores(docs, model)
@@ -47,27 +54,33 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences. Null and empty texts are the end id alone; each row is packed. An empty table gives no rows."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page. Null and malformed urls have empty parts and are allowed; each row is judged. An empty table gives no rows."""
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies of every document. Texts without words have fingerprint zero; null ids come last; each row has its row. An empty table gives no rows."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tokenizers' tokens of every document. Null and empty texts have none; each row counts as a document. An empty table gives no rows."""
     return align.align_report(table(spark, sf_dir, "documents"))
 
 
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every language's phrases. Null texts are empty, a null language is `und`; repeated rows each count; ties go by phrase. An empty table gives no rows."""
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
 def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations, and one whose texts hold the template's own control strings."""
+    """All conversations, and one whose texts hold the template's own control strings. Null texts and roles are empty; rows of one
+    turn each count, in the order of the table's files; null conversations are one."""
     log = chat.log_of(table(spark, sf_dir, "conversations"))
     hostile = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("message"), F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("seq"),

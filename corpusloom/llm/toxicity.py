@@ -281,7 +281,8 @@ def _scored(counts: np.ndarray, background: np.ndarray) -> tuple[ToxicityModel,
 
 
 def toxic_passages(docs: DataFrame, model: ToxicityModel, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, start, end, score, p), a row for every significant passage of every text."""
+    """(doc_id, start, end, score, p), a row for every significant passage of every text. Null and empty texts have none, repeated
+    rows each have theirs, and an empty table gives none. `doc_id` is read as a long."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -289,7 +290,7 @@ def toxic_passages(docs: DataFrame, model: ToxicityModel, text: str = "text", do
             found = [{"doc_id": i} | p for i, t in zip(part["doc_id"], part["text"], strict=True) for p in held.value.passages(t)]
             yield pd.DataFrame(found, columns=["doc_id", "start", "end", "score", "p"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(spans, "doc_id long, start long, end long, score double, p double")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(spans, "doc_id long, start long, end long, score double, p double")
 
 
 def with_scores(docs: DataFrame, model: ToxicityModel, name: str = "score", text: str = "text") -> DataFrame:

@@ -45,6 +45,8 @@ BITS_PER_HASH = 1.5
 #: Bits of one shard of a filter at most. A level with more keys has its keys dealt to several shards by hash.
 MAX_BITS = 1 << 23
 MAX_LEVELS = 64
+#: Shards of a cascade at most: they are literals of the plan, 1 MB each. Enough for some 50 million listed names.
+MAX_SHARDS = 64
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -115,6 +117,8 @@ def _filter_of(keys: DataFrame, level: int, hashes: int = HASHES) -> BloomFilter
         return None
     size = math.ceil(n * hashes * BITS_PER_HASH)
     shards = -(-size // MAX_BITS)
+    if shards > MAX_SHARDS:
+        raise ValueError(f"{n} keys need {shards} MB of filters, and a plan should carry {MAX_SHARDS} at most; split the list by domain")
     bits = max(64, -(-size // (64 * shards)) * 64)
     if shards > 1:
         keys = written(keys, "url-level")
@@ -155,6 +159,8 @@ class Cascade:
             if made is None:
                 return cls(tuple(levels))
             levels.append(made)
+            if sum(len(x.shards) for x in levels) > MAX_SHARDS:
+                raise ValueError(f"the levels need more than {MAX_SHARDS} MB of filters; split the list by domain")
         raise RuntimeError("the cascade doesn't end")
 
     def holds(self, key: Column) -> Column:
@@ -174,18 +180,22 @@ def host_universe(hosts: DataFrame) -> DataFrame:
     return written(hosts.select("host").distinct().select(F.explode(suffixes(F.col("host"))).alias("key")).distinct(), "url-keys")
 
 
-def judge(pages: DataFrame, listed: Sequence[str] = LISTED, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", page_id: str = "page_id") -> DataFrame:
+def judge(pages: DataFrame, listed: Sequence[str] | DataFrame = LISTED, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", page_id: str = "page_id") -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row.
 
     The verdict is the longest fitting rule's; where none fits, `block` for a host that is listed or lies under a listed
     domain, else `allow`. Null or malformed urls have an empty host and path, no rule, and are allowed. Repeated rows are
-    judged each; an empty table gives an empty table; other columns are ignored.
+    judged each; an empty table gives an empty table; other columns are ignored. `listed`: names, or a table of one column for
+    long lists. Raises ValueError for a list whose filters pass MAX_SHARDS.
     """
     host, path = url_parts(F.col(url))
     parts = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     spark = pages.sparkSession
-    names = F.split(F.lit("\n".join(listed)), "\n") if listed else F.array().cast("array<string>")
-    keys = written(spark.range(1).select(F.explode(names).alias("key")), "url-list")
+    if isinstance(listed, DataFrame):
+        keys = written(listed.toDF("key"), "url-list")
+    else:
+        names = F.split(F.lit("\n".join(listed)), "\n") if listed else F.array().cast("array<string>")
+        keys = written(spark.range(1).select(F.explode(names).alias("key")), "url-list")
     cascade = Cascade.build(keys, host_universe(parts))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     is_listed = F.exists(suffixes(F.col("host")), cascade.holds)
