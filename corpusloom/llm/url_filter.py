@@ -110,7 +110,7 @@ def _shard(key: Column, shards: int, level: int) -> Column:
 
 
 def _filter_of(keys: DataFrame, level: int, hashes: int = HASHES) -> BloomFilter | None:
-    """The filter of the keys in column `key`, about half of its bits set, or None where there are none. At most MAX_BITS / 8 rows
+    """The filter of the keys in column `key`, about half of its bits set, or None where there are none. At most MAX_BITS / 64 rows
     reach the driver at once, those of one shard."""
     n = keys.distinct().count()
     if not n:
@@ -126,12 +126,12 @@ def _filter_of(keys: DataFrame, level: int, hashes: int = HASHES) -> BloomFilter
     made = []
     for shard in range(shards):
         some = keys.filter(_shard(F.col("key"), shards, level) == shard) if shards > 1 else keys
-        marks = some.select(place.alias("place")).groupBy(F.expr("place div 8").cast("int").alias("byte")).agg(
-            F.bit_or(F.expr("shiftleft(1, cast(7 - place % 8 as int))")).alias("value")
+        marks = some.select(place.alias("place")).groupBy(F.expr("place div 64").cast("int").alias("word")).agg(
+            F.bit_or(F.expr("shiftleft(1L, cast(63 - place % 64 as int))")).alias("value")
         )
         words = bytearray(bits // 8)
-        for byte, value in marks.collect():
-            words[byte] |= value
+        for word, value in marks.collect():
+            words[8 * word : 8 * word + 8] = value.to_bytes(8, "big", signed=True)
         made.append(bytes(words))
     return BloomFilter(bits, tuple(made), hashes)
 
