@@ -178,3 +178,49 @@ def test_fits_have_the_least_loss():
 def test_without_labels_every_text_is_kept(spark, documents, odd_rows):
     found = quality.with_scores(documents(odd_rows).drop("score"), quality.QualityModel()).collect()
     assert len(found) == len(odd_rows) and all(r["score"] == quality.CUT for r in found)
+
+
+def plain_measures(text):
+    """quality.measures() byte by byte."""
+    raw = (text or "").encode()
+    n, words, word = len(raw), [], b""
+    for b in raw + b" ":
+        if b in b" \t\n\x0b\f\r":
+            words += [word] if word else []
+            word = b""
+        else:
+            word += bytes([b])
+    out = [math.log(1 + n), math.log(1 + len(words))]
+    if not words:
+        return out + [0.0] * (quality._FEATURES - 2)
+    share = lambda of: sum(b in of for b in raw) / n
+    out += [share(range(48, 58)), share(range(65, 91)), share(range(97, 123)), share([10]), share([32]), share(range(128, 256))]
+    lines = raw.decode("latin-1").split("\n")
+    letters = lambda w: all(65 <= b <= 90 or 97 <= b <= 122 for b in w)
+    cased = lambda w: any(65 <= b <= 90 for b in w) and not any(97 <= b <= 122 for b in w)
+    out += [len(set(words)) / len(words), sum(a == b for a, b in zip(words, words[1:])) / len(words), max(words.count(w) for w in set(words)) / len(words)]  # noqa: B905
+    out += [1 - len(set(lines)) / len(lines), math.log(1 + n / len(words)), sum(map(cased, words)) / len(words), sum(map(letters, words)) / len(words)]
+    return out + [share([b]) for b in quality._SIGNS]
+
+
+def test_measures_equal_a_plain_count(sf_dir, spark):
+    texts = [None, "", " \n", "a", "A a A\n\nA a A\n", "ÄÖ 123 x_y! (z)", "\x0b\x0c one\ttwo \r\n", "one one one two"]
+    texts += [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(60).collect()]
+    for t in texts:
+        assert np.allclose(quality.measures(t), plain_measures(t), rtol=1e-12, atol=1e-15), repr(t)[:80]
+
+
+def test_quality_query_equals_brute_force(spark, sf_dir):
+    """The whole query against a fit on plainly measured rows and plainly computed scores."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    of = lambda k: [quality.measures(t) for t in {docs[i] for i in labels if labels[i] == k and i in docs and not held(i)}]
+    by_bytes = lambda rows: np.array(sorted(rows, key=lambda v: v.tobytes()))
+    model = quality.fit_pairs(by_bytes(of(1)), by_bytes(of(0)))
+    found = {r["doc_id"]: r for r in queries.QUERIES["op7_quality"](spark, sf_dir).collect()}
+    assert set(found) == set(docs)
+    for i, text in docs.items():
+        z = sum(max(-8.0, min(8.0, (x - m) / s)) * w for x, m, s, w in zip(plain_measures(text), model.mean, model.scale, model.weights, strict=True)) - model.cut
+        want = 1 / (1 + math.exp(-(z + math.log(0.3 / 0.7))))
+        assert found[i]["score"] == pytest.approx(want, abs=1e-9) and found[i]["held_out"] == held(i) and found[i]["predicted"] == int(found[i]["score"] >= 0.3)
