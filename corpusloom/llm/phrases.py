@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import partitions, written
+from corpusloom.llm.common import forget, partitions, written
 
 LONGEST = 5
 LEAST = 100
@@ -323,8 +323,11 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, text: str = "text", la
     found = written(_counted(_routed(docs, order, parts, text, lang), least), "grams")
     sums = found.filter("shared").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     grams = found.filter("NOT shared").select("lang", "phrase", "n").unionByName(sums)
-    size = F.size(F.split("phrase", " "))
-    return totals, written(frequent.select("lang", F.col("word").alias("phrase"), "n").unionByName(grams).withColumn("words", size), "phrases")
+    every = frequent.select("lang", F.col("word").alias("phrase"), "n").unionByName(grams)
+    phrases = written(every.withColumn("words", F.size(F.split("phrase", " "))), "phrases")
+    for done in (counts, found):
+        forget(done)
+    return totals, phrases
 
 
 def scored(totals: DataFrame, phrases: DataFrame) -> DataFrame:
