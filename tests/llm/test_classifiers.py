@@ -224,3 +224,58 @@ def test_quality_query_equals_brute_force(spark, sf_dir):
         z = sum(max(-8.0, min(8.0, (x - m) / s)) * w for x, m, s, w in zip(plain_measures(text), model.mean, model.scale, model.weights, strict=True)) - model.cut
         want = 1 / (1 + math.exp(-(z + math.log(0.3 / 0.7))))
         assert found[i]["score"] == pytest.approx(want, abs=1e-9) and found[i]["held_out"] == held(i) and found[i]["predicted"] == int(found[i]["score"] >= 0.3)
+
+
+def plain_segments(scores):
+    """The scores of all maximal segments by their definition, over sums of prefixes."""
+    total = [0.0]
+    for s in scores:
+        total.append(total[-1] + s)
+    total, found, todo = np.array(total), [], [(0, len(scores))]
+    while todo:
+        a, b = todo.pop()
+        if a >= b:
+            continue
+        low = np.minimum.accumulate(total[a:b])  # the least sum before a segment that ends behind
+        gain = total[a + 1 : b + 1] - low
+        j = int(np.argmax(gain))
+        if gain[j] <= 0:
+            continue
+        starts = np.flatnonzero(total[a : a + j + 1] == low[j])
+        i = a + int(starts[-1])  # the shortest of equally good ones
+        found.append(float(gain[j]))
+        todo += [(a, i), (a + j + 1, b)]
+    return found
+
+
+def test_toxicity_query_equals_brute_force(spark, sf_dir):
+    """Scores of the whole query against words, segments and calibration told plainly, under the model that the labels give."""
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")  # the smallest one has too few labels
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = {r["doc_id"]: r for r in queries.QUERIES["op1_toxicity"](spark, sf_dir).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert set(found) == set(texts)
+    w, s = model.word_score.astype(float), model.stem_score.astype(float)
+    strong_somewhere = 0
+    for i, text in texts.items():
+        words, word = [], ""
+        for c in (text or "").lower() + " ":
+            if c.isalnum() and not c.isnumeric():
+                word += c
+            else:
+                words += [word] if word else []
+                word = ""
+        scores = []
+        for k, x in enumerate(words):
+            a, b = zlib.crc32(x.encode()) % (1 << 18), zlib.crc32(x[:4].encode(), 1) % (1 << 16)
+            one = w[a] if abs(model.word_z[a]) >= abs(model.stem_z[b]) else s[b]
+            scores.append((0.0 if k and x == words[k - 1] else one) - 0.05)
+        segments = plain_segments(scores)
+        strength = [model.lam * x - math.log(model.k * max(1, len(words))) for x in [0.0, *segments]]
+        sure = sum(x for x in strength[1:] if x >= -math.log(0.01))
+        strong_somewhere += sure > 0
+        z = model.weights[0] + model.weights[1] * min(50.0, max(strength)) + model.weights[2] * math.log1p(sure)
+        assert found[i]["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5), i
+        assert found[i]["predicted"] == int(found[i]["score"] >= 0.5) and found[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+    assert strong_somewhere
