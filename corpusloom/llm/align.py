@@ -26,6 +26,8 @@ from corpusloom.llm.packing import PRETOKENS, _byte_letters, _ids, _merger, _PLA
 
 #: Characters of text that a worker aligns at once; a longer text alone.
 PORTION = 1 << 20
+#: Pretokens of the first tokenizer whose ids a worker remembers.
+HELD = 1 << 17
 #: Parts into which the first stage of the shuffle splits the counts of a pair.
 SALTS = 16
 
@@ -63,6 +65,15 @@ def expand(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return cuts, group_a, left, right
 
 
+class _Known(_Pretokens):
+    """At most HELD pretokens."""
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= HELD:
+            self.clear()
+        return super().__missing__(word)
+
+
 class Aligner:
     """Both tokenizers, with tables of what their tokens stand for."""
 
@@ -73,7 +84,7 @@ class Aligner:
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True  # their strings in texts are plain text
         merge = _merger(path_a)
-        self.pretokens = _Pretokens(merge or (lambda word: self.a.encode(word.decode(), add_special_tokens=False).ids))
+        self.pretokens = _Known(merge or (lambda word: self.a.encode(word.decode(), add_special_tokens=False).ids))
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         letters = _byte_letters()
         sizes = {i: len(token) if all(c in letters for c in token) else 1 for token, i in self.a.get_vocab().items()}
