@@ -1,19 +1,21 @@
-"""Removal of long repeats by a logarithmic family of suffix arrays.
+"""Removal of long repeats by a logarithmic family of sparse suffix arrays.
 
 A byte goes if a string of MATCH bytes that covers it also starts earlier: in a document with a smaller id, or earlier in its
-own. To say so for every byte, all suffixes would have to be sorted; here only sampled ones are. A suffix is sampled where the
-hash of its first GRAM bytes is the smallest of all that lie within some MATCH bytes. The sample depends on content alone, so
-equal strings hold equal samples, and every string of MATCH bytes holds one. With each sample goes a hash of its context, all
-bytes that any such string around it can reach.
-
-Samples are dealt out by the hash of their gram. Each part keeps a logarithmic index family: a batch of samples is sorted by
-its first bytes (their hashes, which place equal strings next to each other just as their bytes would) into a suffix array of
-its own, merge-scanned against the arrays of the levels, and arrays of about equal size are merged into the next level. A
-sample whose whole context is found earlier is settled: all its strings repeat. Samples that share the gram but not the
-context are at the edge of a repeat; their strings are then indexed one by one in a second family of the same kind.
-
-Each batch is reduced before it is shuffled, to one sample per gram and one entry per string, so a passage that a third of
-all documents share sends as many entries as there are batches, not documents.
+own. Each string belongs to a sample: the leftmost of its grams of GRAM bytes whose hash is smallest. That depends on the
+string's own bytes alone, so equal strings belong to equal grams at equal places within them, and neighbouring strings mostly
+share a sample. A sample's context is the bytes that all strings of its own cover.
+
+Only contexts whose gram occurs twice can hold a repeat. A first pass over the texts finds those: hashes of grams, one a batch
+of texts, meet in parts dealt out by hash. A second pass sends their contexts, as bytes, to parts dealt out by gram. Each part
+keeps the index family: a batch of contexts is sorted by its bytes into a suffix array of its own, merge-scanned against the
+arrays of the levels, and arrays of about equal size are merged into the next level. A context that is found whole earlier is
+settled: all its strings repeat. What is left of a gram with several contexts lies at the edges of repeats. There two suffix
+arrays are made, of what follows the gram and, read backwards, of what precedes it, with the lengths to which neighbours match;
+two strings are equal where both lengths reach as far as the string does.
+
+Hashes choose which strings are looked at and where they meet; equality is told by bytes alone. Contexts that repeat within a
+batch are settled before anything is shuffled, so a passage that a third of all documents share sends as many contexts as there
+are batches, not documents.
 """
 
 from __future__ import annotations
@@ -39,6 +41,16 @@ CHUNK = 1 << 19
 #: Bytes of text whose samples are reduced together before they are shuffled.
 REDUCED = 8 << 20
 WINDOW = 8
+#: Bytes of the longest context, and its width as a key: before and size of it stand at the end, so no key ends in a zero.
+WIDTH = MATCH + REACH
+KEY = WIDTH + 8
+#: Contexts that are sent, and sorted into an array of the family, at a time.
+SENT = 1 << 16
+SORTED = 1 << 15
+#: Bytes of text a part of the index answers for, at most but for uneven grams.
+PART_BYTES = 128 << 20
+#: Room for places in a chunk beside the upper bits of hashes.
+_PLACES = (1 << 22) - 1
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _LAST = np.iinfo(np.int64).max
 _U = np.uint64
@@ -133,62 +145,75 @@ def _chunks(texts: list[bytes]) -> Iterator[Chunk]:
 
 
 def _samples(chunk: Chunk) -> dict[str, np.ndarray]:
-    """Sampled suffixes of a chunk: row, pos, gram hash, context hash, and the first and last string start around it."""
-    width = REACH + 1
-    one, two = Rolling(chunk.data, 0), Rolling(chunk.data, 1)
+    """Samples of a chunk: row, pos where the first of its strings starts, size (how many strings, one byte apart, belong to
+    it), before (bytes from pos to its gram), and hashes of the gram and of the context."""
+    one = Rolling(chunk.data, 0)
     h = one.grams(GRAM)
-    least = _sliding(h, width, np.minimum)
+    least = _sliding((h & ~_U(_PLACES)) | np.arange(len(h), dtype=_U), REACH + 1, np.minimum)
     ok = np.zeros(len(least) + 1, np.int8)
     ok[chunk.start + chunk.first] += 1
     np.subtract.at(ok, chunk.start + chunk.last, 1)
-    least[np.cumsum(ok[:-1], dtype=np.int8) == 0] = 0
-    pad = np.zeros(width - 1, _U)
-    at = np.flatnonzero(_sliding(np.concatenate((pad, least, pad)), width, np.maximum) == h)
-    at = at[h[at] != 0]
+    start = np.flatnonzero(np.cumsum(ok[:-1], dtype=np.int8))
+    owner = (least[start] & _U(_PLACES)).astype(np.int64)
+    new = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+    size = np.diff(np.append(new, len(start)))
+    at, gram = start[new], owner[new]
+    before = gram - at
+    key = _mixed(one.ranges(at, at + size + MATCH - 1) + (before * 64 + size).astype(_U) * _U(_BASES[1]))
     piece = chunk.of(at)
-    # The context ends where the document does; a piece of a long document holds all that its samples reach.
-    lo = np.maximum(at - REACH, chunk.start[piece])
-    hi = np.minimum(at + GRAM + REACH, chunk.end[piece])
-    left, right = at - lo, hi - at - GRAM
-    context = _mixed(two.ranges(lo, hi) + (left * 256 + right).astype(_U) * _U(0x9E3779B97F4A7C15))
     pos = at - chunk.start[piece] + chunk.offset[piece]
-    return {"row": chunk.row[piece], "pos": pos, "gram": h[at], "key": context, "lo": pos - left, "hi": pos + GRAM + right}
-
-
-def _strings(chunk: Chunk, rows: np.ndarray, wanted: np.ndarray) -> dict[str, np.ndarray]:
-    """All strings around the samples (row, pos): row, pos, and two hashes."""
-    mark = np.zeros(len(chunk.data) + 1, np.int32)
-    for k in range(len(chunk.row)):
-        a, b = np.searchsorted(rows, [chunk.row[k], chunk.row[k] + 1])
-        if a < b:
-            local = wanted[a:b] - chunk.offset[k]
-            lo, hi = np.maximum(local - REACH, chunk.first[k]), np.minimum(local + 1, chunk.last[k])
-            some = lo < hi
-            np.add.at(mark, lo[some] + chunk.start[k], 1)
-            np.subtract.at(mark, hi[some] + chunk.start[k], 1)
-    at = np.flatnonzero(np.cumsum(mark) > 0)
-    piece = chunk.of(at)
-    hashes = [Rolling(chunk.data, i).ranges(at, at + MATCH) for i in (0, 1)]
-    return {"row": chunk.row[piece], "pos": at - chunk.start[piece] + chunk.offset[piece], "key": hashes[0], "check": hashes[1]}
+    return {"row": chunk.row[piece], "pos": pos, "before": before, "size": size, "gram": h[gram], "key": key}
+
+
+class Bytes:
+    """Texts end to end, with room behind them, to take contexts from."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        self.base = np.cumsum([0, *map(len, texts)])
+        self.data = np.frombuffer(b"".join([*texts, bytes(WIDTH)]), np.uint8)
+        self.windows = np.lib.stride_tricks.sliding_window_view(self.data, WIDTH)
+        self.words = np.ndarray(len(self.data) - 7, "<u8", self.data, strides=(1,))
+
+    def contexts(self, x: dict[str, np.ndarray]) -> np.ndarray:
+        found = self.windows[self.base[x["row"]] + x["pos"]]
+        found[np.arange(WIDTH) >= (x["size"] + MATCH - 1)[:, None]] = 0
+        return found
+
+    def equal(self, x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarray:
+        """Whether contexts x[i] and y[i] have the same bytes and the same gram in them."""
+        out = (x["size"] == y["size"]) & (x["before"] == y["before"])
+        for at in range(0, len(out), SENT):
+            cut = np.arange(at, min(at + SENT, len(out)))
+            out[cut] &= (self.contexts(_taken(x, cut)) == self.contexts(_taken(y, cut))).all(axis=1)
+        return out
+
+    def spread(self, x: dict[str, np.ndarray]) -> np.ndarray:
+        """A hash of each context's gram."""
+        at = self.base[x["row"]] + x["pos"] + x["before"]
+        h = np.zeros(len(at), _U)
+        for k in range(0, GRAM, 8):
+            h = _mixed(h * _U(_BASES[0]) + self.words[at + k])
+        return h
 
 
 class LevelFamily:
-    """The logarithmic index family: sorted arrays whose sizes grow geometrically, one entry per distinct string.
+    """The logarithmic index family: sorted arrays whose sizes grow geometrically, one entry per distinct key.
 
-    An entry is a key, a second hash that a match must share, and the columns of `Entries`. add() merge-scans a batch's
-    sorted array against every level and returns the entries that repeat an earlier one; of two equal strings the earlier by
-    (doc, row, pos) stays in the index, whichever batch it came in.
+    add() sorts a batch by key, merge-scans it against every level and returns the entries that repeat an earlier one; of
+    equal keys the earliest by (doc, row, pos) stays in the index, whichever batch it came in.
     """
 
     def __init__(self) -> None:
         self.levels: list[dict[str, np.ndarray]] = []
 
     def add(self, batch: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        batch = _taken(batch, np.lexsort((batch["pos"], batch["row"], batch["doc"])))
         batch = _taken(batch, np.argsort(batch["key"], kind="stable"))
-        gone = []
+        again = np.concatenate(([False], batch["key"][1:] == batch["key"][:-1]))
+        gone, batch = [_taken(batch, again)], _taken(batch, ~again)
         for level in self.levels:
             at = np.minimum(np.searchsorted(level["key"], batch["key"]), len(level["key"]) - 1)
-            found = np.flatnonzero((level["key"][at] == batch["key"]) & (level["check"][at] == batch["check"]))
+            found = np.flatnonzero(level["key"][at] == batch["key"])
             if not len(found):
                 continue
             old, new = _taken(level, at[found]), _taken(batch, found)
@@ -203,7 +228,7 @@ class LevelFamily:
             self.levels.append(batch)
         while len(self.levels) > 1 and len(self.levels[-2]["key"]) < 2 * len(self.levels[-1]["key"]):
             self.merge()
-        return _joined(gone) if gone else _taken(batch, np.zeros(0, np.int64))
+        return _joined(gone)
 
     def merge(self) -> None:
         both = _joined([self.levels.pop(-2), self.levels.pop()])
@@ -245,44 +270,40 @@ def _leads(*keys: np.ndarray) -> np.ndarray:
 
 # Rows that tasks exchange: part names the task that gets a row, kind what it holds, body the columns.
 _EXCHANGE = "part int, kind int, body binary"
-_ENTRY, _SPAN, _EDGE = 0, 1, 2
+_GRAM, _SPAN, _EDGE, _CONTEXT = 0, 1, 2, 3
 _COLUMNS = {
-    _ENTRY: (("doc", "i8"), ("row", "i8"), ("pos", "i8"), ("key", "u8"), ("check", "u8"), ("before", "u1"), ("after", "u1")),
+    _GRAM: (("row", "i8"), ("pos", "i8"), ("before", "u1"), ("size", "u1"), ("gram", "u8")),
     _SPAN: (("row", "i8"), ("a", "i8"), ("b", "i8")),
-    _EDGE: (("row", "i8"), ("a", "i8")),
+    _EDGE: (("row", "i8"), ("a", "i8"), ("b", "i8")),
+    _CONTEXT: (("doc", "i8"), ("row", "i8"), ("pos", "i8"), ("before", "u1"), ("size", "u1"), ("context", "bytes")),
 }
-_CHECK_BYTES = 6
 
 
 def _encoded(kind: int, x: dict[str, np.ndarray]) -> bytes:
-    """Columns one after another; ids and places as differences, so that neighbours' zeros compress, and six bytes of the
-    second hash."""
+    """Columns one after another; ids and places as differences, so that neighbours' zeros compress."""
     n = len(x["row"])
     out = [n.to_bytes(8, "little")]
     for name, kind_of in _COLUMNS[kind]:
-        v = np.ascontiguousarray(x[name]).astype(f"<{kind_of}", copy=False)
+        v = x[name]
         if kind_of == "i8":
+            v = np.ascontiguousarray(v).astype("<i8", copy=False)
             v = np.diff(v, prepend=v.dtype.type(0))
             out.append(np.ascontiguousarray(v.view(np.uint8).reshape(n, 8).T).tobytes())
-        elif name == "check":
-            out.append(np.ascontiguousarray(v.view(np.uint8).reshape(n, 8)[:, :_CHECK_BYTES]).tobytes())
         else:
-            out.append(v.tobytes())
+            out.append((v if kind_of == "bytes" else v.astype(f"<{kind_of}")).tobytes())
     return b"".join(out)
 
 
 def _decoded(kind: int, body: bytes) -> dict[str, np.ndarray]:
     n, at, out = int.from_bytes(body[:8], "little"), 8, {}
     for name, kind_of in _COLUMNS[kind]:
-        width = _CHECK_BYTES if name == "check" else int(kind_of[1])
+        width = WIDTH if kind_of == "bytes" else int(kind_of[1])
         raw = np.frombuffer(body, np.uint8, n * width, at)
         at += n * width
         if kind_of == "i8":
             out[name] = np.cumsum(np.ascontiguousarray(raw.reshape(8, n).T).view("<i8").reshape(n))
-        elif name == "check":
-            wide = np.zeros((n, 8), np.uint8)
-            wide[:, :width] = raw.reshape(n, width)
-            out[name] = wide.view("<u8").reshape(n)
+        elif kind_of == "bytes":
+            out[name] = raw.reshape(n, width)
         else:
             out[name] = raw.view(f"<{kind_of}").copy()
     return out
@@ -303,16 +324,16 @@ def _runs(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray
     return {"row": row[at], "a": a[at], "b": np.maximum.reduceat(b, at)}
 
 
-def _sent(parts: int, entries: dict[str, np.ndarray], spread: np.ndarray, rest: list[tuple[int, dict[str, np.ndarray]]], salt: int) -> pa.RecordBatch:
+def _sent(parts: int, kind: int, entries: dict[str, np.ndarray], spread: np.ndarray, rest: list[tuple[int, dict[str, np.ndarray]]], salt: int) -> pa.RecordBatch:
     """Exchange rows: entries dealt out by `spread`, everything else, which only passes through, by a running number."""
     part = (spread % _U(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     bounds = np.searchsorted(part[order], np.arange(parts + 1))
-    rows = [(k, _ENTRY, _encoded(_ENTRY, _taken(entries, order[a:b]))) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if a < b]
-    for kind, x in rest:
+    rows = [(k, kind, _encoded(kind, _taken(entries, order[a:b]))) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if a < b]
+    for other, x in rest:
         for at in range(0, len(x["row"]), 50_000):
             salt += 1
-            rows.append((salt % parts, kind, _encoded(kind, _taken(x, np.arange(at, min(at + 50_000, len(x["row"])))))))
+            rows.append((salt % parts, other, _encoded(other, _taken(x, np.arange(at, min(at + 50_000, len(x["row"])))))))
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["part", "kind", "body"])
 
 
@@ -327,43 +348,38 @@ def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = to
 
 
-def _batch_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """(ids, rows, texts, order): the rows of a batch by id, null ids last, then row."""
-    ids = batch.column("doc_id").fill_null(_LAST).to_numpy()
-    rows = batch.column("row").to_numpy()
-    order = np.lexsort((rows, ids))
-    texts = batch.column("text").cast(pa.binary()).to_pylist()
-    return ids[order], rows[order], [texts[i] or b"" for i in order], order
+def _shape(x: dict[str, np.ndarray]) -> np.ndarray:
+    return x["before"].astype(np.int64) << 8 | x["size"]
 
 
-def _index_samples(parts: int):
+def _index_grams(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = 0
         for batch in _portions(batches):
-            ids, rows, texts, _ = _batch_rows(batch)
+            ids = batch.column("doc_id").fill_null(_LAST).to_numpy()
+            rows = batch.column("row").to_numpy()
+            order = np.lexsort((rows, ids))
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            texts = [texts[i] or b"" for i in order]
+            rows = rows[order]
             found = [_samples(c) for c in _chunks(texts)]
             if not found:
                 continue
-            x = _joined(found)
-            # A sample that two pieces of one document found counts once.
-            order = np.lexsort((x["pos"], x["row"]))
-            x = _taken(x, order)
-            again = np.concatenate(([False], (x["row"][1:] == x["row"][:-1]) & (x["pos"][1:] == x["pos"][:-1])))
-            x = _taken(x, ~again)
-            same = _leads(x["gram"], x["key"])
-            head = _leads(x["gram"])
-            own = np.arange(len(same))
-            x |= {"doc": ids[x["row"]], "row": rows[x["row"]]}
-            settled = same != own
-            spans = _runs(x["row"][settled], x["lo"][settled], x["hi"][settled])
-            # Grams with several contexts in this batch: each context's first sample is at an edge.
+            x = _joined(found)  # in order of rows and places, as texts are
+            own = np.arange(len(x["row"]))
+            lead, head = _leads(x["gram"], x["key"]), _leads(x["gram"])
+            settled = lead != own
+            at = np.flatnonzero(settled)
+            settled[at] = Bytes(texts).equal(_taken(x, at), _taken(x, lead[at]))
+            # Grams with several contexts in this batch are at an edge; of the others the first goes to meet other batches.
             several = np.zeros(len(own), bool)
-            several[head[(x["key"] != x["key"][head])]] = True
+            several[head[~settled & (head != own)]] = True
             edge = ~settled & several[head]
-            first = head == own
-            entry = _taken(x, first)
-            entry |= {"check": entry["gram"], "before": entry["pos"] - entry["lo"], "after": entry["hi"] - entry["pos"] - GRAM}
-            yield _sent(parts, entry, entry["gram"] >> _U(20), [(_SPAN, spans), (_EDGE, {"row": x["row"][edge], "a": x["pos"][edge]})], salt)
+            x |= {"row": rows[x["row"]], "a": x["pos"], "b": x["pos"] + x["size"] + MATCH - 1}
+            spans = _runs(x["row"][settled], x["a"][settled], x["b"][settled])
+            edges = _taken(x, edge)
+            first = _taken(x, head == own)
+            yield _sent(parts, _GRAM, first, first["gram"] >> _U(20), [(_SPAN, spans), (_EDGE, edges | {"b": _shape(edges)})], salt)
             salt += 1 + len(batch)
 
     return run
@@ -377,77 +393,144 @@ def _found(kind: int, row: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator
         )
 
 
-def _settle_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of one part to spans that repeat and samples at edges."""
-    family = LevelFamily()
+def _settle_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans as they are, and samples (row, a, shape) whose gram occurs more than once."""
+    held = []
     for batch in batches:
         for kind, body in zip(batch.column("kind").to_pylist(), batch.column("body"), strict=True):
             x = _decoded(kind, body.as_py())
-            if kind == _SPAN:
-                yield from _found(_SPAN, x["row"], x["a"], x["b"])
-            elif kind == _EDGE:
-                yield from _found(_EDGE, x["row"], x["a"], x["a"])
+            if kind == _GRAM:
+                held.append(x)
             else:
-                gone = family.add(x)
-                yield from _found(_SPAN, gone["row"], gone["pos"] - gone["before"], gone["pos"] + GRAM + gone["after"])
-    left = family.all()
-    if left is not None:
-        # Samples of a gram are neighbours in the order of its hash; one alone, with one context, repeats nowhere.
-        left = _taken(left, np.argsort(left["check"], kind="stable"))
-        g = left["check"]
-        starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-        size = np.diff(np.append(starts, len(g)))
-        shared = np.repeat((size > 1), size)
-        yield from _found(_EDGE, left["row"][shared], left["pos"][shared], left["pos"][shared])
+                yield from _found(kind, x["row"], x["a"], x["b"])
+    if held:
+        x = _joined(held)
+        held.clear()
+        order = np.argsort(x["gram"])
+        same = np.concatenate(([False], x["gram"][order[1:]] == x["gram"][order[:-1]], [False]))
+        x = _taken(x, np.sort(order[same[1:] | same[:-1]]))
+        yield from _found(_EDGE, x["row"], x["pos"], _shape(x))
 
 
-def _index_strings(parts: int):
+def _index_contexts(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = 0
         for batch in _portions(batches):
-            ids, rows, texts, order = _batch_rows(batch)
-            places = batch.column("places").to_pylist()
-            wanted = [np.unique(np.array(places[i], np.int64)) for i in order]
-            row = np.repeat(np.arange(len(wanted)), [len(w) for w in wanted])
-            pos = np.concatenate(wanted) if wanted else np.zeros(0, np.int64)
-            found = [_strings(c, row, pos) for c in _chunks(texts)]
-            if not found:
-                continue
-            x = _joined(found)
-            x = _taken(x, np.lexsort((x["pos"], x["row"])))
-            again = _leads(x["key"], x["check"]) != np.arange(len(x["key"]))
-            x |= {"doc": ids[x["row"]], "row": rows[x["row"]]}
-            spans = _runs(x["row"][again], x["pos"][again], x["pos"][again] + MATCH)
-            entry = _taken(x, ~again)
-            none = np.zeros(len(entry["pos"]), np.uint8)
-            yield _sent(parts, entry | {"before": none, "after": none}, entry["check"] >> _U(40), [(_SPAN, spans)], salt)
-            salt += 1 + len(batch)
+            places = batch.column("places")
+            count, place = places.value_lengths().to_numpy(), places.flatten().to_numpy()
+            texts = Bytes([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()])
+            ids, rows = batch.column("doc_id").fill_null(_LAST).to_numpy(), batch.column("row").to_numpy()
+            x = {"row": np.repeat(np.arange(len(count)), count), "pos": place >> 16, "before": place >> 8 & 255, "size": place & 255}
+            for at in range(0, len(place), SENT):
+                y = _taken(x, np.arange(at, min(at + SENT, len(place))))
+                spread, context = texts.spread(y), texts.contexts(y)
+                yield _sent(parts, _CONTEXT, y | {"doc": ids[y["row"]], "row": rows[y["row"]], "context": context}, spread >> _U(20), [], 0)
 
     return run
 
 
-def _settle_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    family = LevelFamily()
+def _keyed(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Contexts with their bytes as sortable keys."""
+    key = np.zeros((len(x["row"]), KEY), np.uint8)
+    key[:, :WIDTH], key[:, KEY - 2], key[:, KEY - 1] = x["context"], x["before"], x["size"]
+    return {"key": key.view(f"S{KEY}")[:, 0], "doc": x["doc"], "row": x["row"], "pos": x["pos"]}
+
+
+def _shape_of(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, before, size) of keys."""
+    raw = np.ascontiguousarray(x["key"]).view(np.uint8).reshape(-1, KEY)
+    return raw, raw[:, KEY - 2].astype(np.int64), raw[:, KEY - 1].astype(np.int64)
+
+
+def _settle_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    family, held, n = LevelFamily(), [], 0
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        gone = family.add(_keyed(_joined(held)))
+        held.clear()
+        yield from _found(_SPAN, gone["row"], gone["pos"], gone["pos"] + _shape_of(gone)[2] + MATCH - 1)
+
     for batch in batches:
-        for kind, body in zip(batch.column("kind").to_pylist(), batch.column("body"), strict=True):
-            x = _decoded(kind, body.as_py())
-            if kind == _SPAN:
-                yield from _found(_SPAN, x["row"], x["a"], x["b"])
-            else:
-                gone = family.add(x)
-                spans = _runs(gone["row"], gone["pos"], gone["pos"] + MATCH)
-                yield from _found(_SPAN, spans["row"], spans["a"], spans["b"])
+        for body in batch.column("body"):
+            held.append(_decoded(_CONTEXT, body.as_py()))
+            n += len(held[-1]["row"])
+            if n >= SORTED:
+                n = 0
+                yield from settle()
+    if held:
+        yield from settle()
+    left = family.all()
+    if left is not None:
+        family.levels.clear()
+        spans = _edge_strings(left)
+        yield from _found(_SPAN, spans["row"], spans["a"], spans["b"])
+
+
+def _columns(raw: np.ndarray, first: np.ndarray, step: int, width: int) -> np.ndarray:
+    """Of each row of bytes, `width` of them from place `first` on, forwards or backwards; zero outside a context. A last
+    column of ones keeps zeros at the end in keys."""
+    out = np.ones((len(raw), width + 1), np.uint8)
+    for k in range(width):
+        at = first + step * k
+        out[:, k] = np.where((at >= 0) & (at < WIDTH), raw[np.arange(len(raw)), np.clip(at, 0, WIDTH - 1)], 0)
+    return out
+
+
+def _matches(group: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A suffix array: the order of `side` within groups, and the bytes that each shares with the one before it, -1 for the
+    first of a group."""
+    order = np.argsort(side.view(f"S{side.shape[1]}")[:, 0], kind="stable")
+    order = order[np.argsort(group[order], kind="stable")]
+    common = np.full(len(order), -1)
+    differ = side[order[1:]] != side[order[:-1]]
+    differ[:, -1] = True
+    same = group[order[1:]] == group[order[:-1]]
+    common[1:][same] = differ[same].argmax(axis=1)
+    return order, common
+
+
+def _edge_strings(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Spans of strings that repeat an earlier one, among distinct contexts."""
+    raw, before, _ = _shape_of(x)
+    grams = _columns(raw, before, 1, GRAM).view(f"S{GRAM + 1}")[:, 0]
+    order = np.argsort(grams, kind="stable")
+    new = np.concatenate(([True], grams[order[1:]] != grams[order[:-1]]))
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new)
+    several = np.bincount(group)[group] > 1
+    x, group = _taken(x, several), group[several]
+    _, before, _ = _shape_of(x)
+    order = np.lexsort((x["pos"] + before, x["row"], x["doc"]))
+    x, group = _taken(x, order), group[order]
+    raw, before, size = _shape_of(x)
+    n = len(group)
+    left, left_common = _matches(group, _columns(raw, before - 1, -1, REACH))
+    right, right_common = _matches(group, _columns(raw, before + GRAM, 1, REACH))
+    rows, starts = [], []
+    left_class, right_class = np.empty(n, np.int64), np.empty(n, np.int64)
+    for ahead in range(REACH + 1):  # strings that start this many bytes before the gram
+        left_class[left] = np.cumsum(left_common < ahead)
+        right_class[right] = np.cumsum(right_common < REACH - ahead)
+        have = np.flatnonzero((ahead <= before) & (before - ahead < size))
+        key = left_class[have] * (n + 1) + right_class[have]
+        order = np.argsort(key, kind="stable")
+        gone = have[order[1:][key[order[1:]] == key[order[:-1]]]]
+        rows.append(x["row"][gone])
+        starts.append(x["pos"][gone] + before[gone] - ahead)
+    row, start = np.concatenate(rows), np.concatenate(starts)
+    return _runs(row, start, start + MATCH)
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """(row, doc_id, text) to (row, a, b): byte spans that repeat earlier text; they may touch and overlap."""
-    n = partitions(rows.sparkSession)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(partitions(rows.sparkSession), -(-size // PART_BYTES))
     parts = n * max(1, 256 // n)  # several parts a task even out what the shuffle's hash deals unevenly
     found = "kind int, row long, a long, b long"
-    first = written(rows.mapInArrow(_index_samples(parts), _EXCHANGE).repartition(n, "part").mapInArrow(_settle_samples, found), "samples")
-    edges = first.filter(F.col("kind") == _EDGE).groupBy("row").agg(F.collect_set("a").alias("places"))
-    strings = rows.join(edges, "row").mapInArrow(_index_strings(parts), _EXCHANGE)
-    second = written(strings.repartition(n, "part").mapInArrow(_settle_strings, found), "strings")
+    first = written(rows.mapInArrow(_index_grams(parts), _EXCHANGE).repartition(n, "part").mapInArrow(_settle_grams, found), "grams")
+    place = F.shiftleft("a", 16).bitwiseOR(F.col("b"))
+    edges = first.filter(F.col("kind") == _EDGE).groupBy("row").agg(F.collect_set(place).alias("places"))
+    contexts = rows.join(edges, "row").mapInArrow(_index_contexts(parts), _EXCHANGE)
+    second = written(contexts.repartition(n, "part").mapInArrow(_settle_contexts, found), "contexts")
     return first.unionByName(second).filter(F.col("kind") == _SPAN).select("row", "a", "b")
 
 

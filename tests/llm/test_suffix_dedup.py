@@ -61,7 +61,11 @@ def test_long_texts_are_read_in_pieces(monkeypatch):
     whole = S._joined([S._samples(c) for c in S._chunks(texts)])
     monkeypatch.setattr(S, "CHUNK", 1 << 20)
     want = S._joined([S._samples(c) for c in S._chunks(texts)])
-    pack = lambda x: set(zip(*(x[k].tolist() for k in ("row", "pos", "gram", "key", "lo", "hi")), strict=True))
+
+    def pack(x):  # a sample at a piece's end has its strings in two pieces
+        columns = (x[k].tolist() for k in ("row", "pos", "before", "size", "gram"))
+        return sorted((r, p + k, b - k, g) for r, p, b, n, g in zip(*columns, strict=True) for k in range(n))
+
     assert pack(whole) == pack(want)
 
 
@@ -99,3 +103,31 @@ def test_strings_that_plain_polynomials_confuse(documents):
     assert found(S.remove_repeats(documents(rows))) == brute(rows)
     both = np.frombuffer((word + other).encode(), np.uint8)
     assert len({int(S.Rolling(both, k).ranges(np.array([a]), np.array([a + 512]))[0]) for k in (0, 1) for a in (0, 512)}) == 4
+
+
+def test_bytes_decide_where_hashes_agree(documents, monkeypatch):
+    """With hashes of three values, samples and parts meet for no reason; only equal bytes go."""
+    plain = S._mixed
+    monkeypatch.setattr(S, "_mixed", lambda h: plain(h) % np.uint64(3) << np.uint64(40))
+    rows = mixture(5, 25)
+    texts = [(t or "").encode() for _, t in sorted(rows)]
+    batch = S.pa.RecordBatch.from_pydict({"row": list(range(len(texts))), "doc_id": [i for i, _ in sorted(rows)], "text": [t.decode() for t in texts]})
+    first = list(S._settle_grams(S._index_grams(4)(iter([batch.slice(0, 9), batch.slice(9)]))))
+    first = [r for b in first for r in b.to_pylist()]
+    places = [sorted({r["a"] << 16 | r["b"] for r in first if r["kind"] == S._EDGE and r["row"] == i}) for i in range(len(texts))]
+    places = S.pa.array(places, S.pa.list_(S.pa.int64()))
+    contexts = S._index_contexts(4)(iter([batch.append_column("places", places)]))
+    second = [r for b in S._settle_contexts(contexts) for r in b.to_pylist()]
+    spans = [[{"a": r["a"], "b": r["b"]} for r in first + second if r["kind"] == S._SPAN and r["row"] == i] for i in range(len(texts))]
+    got = [(n, r, k, hashlib.sha256(kept).hexdigest()) for n, r, k, kept in S._cut(texts, spans)]
+    assert sorted((str(i), *g) for (i, _), g in zip(sorted(rows), got, strict=True)) == brute(rows)
+
+
+def test_zeros_and_batches_of_the_family(documents, monkeypatch):
+    """Zero bytes at ends of keys, and levels that merge often."""
+    monkeypatch.setattr(S, "SORTED", 7)
+    draw = random.Random(8)
+    zeros = ["\0" * k for k in (1, 40, 99, 100, 143, 200)]
+    shared = ["".join(draw.choice("ab\0") for _ in range(k)) for k in (100, 130, 300)]
+    rows = [(i, "".join(draw.choice([*zeros, *shared, "q", draw.choice(shared)[: draw.randint(50, 299)]]) for _ in range(3))) for i in range(40)]
+    assert found(S.remove_repeats(documents(rows).repartition(3))) == brute(rows)
