@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import OWN, partitions, with_row_ids, written
+from corpusloom.llm.common import BROADCAST_ROWS, partitions, with_row_ids, written
 
 MATCH = 100
 #: Longer grams are sampled more densely, but fewer are shared by chance and each edge has fewer strings.
@@ -272,7 +272,7 @@ def _leads(*keys: np.ndarray) -> np.ndarray:
 _EXCHANGE = "part int, kind int, body binary"
 _GRAM, _SPAN, _EDGE, _CONTEXT = 0, 1, 2, 3
 _COLUMNS = {
-    _GRAM: (("row", "i8"), ("pos", "i8"), ("before", "u1"), ("size", "u1"), ("gram", "u8")),
+    _GRAM: (("row", "i8"), ("pos", "i8"), ("before", "u1"), ("size", "u1"), ("gram", "u5")),
     _SPAN: (("row", "i8"), ("a", "i8"), ("b", "i8")),
     _EDGE: (("row", "i8"), ("a", "i8"), ("b", "i8")),
     _CONTEXT: (("doc", "i8"), ("row", "i8"), ("pos", "i8"), ("before", "u1"), ("size", "u1"), ("context", "bytes")),
@@ -280,28 +280,37 @@ _COLUMNS = {
 
 
 def _encoded(kind: int, x: dict[str, np.ndarray]) -> bytes:
-    """Columns one after another; ids and places as differences, so that neighbours' zeros compress."""
+    """Columns one after another, compressed; ids and places as differences, so that neighbours' zeros count little, and five
+    bytes of the gram's hash beside those that choose its part."""
     n = len(x["row"])
-    out = [n.to_bytes(8, "little")]
+    out = []
     for name, kind_of in _COLUMNS[kind]:
         v = x[name]
         if kind_of == "i8":
             v = np.ascontiguousarray(v).astype("<i8", copy=False)
             v = np.diff(v, prepend=v.dtype.type(0))
             out.append(np.ascontiguousarray(v.view(np.uint8).reshape(n, 8).T).tobytes())
+        elif kind_of == "u5":
+            out.append(np.ascontiguousarray(v).view(np.uint8).reshape(n, 8)[:, :5].tobytes())
         else:
             out.append((v if kind_of == "bytes" else v.astype(f"<{kind_of}")).tobytes())
-    return b"".join(out)
+    plain = b"".join(out)
+    return n.to_bytes(8, "little") + len(plain).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(plain, asbytes=True)
 
 
 def _decoded(kind: int, body: bytes) -> dict[str, np.ndarray]:
-    n, at, out = int.from_bytes(body[:8], "little"), 8, {}
+    n, at, out = int.from_bytes(body[:8], "little"), 0, {}
+    body = pa.Codec("zstd").decompress(body[16:], int.from_bytes(body[8:16], "little"), asbytes=True)
     for name, kind_of in _COLUMNS[kind]:
         width = WIDTH if kind_of == "bytes" else int(kind_of[1])
         raw = np.frombuffer(body, np.uint8, n * width, at)
         at += n * width
         if kind_of == "i8":
             out[name] = np.cumsum(np.ascontiguousarray(raw.reshape(8, n).T).view("<i8").reshape(n))
+        elif kind_of == "u5":
+            wide = np.zeros((n, 8), np.uint8)
+            wide[:, :width] = raw.reshape(n, width)
+            out[name] = wide.view("<u8").reshape(n)
         elif kind_of == "bytes":
             out[name] = raw.reshape(n, width)
         else:
@@ -379,7 +388,8 @@ def _index_grams(parts: int):
             spans = _runs(x["row"][settled], x["a"][settled], x["b"][settled])
             edges = _taken(x, edge)
             first = _taken(x, head == own)
-            yield _sent(parts, _GRAM, first, first["gram"] >> _U(20), [(_SPAN, spans), (_EDGE, edges | {"b": _shape(edges)})], salt)
+            first["gram"] = _mixed(first["gram"])  # the smallest of many has zeros in front
+            yield _sent(parts, _GRAM, first, first["gram"] >> _U(40), [(_SPAN, spans), (_EDGE, edges | {"b": _shape(edges)})], salt)
             salt += 1 + len(batch)
 
     return run
@@ -520,6 +530,17 @@ def _edge_strings(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return _runs(row, start, start + MATCH)
 
 
+def _met(rows: DataFrame, found: DataFrame, all_rows: bool) -> DataFrame:
+    """`rows` with what is found of them by row number, with the others too if `all_rows`. Texts of the others aren't shuffled
+    as long as the numbers of the rows to join are few enough to broadcast."""
+    numbers = found.select("row").distinct()
+    if numbers.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return rows.join(found, "row", "left" if all_rows else "inner")
+    numbers = F.broadcast(numbers)
+    some = rows.join(numbers, "row", "left_semi").join(found, "row", "left")
+    return some.unionByName(rows.join(numbers, "row", "left_anti"), allowMissingColumns=True) if all_rows else some
+
+
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """(row, doc_id, text) to (row, a, b): byte spans that repeat earlier text; they may touch and overlap."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -529,7 +550,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     first = written(rows.mapInArrow(_index_grams(parts), _EXCHANGE).repartition(n, "part").mapInArrow(_settle_grams, found), "grams")
     place = F.shiftleft("a", 16).bitwiseOR(F.col("b"))
     edges = first.filter(F.col("kind") == _EDGE).groupBy("row").agg(F.collect_set(place).alias("places"))
-    contexts = rows.join(edges, "row").mapInArrow(_index_contexts(parts), _EXCHANGE)
+    contexts = _met(rows, edges, False).mapInArrow(_index_contexts(parts), _EXCHANGE)
     second = written(contexts.repartition(n, "part").mapInArrow(_settle_contexts, found), "contexts")
     return first.unionByName(second).filter(F.col("kind") == _SPAN).select("row", "a", "b")
 
@@ -561,7 +582,7 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with_spans(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     rows = with_row_ids(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), "row")
     spans = repeated_spans(rows).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return rows.join(spans, "row", "left")
+    return _met(rows, spans, True)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
