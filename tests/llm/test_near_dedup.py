@@ -120,3 +120,19 @@ def test_gathered_equals_all_pairs():
     assert parts((i, int(j)) for i, js in N._gathered(n, prints) for j in js) == parts(p for p in pairs if near(*p))
     similar = lambda i, j: 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (n[i] + n[j])
     assert parts((i, int(j)) for i, js in N.linked(sets) for j in js) == parts(p for p in pairs if similar(*p))
+
+
+def test_tables_of_fingerprints_tie_near_copies_by_themselves(spark):
+    """Without any first shingle: up to 15 differing bits for sure, and most pairs that are just similar enough."""
+    draw = random.Random(4)
+    sets = [s for k in range(40) for s in near_copies(2, 60, k)]
+    prints = [N.sketch(s) for s in sets]
+    for _ in range(60):
+        one = draw.getrandbits(256)
+        prints += [np.frombuffer(x.to_bytes(32, "little"), np.uint64) for x in (one, one ^ sum(1 << b for b in draw.sample(range(256), 15)))]
+    rows = [(i, 60, 0, 0, *p.view(np.int64).tolist(), []) for i, p in enumerate(prints)]
+    ties = N._candidates(spark.createDataFrame(rows, N._PRINT), N.table_keys(len(rows))).collect()
+    found = {tuple(sorted((r["a"], r["b"]))) for r in ties}
+    assert found <= {(i, i + 1) for i in range(0, len(rows), 2)}
+    assert found >= {(i, i + 1) for i in range(len(sets), len(rows), 2)}
+    assert sum((i, i + 1) in found for i in range(0, len(sets), 2)) >= 38
