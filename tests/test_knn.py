@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusloom.operators import knn, retrieval, tiles
@@ -51,3 +54,24 @@ def test_questions_in_many_tiles(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "TILE", 7)
     monkeypatch.setattr(tiles, "BROADCAST_BYTES", 0)
     assert sorted(map(tuple, retrieval.retrieve(docs, asked, 2).collect())) == want
+
+
+def test_a_pair_of_full_tiles_takes_little_memory():
+    draw = np.random.default_rng(3)
+    q, c = draw.normal(size=(knn.BLOCK, 8)), draw.normal(size=(knn.TILE, 8))
+
+    def tile(x):
+        sink = pa.BufferOutputStream()
+        batch = pa.record_batch([pa.array(range(len(x))), pa.array(list(x))], ["id", "v"])
+        with pa.ipc.new_stream(sink, batch.schema) as out:
+            out.write_batch(batch)
+        return sink.getvalue().to_pybytes()
+
+    pair = pa.record_batch([pa.array([tile(c)], pa.binary()), pa.array([tile(q)], pa.binary())], ["corpus", "queries"])
+    tracemalloc.start()
+    found = pa.Table.from_batches(knn._products(4, 8)(iter([pair]))).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    place = np.arange(4 * knn.BLOCK) % 4 + 1
+    assert set(zip(found["query_id"], place.tolist(), found["vec_id"], strict=True)) == brute(q, c, 4)
+    assert peak < 64 << 20
