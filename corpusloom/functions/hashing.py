@@ -13,6 +13,7 @@ OFFSET = 14695981039346656037
 PRIME = 1099511628211
 
 _MASK = (1 << 64) - 1
+_LOW = (1 << 40) - 1
 #: Values at a time under which a loop over bytes is quicker than a vector step per byte.
 _FEW = 24
 
@@ -97,17 +98,23 @@ def content_hash(data: Column) -> Column:
     return _hashed(data.cast("binary"))
 
 
+def _hash_step(state: str, byte: str) -> str:
+    """The state after a byte, in 64 bits without an overflow: the prime is 2^40 + 435, and the low 40 bits carry into the rest."""
+    low = f"(({state} ^ {byte}) & {_LOW}L)"
+    product = f"({low} * {PRIME & _LOW}L)"
+    return f"(shiftleft(shiftrightunsigned({state}, 40) * {PRIME & _LOW}L + shiftrightunsigned({product}, 40) + {low}, 40) | ({product} & {_LOW}L))"
+
+
 def content_hash_sql(data: str) -> Column:
-    """The same as a JVM expression over a binary column's name: a fold with the state in two halves of 32 bits, since a
-    64-bit product would overflow. For data where a Python worker isn't wanted."""
-    return F.expr(f"""
-      CASE WHEN {data} IS NULL THEN NULL WHEN octet_length({data}) = 0 THEN '{OFFSET:016x}' ELSE
-        aggregate(transform(sequence(1, octet_length({data})), i -> cast(conv(hex(substring({data}, i, 1)), 16, 10) AS bigint)),
-          named_struct('hi', {OFFSET >> 32}L, 'lo', {OFFSET & 0xFFFFFFFF}L),
-          (s, x) -> named_struct(
-            'hi', (s.hi * {PRIME & 0xFFFF}L + (s.lo ^ x) * 256L + shiftright((s.lo ^ x) * {PRIME & 0xFFFF}L, 32)) & 4294967295L,
-            'lo', ((s.lo ^ x) * {PRIME & 0xFFFF}L) & 4294967295L),
-          s -> lower(concat(lpad(hex(s.hi), 8, '0'), lpad(hex(s.lo), 8, '0')))) END""")
+    """The same as a JVM expression over a binary column's name, for data where a Python worker isn't wanted: a fold over numbers
+    of eight bytes each, and then over the last bytes one by one."""
+    size = f"octet_length({data})"
+    numbers = lambda starts, n: f"transform({starts}, i -> cast(conv(hex(substring({data}, i, {n})), 16, -10) AS bigint))"
+    eights = f"CASE WHEN {size} < 8 THEN array() ELSE {numbers(f'sequence(1, {size} - 7, 8)', 8)} END"
+    ones = f"CASE WHEN {size} % 8 = 0 THEN array() ELSE {numbers(f'sequence({size} - {size} % 8 + 1, {size})', 1)} END"
+    parts = ", ".join(f"shiftright(v, {k}) & 255L" for k in range(56, -1, -8))
+    state = f"aggregate({eights}, {OFFSET - (1 << 64)}L, (s, v) -> aggregate(array({parts}), s, (t, x) -> {_hash_step('t', 'x')}))"
+    return F.expr(f"CASE WHEN {data} IS NOT NULL THEN lower(lpad(hex(aggregate({ones}, {state}, (s, x) -> {_hash_step('s', 'x')})), 16, '0')) END")
 
 
 def hash_bucket(hexed: Column, buckets: int = 65_536) -> Column:
