@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import Protocol
 
 import numpy as np
@@ -28,30 +29,38 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> np.ndarray: ...
 
 
+class _Buckets(dict):
+    """The buckets of words in UTF-8, by md5 of the lower-case word."""
+
+    def __init__(self, dimension: int) -> None:
+        self.dimension = dimension
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _CACHE:
+            self.clear()
+        lower = word.decode("utf-8", "surrogatepass").lower().encode()
+        found = self[word] = int.from_bytes(hashlib.md5(lower).digest()[:4]) % self.dimension
+        return found
+
+
 class HashedWords:
     """Counts of words by md5 bucket."""
 
     def __init__(self, dimension: int = DIMENSION) -> None:
         self.dimension = dimension
-        self._bucket: dict[str, int] = {}
-
-    def bucket(self, word: str) -> int:
-        found = self._bucket.get(word)
-        if found is None:
-            if len(self._bucket) >= _CACHE:
-                self._bucket.clear()
-            found = self._bucket[word] = int(hashlib.md5(word.lower().encode()).hexdigest()[:8], 16) % self.dimension
-        return found
+        self._buckets = _Buckets(dimension)
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        places = [[self.bucket(w) for w in _words(t)] for t in texts]
-        at = np.repeat(np.arange(len(texts)), [len(p) for p in places]) * self.dimension + np.array([b for p in places for b in p], np.int64)
+        words = [_words(t) for t in texts]
+        sizes = list(map(len, words))
+        places = np.fromiter(map(self._buckets.__getitem__, chain.from_iterable(words)), np.int64, sum(sizes))
+        at = np.repeat(np.arange(len(texts)) * self.dimension, sizes) + places
         return np.bincount(at, minlength=len(texts) * self.dimension).reshape(len(texts), self.dimension).astype(float)
 
 
-def _words(text: str | None) -> list[str]:
-    out = (text or "").translate({9: " ", 10: " ", 11: " ", 12: " ", 13: " "}).split(" ")
-    return [w for w in out if w]
+def _words(text: str | None) -> list[bytes]:
+    """In UTF-8, where white space is what the C locale has."""
+    return (text or "").encode("utf-8", "surrogatepass").split()
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:

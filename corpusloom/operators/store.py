@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.numbering import numbered
+from corpusloom.operators.tables import partitions
 from corpusloom.schemas import CHUNKS, DOCUMENTS
 
 #: Segments of one tier that become one of the next.
@@ -47,6 +48,14 @@ def bucket_of(doc_id) -> F.Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(BUCKETS)).cast("int")
 
 
+def by_bucket(chunks: DataFrame) -> DataFrame:
+    """Chunks dealt out so that a task writes few folders: a segment then has a few files for each task, not one for each task
+    and folder. Chunks of one document may lie in several tasks."""
+    n = partitions(chunks.sparkSession)
+    share = F.pmod(F.xxhash64("doc_id", "chunk_idx"), F.lit(-(-4 * n // BUCKETS)))
+    return chunks.repartition(n, bucket_of(F.col("doc_id")), share)
+
+
 class Conflict(RuntimeError):
     """Another writer published a version first."""
 

@@ -14,7 +14,7 @@ from corpusloom.functions.hashing import content_hash
 from corpusloom.functions.text import chunks as chunked
 from corpusloom.operators import ingest_status
 from corpusloom.operators.numbering import running
-from corpusloom.operators.store import Conflict, Index, changed_documents
+from corpusloom.operators.store import BUCKETED, Conflict, Index, by_bucket, changed_documents
 from corpusloom.sources.extract import extract_contents, extract_files, hash_files
 from corpusloom.sources.files import contents, list_files, opens
 from corpusloom.functions.paths import clean_path
@@ -103,7 +103,10 @@ def _merge(index: Index, incoming: DataFrame, texts, config: Config, embedder, b
         starts = running(documents.select("id", "path", "n"), "id", "until", "n")
         placed = starts.join(good.select("path", "pieces"), "path").select(F.col("id").alias("doc_id"), (F.col("until") - F.col("n")).alias("before"), F.explode("pieces").alias("c"))
         number = F.lit(base.high("chunks")).cast("long") + F.col("before") + F.col("c.chunk_idx") + 1
-        new = placed.select(number.alias("id"), "doc_id", "c.chunk_idx", "c.content", embed_column(F.col("c.content"), embedder, config.embed_dimension).alias("embedding"))
+        numbered = placed.select(number.alias("id"), "doc_id", "c.chunk_idx", "c.content")
+        if done.get(True, 0) + counted.get("duplicate", 0) >= BUCKETED:  # dealt before they have vectors
+            numbered = by_bucket(numbered)
+        new = numbered.select("id", "doc_id", "chunk_idx", "content", embed_column(F.col("content"), embedder, config.embed_dimension).alias("embedding"))
         replaced = documents.filter("NOT is_new").select(F.col("id").alias("doc_id"))
         return report(base.append(documents, new, replaced).chunks)
     finally:

@@ -189,3 +189,26 @@ def test_buckets_prune_reads_and_tombstones(spark, tmp_path):
     assert any(f"= {bucket})" in f and "NOT" not in f for f in filters) and any(f"NOT (bucket" in f for f in filters), filters
     assert index.chunks().count() == n and index.chunks().filter("content LIKE 'new%'").count() == 1
     assert index.documents().count() == n
+
+
+def test_a_large_ingest_writes_few_files(spark, tmp_path):
+    """A file for each folder and share, not one for each task and folder; texts and embeddings as told word by word."""
+    import glob
+    import hashlib
+
+    config = Config(index_path=f"{tmp_path}/index", embed_dimension=8, chunk_size_words=5, chunk_overlap_words=1)
+    index = store.Index(spark, config.index_path, 8).open()
+    rows = [(f"/d/{i:05}.txt", " ".join(f"Wörd{i * k % 97}\x0b\x1f" for k in range(1, 12)) + f" own{i}") for i in range(store.BUCKETED + 50)]
+    n = store.partitions(spark)
+    ingest_rows(index, spark.createDataFrame(rows, "path string, text string").repartition(4), config)
+    shares = -(-4 * n // store.BUCKETS)
+    files = glob.glob(f"{tmp_path}/index/chunks-*/bucket=*/*.parquet")
+    assert len({f.split("/")[-2] for f in files}) == store.BUCKETS and len(files) <= store.BUCKETS * shares
+    found = index.chunks().collect()
+    assert len(found) == 3 * len(rows) and sorted(r["id"] for r in found) == list(range(1, len(found) + 1))
+    for r in found[::100]:
+        counts = [0] * 8
+        for w in r["content"].replace("\x1f", " ").split():
+            counts[int(hashlib.md5(w.lower().encode()).hexdigest()[:8], 16) % 8] += 1
+        size = sum(c * c for c in counts) ** 0.5
+        assert all(abs(a - c / size) < 1e-6 for a, c in zip(r["embedding"], counts, strict=True))
