@@ -1,6 +1,8 @@
 import threading
 import time
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,9 @@ from corpusloom.config import Config
 from corpusloom.operators import catalog, store
 from corpusloom.operators.store import Conflict, Index
 from corpusloom.plans.ingest import ingest
+from corpusloom.queries import ORACLE_SQL, QUERIES
 from corpusloom.streaming.landing import ingest_rows
+from tests.compare import rows_of, rows_of_sql
 
 CHUNK = "SELECT {0}L AS id, {1}L AS doc_id, 0 AS chunk_idx, '{2}' AS content, array(0.6f, 0.8f) AS embedding"
 DOC = "SELECT {0}L AS id, '{1}' AS path, '{2}' AS content_hash, TIMESTAMP '2020-01-01' AS created_at"
@@ -212,3 +216,15 @@ def test_a_large_ingest_writes_few_files(spark, tmp_path):
             counts[int(hashlib.md5(w.lower().encode()).hexdigest()[:8], 16) % 8] += 1
         size = sum(c * c for c in counts) ** 0.5
         assert all(abs(a - c / size) < 1e-6 for a, c in zip(r["embedding"], counts, strict=True))
+
+
+def test_two_ingests_of_odd_rows_equal_sql(spark, tmp_path):
+    """Blank and null texts, copies of them, controls within words and at a chunk's edge, and parts of paths that are null."""
+    long = " ".join(f"w{i}" for i in range(461))
+    texts = ["a b", "", "", " \n", "a b", None, None, "\x01", "\x7fA", "a\x01b", "a\x7fAb", "\x7f_ ", "\x7f-", "\x0b", "\x0c "]
+    texts += [long, long.replace(" w7 ", "\x1fw7 "), long.replace(" w7 ", "\x0bw7 "), f"\x02{long}", "\x00 \x08"]
+    rows = [(10 * i + last, text, "en", "s") for i, text in enumerate(texts) for last in (1, 3)]
+    rows += [(1000, "a b", None, "s"), (1003, "c", "en", None), (None, None, "en", "s")]
+    pq.write_table(pa.table(dict(zip(("doc_id", "text", "lang", "source"), zip(*rows, strict=True), strict=True))), f"{tmp_path}/documents.parquet")
+    name = "index_after_two_ingests"
+    assert rows_of(QUERIES[name](spark, str(tmp_path))) == rows_of_sql(ORACLE_SQL[name], str(tmp_path))
